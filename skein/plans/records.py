@@ -5,10 +5,89 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators import drift as D
 from skein.operators import hierarchy as H
+from skein.operators import instants as I
+from skein.operators import nested as N
 from skein.runtime import blank, table
 
 
+def _objects(spark: SparkSession, d: str) -> DataFrame:
+    m = N.listed_objects(table(spark, d, "messages"), "message_json", ["session_id", "ordinal"])
+    s = N.listed_objects(table(spark, d, "sessions").select(F.col("id").alias("session_id"), F.lit(-1).cast("long").alias("ordinal"), "session_json"), "session_json", ["session_id", "ordinal"])
+    return s.unionByName(m)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _objects(spark, d).select("session_id", "ordinal", "path", "parent_path").distinct()
+
+
+def _part_of(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return N.flat_table(_objects(spark, d), ["session_id", "ordinal"], N.TABLES[name]).distinct()
+
+
+def p2_turns(spark: SparkSession, d: str) -> DataFrame:
+    return _part_of(spark, d, "turns")
+
+
+def p2_model_costs(spark: SparkSession, d: str) -> DataFrame:
+    return _part_of(spark, d, "model_costs")
+
+
+def p2_compactions(spark: SparkSession, d: str) -> DataFrame:
+    return _part_of(spark, d, "compactions")
+
+
+def p2_parts(spark: SparkSession, d: str) -> DataFrame:
+    return _part_of(spark, d, "parts")
+
+
+def p2_edits(spark: SparkSession, d: str) -> DataFrame:
+    return _part_of(spark, d, "edits")
+
+
+def p2_hunks(spark: SparkSession, d: str) -> DataFrame:
+    return _part_of(spark, d, "hunks")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    changes = D.compare_files(D.profile_files(D.distinct_lines(table(spark, d, "raw_records"))))
+    return changes.where("change not in ('same', 'first')").select("stream", "source_file", "change", "old_path", "new_path")
+
+
+def p4_unified(spark: SparkSession, d: str) -> DataFrame:
+    return D.unified_table(table(spark, d, "raw_records"))
+
+
+def _stated(spark: SparkSession, d: str) -> DataFrame:
+    """Every value that may need normalising: table, keys, field, text, source, zone of the project."""
+    zones = table(spark, d, "project_zones").groupBy("project_id").agg(F.min("zone_name").alias("zone"))
+    sessions = table(spark, d, "sessions")
+    homes = sessions.groupBy("id").agg(F.min("project_id").alias("project_id"), F.min("agent").alias("agent")).join(zones, "project_id", "left").select("id", "agent", "zone")
+    field = lambda f: sessions.select(F.lit("sessions").alias("table_name"), F.col("id").alias("session_id"), F.lit(-1).cast("long").alias("ordinal"), F.lit(f).alias("field"), F.col(f).alias("value"))
+    said = table(spark, d, "messages").select(F.lit("messages").alias("table_name"), "session_id", "ordinal", F.lit("timestamp").alias("field"), F.col("timestamp").alias("value"))
+    every = field("started_at").unionByName(field("last_activity_at")).unionByName(said).where(~blank(F.col("value")) & ~F.col("value").rlike(I.CANONICAL)).distinct()
+    return every.join(homes.withColumnRenamed("id", "session_id"), "session_id", "left").withColumn("source", F.concat_ws("/", "table_name", "agent"))
+
+
+def p5_normalised(spark: SparkSession, d: str) -> DataFrame:
+    """All values with format, instant, posterior and mark of ambiguity."""
+    t = table(spark, d, "threads")
+    ms, s = F.col("created_at_ms"), F.col("created_at")
+    counts = t.select(
+        F.lit("threads").alias("table_name"), F.col("id").alias("session_id"), F.lit(-1).cast("long").alias("ordinal"),
+        F.when(ms > 0, "created_at_ms").otherwise("created_at").alias("from_field"), F.when(ms > 0, ms).when(s > 0, s).cast("string").alias("value"),
+        F.lit("threads").alias("source"), F.lit(None).cast("string").alias("zone"),
+    ).where("value is not null").distinct()
+    every = _stated(spark, d).select("table_name", "session_id", "ordinal", F.col("field").alias("from_field"), "value", "source", "zone").unionByName(counts)
+    return I.normalise(every, "value", "source", "zone").withColumn("field", F.when(F.col("table_name") == "threads", "created_at_ms").otherwise(F.col("from_field")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    got = p5_normalised(spark, d).where("table_name != 'threads' or from_field = 'created_at' or format != 'epoch_ms'")
+    return got.select("table_name", "session_id", "ordinal", "field", "utc_ms").distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     tree = H.hierarchy(table(spark, d, "sessions"))
     return tree.where(~blank(F.col("parent_id"))).select("id", "root_id", "depth", "path", "in_cycle")
@@ -22,7 +101,10 @@ def p3_subtree_sizes(spark: SparkSession, d: str) -> DataFrame:
     return H.subtree_sizes(H.hierarchy(table(spark, d, "sessions")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_descendants": p3_descendants, "p3_subtree_sizes": p3_subtree_sizes}
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p2_turns, p2_model_costs, p2_compactions, p2_parts, p2_edits, p2_hunks, p3_found, p3_descendants, p3_subtree_sizes, p4_found, p4_unified, p5_found, p5_normalised)
+}
 
 _TREE = """
 WITH RECURSIVE nodes AS (
@@ -36,9 +118,9 @@ walk AS (
 
 ORACLE = {
     "p3_found": _TREE.rstrip() + """,
-looped AS (SELECT k AS start, p AS at, 1 AS n FROM links WHERE k NOT IN (SELECT k FROM walk)
-  UNION SELECT s.start, l.p, s.n + 1 FROM looped s JOIN links l ON s.at = l.k WHERE s.at <> s.start AND s.n < 2000),
-cyc AS (SELECT DISTINCT start FROM looped WHERE at = start)
+looped AS (SELECT k AS start, p AS cur, 1 AS n FROM links WHERE k NOT IN (SELECT k FROM walk)
+  UNION SELECT s.start, l.p, s.n + 1 FROM looped s JOIN links l ON s.cur = l.k WHERE s.cur <> s.start AND s.n < 2000),
+cyc AS (SELECT DISTINCT start FROM looped WHERE cur = start)
 SELECT l.id, coalesce(w.root_id, '') AS root_id, coalesce(w.depth, -1) AS depth, coalesce(w.path, '') AS path,
   CAST(CASE WHEN l.k IN (SELECT start FROM cyc) THEN 1 ELSE 0 END AS BIGINT) AS in_cycle
 FROM links l LEFT JOIN walk w ON l.k = w.k WHERE l.has""",
