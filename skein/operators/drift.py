@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.hierarchy import hierarchy
-from skein.runtime import BROADCAST_ROWS, Workspace
+from skein.runtime import BROADCAST_ROWS, Workspace, ship
 
 TYPES = ["number", "string", "boolean", "array"]
 #: Widths of the profile blocks: exact values, shapes, magnitudes, neighbouring keys.
@@ -105,6 +105,7 @@ def profile_files(records: DataFrame, stream="stream", file="source_file", writt
     Lines that are not a strict JSON object are no records. Null payloads and files without records keep
     their '' row, so each file takes its place in the order of its stream.
     """
+    ship(records.sparkSession)
     base = records.select(F.col(stream).alias("stream"), F.col(file).alias("source_file"), F.col(written).cast("string").alias("written_at"), F.col(payload).alias("payload"))
     schema = "stream string, source_file string, path string, written_at string, n array<double>, profile array<double>"
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -85,3 +88,24 @@ def blank(c):
 def tidy_key(c):
     """A key without case and outer white space; null where blank."""
     return F.nullif(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), F.lit(""))
+
+
+_shipped: set = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers: once per application, as a zip in the shared folder."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent).as_posix())
+    path = f"{shared_dir(spark)}/skein-code-{uuid.uuid4().hex}/skein.zip"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
