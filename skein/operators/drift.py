@@ -159,6 +159,14 @@ def _name_tokens(path: str) -> list[str]:
     return [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+", path)]
 
 
+#: Words of field names that mean the same; a parameter of the domain, extended by assignment.
+SYNONYMS = [
+    {"content", "body", "text"}, {"error", "failed", "failure"}, {"ordinal", "seq", "sequence", "index", "step", "position"}, {"kind", "type"}, {"id", "uuid", "guid", "key"},
+    {"created", "timestamp", "time", "ts", "at"}, {"duration", "elapsed"}, {"cwd", "workdir", "directory", "dir"}, {"tags", "labels"}, {"title", "name"}, {"params", "arguments", "args"},
+    {"state", "status"}, {"sha", "commit", "hash"}, {"retries", "retry", "attempts"}, {"locale", "language", "lang"}, {"origin", "source"}, {"url", "link", "uri"},
+]
+
+
 def name_similarity(a: str, b: str) -> float:
     """Of two paths, by the words in them whatever their style, the last key counting most."""
     la, lb = _name_tokens(a.rsplit(".", 1)[-1]), _name_tokens(b.rsplit(".", 1)[-1])
@@ -167,6 +175,8 @@ def name_similarity(a: str, b: str) -> float:
     fa, fb = set(_name_tokens(a)), set(_name_tokens(b))
     if fa == fb:
         return 0.95
+    if set(la) <= set(lb) or set(lb) <= set(la) or any(set(la) & g and set(lb) & g for g in SYNONYMS):
+        return 0.7
     words = len(fa & fb) / max(1, min(len(fa), len(fb)))
     ja, jb = "".join(la), "".join(lb)
     ga, gb = {ja[i : i + 3] for i in range(max(1, len(ja) - 2))}, {jb[i : i + 3] for i in range(max(1, len(jb) - 2))}
@@ -195,7 +205,7 @@ def flood(pairs: dict, neighbours: dict, rounds: int = 200, least: float = 1e-4)
     return score
 
 
-def match_fields(old: dict, new: dict, n_old: float, n_new: float, least: float = 0.42) -> dict:
+def match_fields(old: dict, new: dict, n_old: float, n_new: float, least: float = 0.45) -> dict:
     """Renames between two schema graphs: new path by old path. old, new: (n, profile) by path.
 
     Paths in both are anchors. Candidates are the pairs of a removed and an added path.
