@@ -107,14 +107,14 @@ def profile_files(records: DataFrame, stream="stream", file="source_file", writt
     """
     ship(records.sparkSession)
     base = records.select(F.col(stream).alias("stream"), F.col(file).alias("source_file"), F.col(written).cast("string").alias("written_at"), F.col(payload).alias("payload"))
-    schema = "stream string, source_file string, path string, written_at string, n array<double>, profile array<double>"
+    schema = "stream string, source_file string, path string, written_at string, n array<float>, profile array<float>"
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict = {}
         memo: dict = {}
         for b in batches:
             for st, f, w, text in zip(b["stream"], b["source_file"], b["written_at"], b["payload"]):
-                top = acc.setdefault((st, f, ""), [w, np.zeros(5), np.zeros(_WIDTH)])
+                top = acc.setdefault((st, f, ""), [w, np.zeros(5, np.float32), np.zeros(_WIDTH, np.float32)])
                 o = strict_object(text)
                 if o is None:
                     continue
@@ -125,7 +125,7 @@ def profile_files(records: DataFrame, stream="stream", file="source_file", writt
                         continue
                     cell = acc.get((st, f, path))
                     if cell is None:
-                        cell = acc[st, f, path] = [w, np.zeros(5), np.zeros(_WIDTH)]
+                        cell = acc[st, f, path] = [w, np.zeros(5, np.float32), np.zeros(_WIDTH, np.float32)]
                     cell[1][type_of(v)] += 1
                     cell[1][4] += 1
                     key = (type(v), v) if not isinstance(v, list) else None
@@ -138,7 +138,7 @@ def profile_files(records: DataFrame, stream="stream", file="source_file", writt
                     for j, side in ((i - 1, "<"), (i + 1, ">"), (i - 2, "<<"), (i + 2, ">>")):
                         name = got[j][0] if 0 <= j < len(got) else ""
                         cell[2][_near(side + name)] += 1
-        rows = [(*k, c[0], c[1].tolist(), c[2].tolist()) for k, c in acc.items()]
+        rows = [(*k, *c) for k, c in acc.items()]
         for i in range(0, max(len(rows), 1), 2000):
             yield pd.DataFrame(rows[i : i + 2000], columns=["stream", "source_file", "path", "written_at", "n", "profile"])
 
@@ -150,9 +150,19 @@ def profile_files(records: DataFrame, stream="stream", file="source_file", writt
         return near[token]
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*pdf.loc[0, ["stream", "source_file", "path"]], pdf["written_at"].dropna().min(), np.sum(np.stack(pdf["n"]), 0).tolist(), np.sum(np.stack(pdf["profile"]), 0).tolist())], columns=["stream", "source_file", "path", "written_at", "n", "profile"])
+        """All fields of a file in one group: as many rows as fields and partitions that had them."""
+        rows: dict = {}
+        for path, w, n, prof in zip(pdf["path"], pdf["written_at"], pdf["n"], pdf["profile"]):
+            if path in rows:
+                rows[path][1] += n
+                rows[path][2] += prof
+                rows[path][0] = min(filter(None, (rows[path][0], w)), default=None)
+            else:
+                rows[path] = [w, np.array(n), np.array(prof)]
+        st, f = pdf["stream"].iloc[0], pdf["source_file"].iloc[0]
+        return pd.DataFrame([(st, f, p, w, n, x) for p, (w, n, x) in rows.items()], columns=["stream", "source_file", "path", "written_at", "n", "profile"])
 
-    return base.mapInPandas(part, schema).groupBy("stream", "source_file", "path").applyInPandas(merge, schema)
+    return base.mapInPandas(part, schema).groupBy("stream", "source_file").applyInPandas(merge, schema)
 
 
 def _name_tokens(path: str) -> list[str]:
@@ -183,9 +193,11 @@ def name_similarity(a: str, b: str) -> float:
     return max(0.8 * words, len(ga & gb) / len(ga | gb))
 
 
-def _cos(x: np.ndarray, y: np.ndarray) -> float:
-    n = np.linalg.norm(x) * np.linalg.norm(y)
-    return float(x @ y / n) if n else 0.0
+def _cosines(xs: list, ys: list) -> np.ndarray:
+    """Cosine of every row of xs with every row of ys; 0 where one is empty."""
+    x, y = np.stack(xs).astype(float), np.stack(ys).astype(float)
+    n = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None]
+    return np.divide(x @ y.T, n, out=np.zeros_like(n), where=n > 0)
 
 
 def _block(p: np.ndarray, name: str) -> np.ndarray:
@@ -212,30 +224,33 @@ def match_fields(old: dict, new: dict, n_old: float, n_new: float, least: float
     """
     gone, come = [p for p in old if p not in new], [p for p in new if p not in old]
     base, first = {(p, p): 1.0 for p in old if p in new}, {}
-    for a in gone:
-        for b in come:
-            (na, pa), (nb, pb) = old[a], new[b]
-            shape, value, size = (_cos(_block(pa, k), _block(pb, k)) for k in ("shape", "value", "size"))
-            alike = 0.4 * shape + 0.35 * value + 0.25 * size
-            ra, rb = na[4] / max(n_old, 1), nb[4] / max(n_new, 1)
+    if gone and come:
+        grid = {k: _cosines([_block(old[p][1], k) for p in gone], [_block(new[p][1], k) for p in come]) for k in _BLOCKS}
+        alikes = 0.4 * grid["shape"] + 0.35 * grid["value"] + 0.25 * grid["size"]
+    for i, a in enumerate(gone):
+        for j, b in enumerate(come):
+            alike = float(alikes[i, j])
+            ra, rb = old[a][0][4] / max(n_old, 1), new[b][0][4] / max(n_new, 1)
             spread = math.sqrt(max(ra * (1 - ra) / max(n_old, 1) + rb * (1 - rb) / max(n_new, 1), 1e-4))
             rate = math.exp(-0.5 * min(abs(ra - rb) / (spread + 0.05), 6) ** 2 / 4)
-            name = name_similarity(a, b)
-            near = _cos(_block(pa, "near"), _block(pb, "near"))
-            s0 = alike * (0.30 + 0.40 * name + 0.15 * rate + 0.15 * near)
+            s0 = alike * (0.30 + 0.40 * name_similarity(a, b) + 0.15 * rate + 0.15 * float(grid["near"][i, j]))
             first[a, b] = s0 if alike > 0.3 else 0.3 * s0
             base[a, b] = first[a, b]
+    if not first:
+        return {}
     parent = lambda p: p.rsplit(".", 1)[0] if "." in p else ""
+    kind = lambda side, p: int(np.argmax(side[p][0][:4]))
+    by_parent: dict = {}
+    by_type: dict = {}
+    for x, y in base:
+        by_parent.setdefault((parent(x), parent(y)), []).append((x, y))
+        by_type.setdefault((kind(old, x), kind(new, y)), []).append((x, y))
     edges: dict = {}
     for a, b in first:
-        near = []
-        for x, y in base:
-            if (x, y) != (a, b) and parent(x) == parent(a) and parent(y) == parent(b):
-                near.append(((x, y), 0.15))
-            elif (x, y) != (a, b) and np.argmax(old[x][0][:4]) == np.argmax(old[a][0][:4]) and np.argmax(new[y][0][:4]) == np.argmax(new[b][0][:4]):
-                near.append(((x, y), 0.02))
-        total = sum(w for _, w in near) or 1.0
-        edges[a, b] = [(q, 0.3 * w / total) for q, w in near]
+        family = [q for q in by_parent[parent(a), parent(b)] if q != (a, b)]
+        alike = [q for q in by_type[kind(old, a), kind(new, b)] if q != (a, b)]
+        total = 0.15 * len(family) + 0.02 * len(alike) or 1.0
+        edges[a, b] = [(q, 0.3 * 0.15 / total) for q in family] + [(q, 0.3 * 0.02 / total) for q in alike]
     score = flood(base, edges)
     out, used = {}, set()
     for (a, b), s in sorted(((k, score[k] * first[k]) for k in first), key=lambda x: (-x[1], x[0])):
