@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from skein.llm import harm as A
 from skein.llm import mixing as M
 from skein.llm import packing as K
-from skein.llm.tokens import with_tokens
+from skein.llm.tokens import source_key, with_tokens
 from skein.runtime import Workspace, table
 
 
@@ -32,5 +35,17 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return M.shares(mixed, table(spark, d, "source_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p6_packed, p6_fill, p7_mix, p7_shares)}
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return A.score(table(spark, d, "documents"), table(spark, d, "doc_labels"), ["doc_id", "source"])
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).where("harmful = 1").select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return A.rates(p8_scores(spark, d), source_key(F.col("source")))
+
+
+QUERIES = {f.__name__: f for f in (p8_found, p8_scores, p8_rates, p6_packed, p6_fill, p7_mix, p7_shares)}
 ORACLE: dict[str, str] = {}
