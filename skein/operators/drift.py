@@ -269,6 +269,7 @@ def compare_files(profiles: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
+    profiles, _ = Workspace(profiles.sparkSession).write(profiles, "profiles")  # read three times below
     # one row a file: the window holds the names of a stream's files, not their contents
     files = profiles.where("path = ''").select("stream", "source_file", F.row_number().over(Window.partitionBy("stream").orderBy("written_at", "source_file")).alias("idx"))
     known = profiles.join(files, ["stream", "source_file"])
