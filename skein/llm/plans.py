@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skein.llm import harm as A
 from skein.llm import mixing as M
 from skein.llm import packing as K
+from skein.llm import pii as P
 from skein.llm.tokens import source_key, with_tokens
 from skein.runtime import Workspace, table
 
@@ -47,5 +48,20 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return A.rates(p8_scores(spark, d), source_key(F.col("source")))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_scores, p8_rates, p6_packed, p6_fill, p7_mix, p7_shares)}
+_PART = ["session_id", "message_ordinal", "part_ordinal"]
+
+
+def p1_items(spark: SparkSession, d: str) -> DataFrame:
+    return P.found(table(spark, d, "parts"), _PART, "text").distinct()
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return P.found(table(spark, d, "parts"), _PART, "text").select(*_PART, "pii_type", "start_pos").distinct()
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return P.redacted(table(spark, d, "parts").select(*_PART, "kind", "text"), "text").drop("text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_redacted, p8_found, p8_scores, p8_rates, p6_packed, p6_fill, p7_mix, p7_shares)}
 ORACLE: dict[str, str] = {}
