@@ -111,9 +111,9 @@ def text_search_filtered(spark, d):
     return _ROUND(R.text_search(parts(spark, d), "cursor", S.SessionFilter(agents=("codex",)).apply(sessions(spark, d))), "score")
 
 
-@query(f"WITH {_C}, {_scored('für')} {_HITS}")
+@query(f"WITH {_C}, {_scored('línea')} {_HITS}")
 def text_search_accents(spark, d):
-    return _ROUND(R.text_search(corpus(spark, d), "FÜR"), "score")
+    return _ROUND(R.text_search(corpus(spark, d), "LÍNEA"), "score")
 
 
 @query(f"WITH {_C}, {_scored('ändern')} {_HITS}")
