@@ -92,11 +92,11 @@ def tokens(v) -> list[int]:
         return [_slot("shape", kind), _slot("value", f"{kind}{x:g}" if x < 1000 else kind), *near]
     if _ISO.match(v):
         return [_slot("shape", "time"), _slot("value", "time"), _slot("size", "time")]
-    shape = re.sub(r"[0-9a-f]{6,}", "h", v[:200])
+    shape = re.sub(r"[0-9a-f]{6,}", "h", v)
     shape = re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", "a", shape))[:12]
-    words = re.findall(r"\w+", v[:200])
-    out = [_slot("shape", shape), _slot("shape", "s" + re.sub(r"[\w\s]+", "", v[:40])[:4]), _slot("size", f"l{min(len(v).bit_length(), 12)}")]
-    return out + [_slot("value", v[:60])] + [_slot("value", w) for w in words[:2]]
+    words = re.findall(r"\w+", v)
+    out = [_slot("shape", shape), _slot("shape", "s" + re.sub(r"[\w\s]+", "", v)[:4]), _slot("size", f"l{min(len(v).bit_length(), 12)}")]
+    return out + [_slot("value", v)] + [_slot("value", w) for w in words[:2]]
 
 
 def profile_files(records: DataFrame, stream="stream", file="source_file", written="written_at", payload="payload") -> DataFrame:
@@ -106,7 +106,7 @@ def profile_files(records: DataFrame, stream="stream", file="source_file", writt
     their '' row, so each file takes its place in the order of its stream.
     """
     ship(records.sparkSession)
-    base = records.select(F.col(stream).alias("stream"), F.col(file).alias("source_file"), F.col(written).cast("string").alias("written_at"), F.col(payload).alias("payload"))
+    base = records.select(F.coalesce(F.col(stream), F.lit("")).alias("stream"), F.coalesce(F.col(file), F.lit("")).alias("source_file"), F.col(written).cast("string").alias("written_at"), F.col(payload).alias("payload"))
     schema = "stream string, source_file string, path string, written_at string, n array<float>, profile array<float>"
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,11 +229,12 @@ def match_fields(old: dict, new: dict, n_old: float, n_new: float, least: float
         alikes = 0.4 * grid["shape"] + 0.35 * grid["value"] + 0.25 * grid["size"]
     for i, a in enumerate(gone):
         for j, b in enumerate(come):
-            alike = float(alikes[i, j])
+            name = name_similarity(a, b)
+            alike = max(float(alikes[i, j]), 0.6 if name >= 0.95 else 0.0)  # the same words in another style say enough
             ra, rb = old[a][0][4] / max(n_old, 1), new[b][0][4] / max(n_new, 1)
             spread = math.sqrt(max(ra * (1 - ra) / max(n_old, 1) + rb * (1 - rb) / max(n_new, 1), 1e-4))
             rate = math.exp(-0.5 * min(abs(ra - rb) / (spread + 0.05), 6) ** 2 / 4)
-            s0 = alike * (0.30 + 0.40 * name_similarity(a, b) + 0.15 * rate + 0.15 * float(grid["near"][i, j]))
+            s0 = alike * (0.30 + 0.40 * name + 0.15 * rate + 0.15 * float(grid["near"][i, j]))
             first[a, b] = s0 if alike > 0.3 else 0.3 * s0
             base[a, b] = first[a, b]
     if not first:
@@ -313,8 +314,8 @@ def compare_files(profiles: DataFrame) -> DataFrame:
 
 
 def distinct_lines(records: DataFrame) -> DataFrame:
-    """Lines delivered twice count once, as first delivered; lines without an id all count."""
-    same = [F.col("stream"), F.col("source_file"), F.col("record_id"), F.when(F.col("record_id").isNull(), F.col("line")).alias("_line"), F.when(F.col("record_id").isNull(), F.col("payload")).alias("_text")]
+    """Lines delivered twice count once, as first delivered; lines without an id count once each text; null names are ''."""
+    same = [F.coalesce("stream", F.lit("")).alias("stream"), F.coalesce("source_file", F.lit("")).alias("source_file"), F.col("record_id"), F.when(F.col("record_id").isNull(), F.col("line")).alias("_line"), F.when(F.col("record_id").isNull(), F.col("payload")).alias("_text")]
     return records.groupBy(*same).agg(F.min_by(F.struct("written_at", "payload", "ingested_at"), F.struct("ingested_at", "payload")).alias("_f")).select("stream", "source_file", "record_id", "_f.*")
 
 

@@ -166,28 +166,30 @@ def normalise(df: DataFrame, value: str, source: str, zone: str, stated: dict |
 
     zone is the column of the zone for values without one (null or unknown: UTC). A wall-clock time that
     occurs twice is the earlier instant, a skipped one moves forward by the skip. Digits below the
-    millisecond are dropped. ambiguous marks values whose best reading has a posterior below certain.
+    millisecond are dropped. Columns of df named like the results are replaced; null texts, empty and
+    meaningless ones are dropped; repeated rows stay. ambiguous marks values whose best reading has a posterior below certain.
     """
     spark = df.sparkSession
-    base = readings(df, value, stated).where("size(_r) > 0")
-    zoned = F.when(F.col(zone).isin(sorted(zoneinfo.available_timezones())), F.col(zone)).otherwise("UTC")
+    base = readings(df.select(F.struct("*").alias("_row"), F.col(value).cast("string").alias("_v"), F.col(source).alias("_src"), F.col(zone).alias("_zn")), "_v", stated).where("size(_r) > 0")
+    zoned = F.when(F.col("_zn").isin(sorted(zoneinfo.available_timezones())), F.col("_zn")).otherwise("UTC")
 
     def utc(r: Column) -> Column:
         wall = F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(r["local"]), F.coalesce(r["region"], zoned)))
         return F.when(r["offset"].isNotNull(), r["local"] - r["offset"].cast("long") * 60_000).otherwise(wall)
 
     # written once, as both EM and the result read it
-    base, _ = Workspace(spark).write(base.select(*df.columns, F.transform("_r", lambda r: F.struct(r["label"].alias("label"), utc(r).alias("ms"))).alias("_c")), "candidates")
+    base, _ = Workspace(spark).write(base.select("_row", "_src", F.transform("_r", lambda r: F.struct(r["label"].alias("label"), utc(r).alias("ms"))).alias("_c")), "candidates")
     month = lambda x: F.floor(x["ms"] / 2_629_746_000).cast("int")
-    several = base.where("size(_c) > 1").select(F.col(source).alias("source"), F.col("_c.label").alias("labels"), F.transform("_c", month).alias("months"))
+    several = base.where("size(_c) > 1").select(F.col("_src").alias("source"), F.col("_c.label").alias("labels"), F.transform("_c", month).alias("months"))
     post = _em(several.groupBy("source", "labels", "months").agg(F.count("*").alias("n")).collect())
     best = [(s, list(l), list(m), p.index(max(p)), float(max(p))) for (s, l, m), p in post.items()]
     if not best:
         out = base.withColumn("_pick", F.lit(0)).withColumn("posterior", F.lit(1.0))
     else:
         chosen = spark.createDataFrame(best, "_s string, _l array<string>, _m array<int>, _p int, _q double")
-        on = base[source].eqNullSafe(chosen["_s"]) & (base["_c"]["label"] == chosen["_l"]) & (F.transform(base["_c"], month) == chosen["_m"])
+        on = base["_src"].eqNullSafe(chosen["_s"]) & (base["_c"]["label"] == chosen["_l"]) & (F.transform(base["_c"], month) == chosen["_m"])
         # formats x sources x months: bounded by the formats, not by rows
         out = base.join(F.broadcast(chosen) if len(best) <= 50_000 else chosen, on, "left").withColumn("_pick", F.coalesce("_p", F.lit(0))).withColumn("posterior", F.coalesce("_q", F.lit(1.0)))
     got = F.element_at("_c", F.col("_pick") + 1)
-    return out.select(*df.columns, got["label"].alias("format"), got["ms"].alias("utc_ms"), "posterior", (F.col("posterior") < certain).alias("ambiguous"))
+    kept = [F.col("_row")[c].alias(c) for c in df.columns if c not in ("format", "utc_ms", "posterior", "ambiguous")]
+    return out.select(*kept, got["label"].alias("format"), got["ms"].alias("utc_ms"), "posterior", (F.col("posterior") < certain).alias("ambiguous"))
