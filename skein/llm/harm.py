@@ -116,7 +116,20 @@ we destroyed the old cluster yesterday
 hang on, the thread hangs here
 women in tech meetup on monday
 the accessibility work helps disabled users
-dick sent the invoice to the office""".split("\n")
+dick sent the invoice to the office
+123
+ok
+done
+user
+note
+update
+return none
+select id from table where x
+fn main let x
+thanks
+see the file
+in short
+version 2 of 3""".split("\n")
 
 _BITS = 18
 _SIZE = 1 << _BITS
@@ -217,8 +230,9 @@ def fit(docs: list[tuple[list[list[str]], int]], rounds: int = 6, doubt=(-99.0,
     feats = Features()
     own = [(_WORD.findall(plain(t)), 1.0) for t in HARMFUL] + [(_WORD.findall(plain(t)), 0.0) for t in HARMLESS]
     listed = [([plain(x)], 1.0) for k in ("insult", "sexual") for x in WORDS[k]]
+    listed.append(([], 0.0))  # a segment of which nothing is known is harmless
     base_at, base_starts = feats.matrix([s for s, _ in own + listed])
-    base_y, base_w = np.array([y for _, y in own + listed]), np.array([3.0] * len(own) + [0.15] * len(listed))
+    base_y, base_w = np.array([y for _, y in own + listed]), np.array([3.0] * len(own) + [0.15] * (len(listed) - 1) + [80.0])
     w, g2 = np.zeros(_SIZE), np.zeros(_SIZE)
     w = _descend(w, g2, base_at, base_starts, base_y, base_w, 12)
     segs = [s for ss, _ in docs for s in ss]

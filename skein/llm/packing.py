@@ -65,7 +65,7 @@ def pack(docs: DataFrame, sizes: DataFrame, key: str = "doc_id", tokens: str = "
     """One row per piece and container kind: container, container_id, key, piece, pieces, tokens.
 
     A document longer than the capacity is cut into pieces of the capacity and one rest; no other is
-    cut. Documents of no tokens take no space and go to container 0. sizes holds container and
+    cut. Documents of no tokens (or null) take no space and go to container 0. sizes holds container and
     capacity_tokens, one row a kind; kinds without a positive capacity have no rows. Repeated
     documents each take a slot; an empty table gives an empty result.
     """
@@ -77,7 +77,7 @@ def pack(docs: DataFrame, sizes: DataFrame, key: str = "doc_id", tokens: str = "
     if not kinds:
         return spark.createDataFrame([], schema)
     cut = (
-        docs.select(F.col(key).alias("k"), F.col(tokens).cast("long").alias("n"))
+        docs.select(F.col(key).alias("k"), F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0)).alias("n"))
         .select("k", "n", F.inline(each))
         .withColumn("pieces", F.greatest(F.ceil(F.col("n") / F.col("c")), F.lit(1)).cast("long"))
         .select("container", "c", "k", "n", "pieces", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))

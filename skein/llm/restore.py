@@ -204,10 +204,10 @@ _L = "[a-z]"
 # five letters and more, which may have two letters swapped. Paths, calls, addresses and numbers are left alone.
 _UNIT = re.compile(
     r"(?<![\w/.:@<`\-])(?:"
-    + rf"{_L}(?:(?P<sep>[.\-_~·*]){_L})(?:(?P=sep){_L})+(?![\w/(:@=])"
-    + rf"|{_L}(?: {_L}){{2,}}(?: [a-z]\b)?(?![\w'/(:@=*.])"
-    + r"|(?=[a-z0-9@$!|+(*#€£¡&]*[a-z])(?=[a-z]*[0-9@$!|+(*#€£¡&])[a-z0-9@$!|+*#€£¡&(]{3,24}(?<![!+&|])(?:(?<!\()|(?=[\s,.;]|$))(?![\w/(:@=.\-]\w)"
+    + rf"{_L}(?:(?P<sep>[.\-_~·*]){_L})(?:(?P=sep){_L}){{1,60}}(?![\w/(:@=])"
+    + rf"|{_L}(?: {_L}){{2,60}}(?: [a-z]\b)?(?![\w'/(:@=*.])"
+    + r"|(?=[a-z0-9@$!|+(*#€£¡&]{0,24}[a-z])(?=[a-z]{0,24}[0-9@$!|+(*#€£¡&])[a-z0-9@$!|+*#€£¡&(]{3,24}(?<![!+&|])(?:(?<!\()|(?=[\s,.;]|$))(?![\w/(:@=.\-]\w)"
     + r"|[a-z]{5,24}(?![\w/(:@=])"
-    + r"|[a-z]*([a-z])\1\1[a-z]*(?![\w/(:@=])"
+    + r"|[a-z]{0,20}([a-z])\2\2[a-z]{0,40}(?![\w/(:@=])"
     + r")"
 )
