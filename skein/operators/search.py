@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.runtime import positions
 
 KEYS = ["session_id", "message_ordinal", "part_ordinal"]
 #: Nearest parts looked at, and the least similarity of a hit.
@@ -46,8 +47,7 @@ def part_scores(parts: DataFrame, query: str) -> DataFrame:
 def ranked_sessions(matches: DataFrame) -> DataFrame:
     """Sessions by number of matching parts, then best part, then id: session_id, matches, best, position."""
     per = matches.groupBy("session_id").agg(F.count("*").alias("matches"), F.min("rank").alias("best"))
-    # one row a matching session; the rank needs their order
-    return per.withColumn("position", F.row_number().over(Window.orderBy(F.desc("matches"), F.round("best", 12), "session_id")))
+    return positions(per, [F.desc("matches"), F.round("best", 12), F.col("session_id")])
 
 
 def text_search(parts: DataFrame, query: str, sessions: DataFrame | None = None, limit: int | None = None) -> DataFrame:

@@ -51,7 +51,8 @@ def page_after(sessions: DataFrame, last_activity: str, last_id: str, size: int)
 def resolve(sessions: DataFrame, wanted: str) -> DataFrame:
     """The ids an exact id or a prefix stands for: one row when it is clear. An exact id wins."""
     ids = sessions.where(F.col("id").startswith(wanted)).select("id").distinct()
-    return ids.withColumn("exact", F.col("id") == wanted).withColumn("any_exact", F.max("exact").over(Window.partitionBy(F.lit(1)))).where("exact or not any_exact").select("id")
+    exact = ids.where(F.col("id") == wanted)
+    return exact.unionByName(ids.join(exact.select(F.col("id").alias("_e")), F.lit(True), "left_anti"))
 
 
 def messages_with(messages: DataFrame, parts: DataFrame, kind: str) -> DataFrame:

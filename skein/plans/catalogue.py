@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,8 @@ from skein.functions import instants as D
 from skein.functions import text as T
 from skein.operators import search as R
 from skein.operators import sessions as S
-from skein.runtime import table
+from skein.runtime import Workspace, shared_dir, table
+from skein.store import Store
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -529,3 +531,47 @@ def stub_embed(spark, d):
     from skein.functions.embed import byte_vector
 
     return parts(spark, d).where("text is not null").select(*R.KEYS, byte_vector(F.col("text")).alias("embedding"))
+
+
+# ---- store and streams ----------------------------------------------------------------------------
+
+_COUNTS = ["discovered", *S.OUTCOMES, "added_messages", "net_messages", "pruned"]
+
+
+def _reports(spark, d):
+    return sessions(spark, d).select("id", "agent", "project_id", "started_at", "last_activity_at", "message_count", "content_hash", "session_json", F.lit(True).alias("openable"))
+
+
+@query(f"""WITH {_S} SELECT agent, count(*) AS discovered, count(*) AS new, 0 AS updated, 0 AS unchanged, 0 AS skipped, 0 AS error, CAST(sum(message_count) AS BIGINT) AS added_messages, 0 AS net_messages, 0 AS pruned FROM s GROUP BY 1""")
+def store_first_pass(spark, d):
+    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}").ingest(_reports(spark, d)).select("agent", *_COUNTS)
+
+
+@query(f"""WITH {_S} SELECT agent, count(*) AS discovered, 0 AS new, 0 AS updated, count(*) AS unchanged, 0 AS skipped, 0 AS error, 0 AS added_messages, 0 AS net_messages, 0 AS pruned FROM s GROUP BY 1""")
+def store_refresh_idempotent(spark, d):
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.ingest(_reports(spark, d))
+    return store.ingest(_reports(spark, d)).select("agent", *_COUNTS)
+
+
+@query(f"WITH {_S} SELECT {_LIST} FROM s")
+def store_read_back(spark, d):
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.ingest(_reports(spark, d))
+    return store.read("sessions").select(*_SEL)
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS events, round(sum(value), 6) AS value FROM events GROUP BY 1, 2")
+def stream_day_buckets(spark, d):
+    """A stream over the events to its end, bucketed by day; each batch replaces the result."""
+    ws = Workspace(spark)
+    source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    out = source.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 6).alias("value"))
+    names = []
+
+    def keep(batch, n):
+        names.append(f"batch{n}")
+        ws.write(batch, names[-1])
+
+    out.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{ws.root}/stream").trigger(availableNow=True).start().awaitTermination()
+    return ws.read(names[-1], out.schema)

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Largest side, in rows, that a caller may mark for broadcast after counting it.
@@ -80,6 +80,20 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def positions(df: DataFrame, order: list, into: str = "position") -> DataFrame:
+    """df with the 1-based position of each row in a total order, without bringing the rows into one task.
+
+    Rows are range-partitioned and written once; each range is numbered on its own and moved by the
+    sizes of the ranges before it.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+    ranged = ranged.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_range").cast("long"), 33))
+    ranged, _ = Workspace(df.sparkSession).write(ranged, "ranged")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a range
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return ranged.join(F.broadcast(before), "_range").withColumn(into, F.col("_before") + F.col("_at") + 1).drop("_range", "_at", "_before")
+
+
 def blank(c):
     """True for null and for text of white space only."""
     return c.isNull() | (F.regexp_replace(c, r"\s+", "") == "")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from skein.operators import drift as D
 from skein.operators.hierarchy import descendants, hierarchy, subtree_sizes
-from skein.operators.instants import normalise
+from skein.operators.instants import CANONICAL, normalise
 from skein.operators.nested import REGISTRIES, SINGLES, TABLES, flat_table, listed_objects
 
 # ---- p2 -------------------------------------------------------------------------------------------
@@ -216,6 +216,11 @@ def test_instants_that_are_none(spark):
     assert normalise(spark.createDataFrame([], "v string, s string, z string"), "v", "s", "z").count() == 0
 
 
+def test_canonical_is_exact(spark):
+    df = spark.createDataFrame([("2025-01-01T00:00:00Z",), ("2025-01-01T00:00:00.5Z",), ("2025-01-01T00:00:00Z\n",), (" 2025-01-01T00:00:00Z",), ("2025-01-01t00:00:00Z",)], "v string")
+    assert [r.c for r in df.select(F.col("v").rlike(CANONICAL).alias("c")).collect()] == [True, True, False, False, False]
+
+
 def test_instants_em_learns_the_order_of_day_and_month(spark):
     sure = [f"{d:02d}.{m:02d}.2025 10:00:00" for d in range(13, 28) for m in (1, 2, 3)]
     df = spark.createDataFrame([(v, "s", "UTC") for v in [*sure, "05.02.2025 10:00:00"]], "v string, s string, z string")
