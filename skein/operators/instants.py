@@ -180,9 +180,10 @@ def normalise(df: DataFrame, value: str, source: str, zone: str, stated: dict |
     # written once, as both EM and the result read it
     base, _ = Workspace(spark).write(base.select("_row", "_src", F.transform("_r", lambda r: F.struct(r["label"].alias("label"), utc(r).alias("ms"))).alias("_c")), "candidates")
     month = lambda x: F.floor(x["ms"] / 2_629_746_000).cast("int")
-    several = base.where("size(_c) > 1").select(F.col("_src").alias("source"), F.col("_c.label").alias("labels"), F.transform("_c", month).alias("months"))
-    post = _em(several.groupBy("source", "labels", "months").agg(F.count("*").alias("n")).collect())
-    best = [(s, list(l), list(m), p.index(max(p)), float(max(p))) for (s, l, m), p in post.items()]
+    every = base.select(F.col("_src").alias("source"), F.col("_c.label").alias("labels"), F.transform("_c", month).alias("months"))
+    counts = every.groupBy("source", "labels", "months").agg(F.count("*").alias("n")).collect()  # sources x formats x months
+    # values with one reading say how common its format is; only the others need a choice
+    best = [(s, list(l), list(m), p.index(max(p)), float(max(p))) for (s, l, m), p in _em(counts).items() if len(l) > 1]
     if not best:
         out = base.withColumn("_pick", F.lit(0)).withColumn("posterior", F.lit(1.0))
     else:

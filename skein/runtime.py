@@ -80,6 +80,12 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in enough partitions to keep all cores busy with work that costs much more than moving its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(4 * cores)
+
+
 def positions(df: DataFrame, order: list, into: str = "position") -> DataFrame:
     """df with the 1-based position of each row in a total order, without bringing the rows into one task.
 
