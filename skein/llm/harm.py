@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.restore import Restorer, language_model, plain
-from skein.runtime import ship
+from skein.runtime import ship, spread
 
 #: Listed words by kind, in four languages; a parameter of the operator.
 WORDS = {
@@ -310,7 +310,7 @@ def score(docs: DataFrame, labels: DataFrame, columns: list[str], most: int = 20
                 np.maximum.at(out, owner, odds(w, *feats.matrix(segs)))
             yield pd.Series(out)
 
-    got = docs.select(*columns, F.explode(F.array(worst("text"))).alias("score"))
+    got = spread(docs.select(*dict.fromkeys([*columns, "text"]))).select(*columns, F.explode(F.array(worst("text"))).alias("score"))
     return got.withColumn("harmful", (F.col("score") > threshold).cast("int"))
 
 
