@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -45,7 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     global _own
     if _own is None:
-        _own = "file://" + tempfile.mkdtemp(prefix="skein-")
+        folder = tempfile.mkdtemp(prefix="skein-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own = "file://" + folder
     return _own
 
 

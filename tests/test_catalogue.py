@@ -13,6 +13,7 @@ from skein.functions.instants import parse_cutoff
 from skein.functions.sentiment import compound
 from skein.operators import search as R
 from skein.operators import sessions as S
+from skein.runtime import positions
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +70,14 @@ def test_classification_of_reports(spark):
     assert rep["b"].discovered == 3 and rep["b"].new == 2 and rep["z"].discovered == 0 and rep["a"].net_messages == 2
 
 
+def test_positions_are_those_of_a_sort(spark):
+    rows = [(i, i * 7919 % 101) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, v int").repartition(7)
+    got = {r.i: r.position for r in positions(df, [F.desc("v"), F.col("i")]).collect()}
+    assert got == {i: n + 1 for n, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    assert positions(df.limit(0), [F.col("i")]).count() == 0
+
+
 def test_small_functions(spark):
     assert parse_cutoff("2026-01-02") == "2026-01-02T00:00:00Z" and parse_cutoff("2h", 7_200_000) == "1970-01-01T00:00:00Z"
     with pytest.raises(ValueError):
