@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.embed import embedder
 from skein.functions.instants import parse_cutoff
 from skein.operators import search as R
 from skein.operators import sessions as S
@@ -52,6 +53,7 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--db", required=True)
     x.add_argument("--full", action="store_true")
     x.add_argument("--dry-run", action="store_true")
+    x.add_argument("--embedder", help="also store vectors of this model")
     x = v.add_parser("scan")
     x.add_argument("--store", required=True)
     x.add_argument("--since")
@@ -61,7 +63,7 @@ def parser() -> argparse.ArgumentParser:
     x = v.add_parser("search")
     x.add_argument("query")
     x.add_argument("--db", required=True)
-    x.add_argument("--mode", choices=["text"], default="text")
+    x.add_argument("--mode", choices=["text", "semantic", "hybrid"], default="text")
     x.add_argument("--project")
     x.add_argument("--limit", type=int, default=10)
     x = v.add_parser("stats")
@@ -139,7 +141,11 @@ def run(args, spark, out=sys.stdout) -> int:
         n = db.execute(f"SELECT count(*) FROM {table}").fetchone()[0] if table else None
         show_rows([{"snapshot": str(copy), "rows": n, "unchanged": base.digest([path]) == before}], args, out)
     elif args.verb == "import":
-        emit(Store(spark, args.db).ingest(reported(spark, roots(args)), force=args.full, dry_run=args.dry_run), args, out)
+        store, model = Store(spark, args.db), embedder(args.embedder) if args.embedder else None
+        report = store.ingest(reported(spark, roots(args)), force=args.full, dry_run=args.dry_run, model_id=args.embedder)
+        if model and not args.dry_run:
+            store.embed(model)
+        emit(report, args, out)
     elif args.verb == "scan":
         clock = Clock()
         for sig in (signal.SIGINT, signal.SIGTERM):
@@ -157,7 +163,15 @@ def run(args, spark, out=sys.stdout) -> int:
         store = Store(spark, args.db)
         flt = S.SessionFilter(agents=tuple(create(n, ".").agent for n in roots(args)) if args.source else (), project=args.project)
         chosen = flt.apply(store.read("sessions")) if args.source or args.project else None
-        emit(R.text_search(store.read("parts"), args.query, chosen, args.limit), args, out)
+        parts, model = store.read("parts"), store.manifest()["embedding_model"]
+        vector = embedder(model).embed([args.query])[0] if model and args.mode != "text" else None
+        if args.mode == "text":
+            hits = R.text_search(parts, args.query, chosen)
+        elif args.mode == "semantic":
+            hits = R.semantic_search(store.read("vectors"), parts, vector, args.limit, chosen)
+        else:
+            hits = R.hybrid_search(parts, store.read("vectors"), args.query, vector, chosen)
+        emit(hits.limit(args.limit), args, out)
     elif args.verb == "stats":
         emit(S.buckets(Store(spark, args.db).read("sessions"), args.by), args, out)
     return OK

@@ -36,6 +36,16 @@ class ByteEmbedder:
         return out
 
 
+EMBEDDERS: dict[str, type] = {ByteEmbedder.model_id: ByteEmbedder}
+
+
+def embedder(model_id: str) -> Embedder:
+    """The embedder of a name; ModelMissing if there is none here."""
+    if model_id not in EMBEDDERS:
+        raise ModelMissing(f"no files of model {model_id!r}; known: {', '.join(EMBEDDERS)}")
+    return EMBEDDERS[model_id]()
+
+
 def byte_vector(c: Column) -> Column:
     """Vector of a text by ByteEmbedder, in Arrow batches; null has none."""
 

@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from skein.operators import sessions as S
 from skein.operators.search import postings
+from skein.runtime import ship
 
 SCHEMA_VERSION = 2
 TABLES = {
     "sessions": "id string, agent string, project_id string, started_at string, last_activity_at string, message_count bigint, content_hash string, session_json string",
     "messages": "session_id string, ordinal bigint, role string, timestamp string, turn_id string, message_json string",
     "parts": "session_id string, message_ordinal bigint, part_ordinal bigint, kind string, text string",
+    "vectors": "session_id string, message_ordinal bigint, part_ordinal bigint, embedding array<float>",
     "postings": "term string, session_id string, message_ordinal bigint, part_ordinal bigint, tf bigint, positions array<int>",
 }
 
@@ -54,13 +56,13 @@ class Store:
 
     def manifest(self) -> dict:
         if not self._fs.exists(self._at("CURRENT")):
-            return {"version": 0, "schema_version": SCHEMA_VERSION, "embedding_model": None}
+            return {"version": 0, "schema_version": SCHEMA_VERSION, "embedding_model": None, "tables": {}}
         return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/CURRENT").collect()))  # one small file
 
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        """A table of a version, by default the current one; an empty store has empty tables."""
-        v = self.manifest()["version"] if version is None else version
-        if not v or not self._fs.exists(self._at(f"v={v}/{table}")):
+    def read(self, table: str) -> DataFrame:
+        """A table as it is now; what is read later from the result stays at this version. Tables never written are empty."""
+        v = self.manifest()["tables"].get(table)
+        if v is None:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/v={v}/{table}")
 
@@ -70,13 +72,13 @@ class Store:
             raise StoreError(f"the store has vectors of {held}, not of {model_id}")
 
     def commit(self, tables: dict[str, DataFrame], **more) -> int:
-        """Writes a new version and makes it the current one."""
+        """Writes the tables of a new version and makes it the current one; other tables stay as they are."""
         now = self.manifest()
         v = now["version"] + 1
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.path}/v={v}/{name}")
         out = self._fs.create(self._at(f"CURRENT.{v}"), True)
-        out.write(bytearray(json.dumps({**now, **more, "version": v, "schema_version": SCHEMA_VERSION}).encode()))
+        out.write(bytearray(json.dumps({**now, **more, "version": v, "schema_version": SCHEMA_VERSION, "tables": {**now["tables"], **dict.fromkeys(tables, v)}}).encode()))
         out.close()
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at("").toUri(), self.spark._jsc.hadoopConfiguration())
         options = self.spark._sc._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
@@ -106,8 +108,23 @@ class Store:
         keep = lambda name, key: self.read(name).join(out.withColumnRenamed("id", key), key, "left_anti")
         messages = explode_messages(fresh)
         parts = explode_parts(messages)
-        self.commit({
+        vectors = {"vectors": keep("vectors", "session_id")} if "vectors" in self.manifest()["tables"] else {}
+        self.commit(vectors | {
             "sessions": keep("sessions", "id").unionByName(fresh), "messages": keep("messages", "session_id").unionByName(messages),
             "parts": keep("parts", "session_id").unionByName(parts), "postings": keep("postings", "session_id").unionByName(postings(parts)),
         })
         return result
+
+    def embed(self, embedder) -> int:
+        """Vectors for the parts with text that have none yet; returns the version. Refuses another model than the store's."""
+        self.guard(embedder.model_id)
+        ship(self.spark)
+        keys = TABLES["vectors"].rsplit(",", 1)[0]
+        todo = self.read("parts").where("text is not null").join(self.read("vectors"), ["session_id", "message_ordinal", "part_ordinal"], "left_anti")
+
+        def vectors(batches):
+            for b in batches:
+                yield b[["session_id", "message_ordinal", "part_ordinal"]].assign(embedding=embedder.embed(list(b["text"])))
+
+        new = todo.select("session_id", "message_ordinal", "part_ordinal", "text").mapInPandas(vectors, f"{keys}, embedding array<float>")
+        return self.commit({"vectors": self.read("vectors").unionByName(new)}, embedding_model=embedder.model_id)

@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 
 from skein.cli import main, parser, run
+from skein.functions.embed import ByteEmbedder, ModelMissing, embedder
 from skein.sources import base
 from skein.sources.adapters import SOURCES, CursorStyle, create
 from skein.sources.datasource import TailReader
@@ -112,7 +113,13 @@ def test_store_pass_update_prune_and_guard(spark, homes, tmp_path):
     assert second["jsonl"].updated == 1 and second["jsonl"].net_messages == 1 and second["claude_code"].pruned == 1
     assert store.read("messages").where("session_id = 'j1'").count() == 2 and old.where("session_id = 's1'").count() == 4
     assert store.read("postings").where("term = 'parser'").count() == 1
-    store.commit({}, embedding_model="m1")
+    n = store.read("parts").where("text is not null").count()
+    store.embed(ByteEmbedder())
+    store.embed(ByteEmbedder())
+    assert store.read("vectors").count() == n and store.read("sessions").count() == 6
+    put(homes / "jsonl/j1.jsonl", [{"type": "user", "text": "b", "timestamp": "2026-03-01T00:00:00Z"}])
+    store.ingest(reported(spark, sources))
+    assert store.read("vectors").where("session_id = 'j1'").count() == 0
     with pytest.raises(StoreError):
         store.ingest(reported(spark, sources), model_id="m2")
 
@@ -135,7 +142,7 @@ class Script:
 def test_scan_loop_counts_passes_and_survives_errors(spark, homes, tmp_path):
     store, seen, clock = Store(spark, f"file://{tmp_path}/st"), [], Script(3)
     n = scan(spark, store, {"jsonl": str(homes / "jsonl")}, interval_s=5, ticker=clock, on_pass=lambda k, r: seen.append(r))
-    assert n == 3 and clock.waits == [5000, 5000]
+    assert n == 2 and len(seen) == 2 and clock.waits == [5000, 5000]  # stopped while waiting
     bad = []
     assert scan(spark, store, {"nope": "x"}, once=True, on_pass=lambda k, r: bad.append(r)) == 1 and isinstance(bad[0], Exception)
 
@@ -164,6 +171,11 @@ def test_command_line(spark, homes, tmp_path):
     assert len(json.loads(call("sessions", "--limit", "3")[1])) == 3
     assert call("import", "--db", db)[0] == 0
     assert json.loads(call("search", "parser", "--db", db)[1])[0]["session_id"] == "s1"
+    assert call("import", "--db", db, "--embedder", "bytes-4")[0] == 0
+    assert json.loads(call("search", "fix the parser", "--mode", "semantic", "--db", db)[1])[0]["score"] == pytest.approx(1)
+    assert json.loads(call("search", "parser", "--mode", "hybrid", "--db", db)[1])
+    with pytest.raises(ModelMissing):
+        embedder("minilm")
     assert json.loads(call("stats", "--by", "day", "--db", db)[1])
     assert json.loads(call("show", "s1", "--message", "1")[1])["role"] == "user" and call("show", "nope")[0] == 1 and call("show", "s1", "--message", "99")[0] == 1
     assert any(r["status"] == "warn" for r in json.loads(call("doctor")[1]))
