@@ -267,7 +267,7 @@ def fit(docs: list[tuple[list[list[str]], int]], rounds: int = 4, doubt=(-99.0,
             part = [rows] if k == rounds - 1 else [rows[half[rows] == i] for i in (0, 1)]
             halves = [train(r, label[doc[r]], np.where(label[doc[r]] == 1, positive, 1.0), 4 + 4 * (k == rounds - 1)) for r in part]
         w = halves[0]
-    return w, -1.6
+    return w, -1.0
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int, restorer: Restorer) -> list:
