@@ -4,7 +4,7 @@ A disguised token becomes a lattice: every observed character can stand for the
 a mask for any letter, separators and repetitions for nothing. Viterbi finds the most likely letters
 under a character language model: a mixture of 4-grams counted over all documents and a word list.
 A token whose characters each have one reading is its own best path, so only tokens with a choice are
-decoded.
+decoded. A doubled letter is a choice between the word as it is and the listed words it can stand for.
 """
 
 from __future__ import annotations
@@ -99,7 +99,7 @@ def log_probabilities(counts: np.ndarray) -> np.ndarray:
     return np.log((c4 + 2 * p3[None]) / (c4.sum(-1, keepdims=True) + 2)).astype(np.float32)
 
 
-_COST = {"same": 0.0, "leet": -0.7, "digit": -2.5, "mask": -0.5, "gap": -0.3, "repeat": -0.4, "swap": -2.0}
+_COST = {"same": 0.0, "leet": -0.7, "digit": -2.5, "mask": -0.5, "gap": -0.3, "repeat": -0.4, "swap": -2.0, "doubt": -4.0}
 
 
 class Restorer:
@@ -178,11 +178,20 @@ class Restorer:
                 states = dict(sorted(states.items(), key=lambda x: -x[1][0])[:400])
         return max(((s + float(self.model[a, b, c, 0]), w) for (a, b, c), (s, w) in states.items()), default=(-1e9, ""))
 
+    def doubled(self, t: str) -> str:
+        """The listed word that a word with doubled letters stands for, if likelier than the word as it is.
+
+        Doubled letters are ordinary spelling, so a disguise is doubted at first; words common in the documents
+        ('bitte') stay, and so do words that are none of the list without their doubled letters ('harness').
+        """
+        score, word = self.in_list(self.lattice(t))
+        return word if score + _COST["doubt"] > self.decode([[(c, _COST["same"])] for c in t])[0] else t
+
     def token(self, t: str) -> str:
         got = self.memo.get(t)
         if got is None:
-            if t.isalpha() and not _TRIPLE.search(t):  # a word as it is, or two letters swapped in a listed one
-                got = t if t in self.known else self.swaps.get(t, t)
+            if t.isalpha() and not _TRIPLE.search(t):  # a word as it is, two letters swapped in a listed one, or letters doubled in one
+                got = t if t in self.known else self.swaps.get(t) or (self.doubled(t) if _DOUBLE.search(t) else t)
             elif _HEX.match(t):
                 got = t
             else:
@@ -198,16 +207,17 @@ class Restorer:
 
 
 _HEX = re.compile(r"(?=(?:[a-f]*[0-9]){2})[0-9a-f]{5,}$")
+_DOUBLE = re.compile(r"(.)\1")
 _TRIPLE = re.compile(r"(.)\1\1")
 _L = "[a-z]"
 # A disguised token: letters set apart by separators, or letters mixed with signs; words with three of a letter or
-# five letters and more, which may have two letters swapped. Paths, calls, addresses and numbers are left alone.
+# four letters and more, which may have two letters swapped or letters doubled. Paths, calls, addresses and numbers are left alone.
 _UNIT = re.compile(
     r"(?<![\w/.:@<`\-])(?:"
     + rf"{_L}(?:(?P<sep>[.\-_~·*]){_L})(?:(?P=sep){_L}){{1,60}}(?![\w/(:@=])"
     + rf"|{_L}(?: {_L}){{2,60}}(?: [a-z]\b)?(?![\w'/(:@=*.])"
     + r"|(?=[a-z0-9@$!|+(*#€£¡&]{0,24}[a-z])(?=[a-z]{0,24}[0-9@$!|+(*#€£¡&])[a-z0-9@$!|+*#€£¡&(]{3,24}(?<![!+&|])(?:(?<!\()|(?=[\s,.;]|$))(?![\w/(:@=.\-]\w)"
-    + r"|[a-z]{5,24}(?![\w/(:@=])"
+    + r"|[a-z]{4,48}(?![\w/(:@=])"
     + r"|[a-z]{0,20}([a-z])\2\2[a-z]{0,40}(?![\w/(:@=])"
     + r")"
 )

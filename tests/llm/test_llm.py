@@ -163,6 +163,15 @@ def test_restoration():
         assert r.text(t) == t
 
 
+def test_doubled_letters_are_restored():
+    common = R.log_probabilities(R.count_ngrams(["bitte weiss harness process " * 500, " ".join(w for v in A.WORDS.values() for w in v)]))
+    r = R.Restorer(common, [w for v in A.WORDS.values() for w in v])
+    for disguised, plain in {"what a creetin!!": "what a cretin!!", "wet puussy": "wet pussy", "you moorronn": "you moron", "sexx": "sex"}.items():
+        assert r.text(disguised) == plain
+    for t in ["bitte", "i weiss", "the harness", "process it", "killing asshole", "pussy"]:
+        assert r.text(t) == t
+
+
 def test_viterbi_is_the_best_path_of_the_lattice():
     m = model()
     r = R.Restorer(m, ["xxxxx"])
