@@ -1,7 +1,7 @@
 """Noisy-channel restoration of disguised words.
 
 A disguised token becomes a lattice: every observed character can stand for the letters it resembles,
-a mask for any letter, separators and repetitions for nothing. Viterbi finds the most likely letters
+a mask for any letter, repetitions for nothing, separators for nothing or a word edge. Viterbi finds the most likely letters
 under a character language model: a mixture of 4-grams counted over all documents and a word list.
 A token whose characters each have one reading is its own best path, so only tokens with a choice are
 decoded. A doubled letter is a choice between the word as it is and the listed words it can stand for.
@@ -99,7 +99,7 @@ def log_probabilities(counts: np.ndarray) -> np.ndarray:
     return np.log((c4 + 2 * p3[None]) / (c4.sum(-1, keepdims=True) + 2)).astype(np.float32)
 
 
-_COST = {"same": 0.0, "leet": -0.7, "digit": -2.5, "mask": -0.5, "gap": -0.3, "repeat": -0.4, "swap": -2.0, "doubt": -4.0}
+_COST = {"same": 0.0, "leet": -0.7, "digit": -2.5, "mask": -0.5, "gap": -0.3, "edge": -1.35, "repeat": -0.4, "swap": -2.0, "doubt": -4.0}
 
 
 class Restorer:
@@ -123,7 +123,7 @@ class Restorer:
 
     @staticmethod
     def lattice(token: str) -> list[list[tuple[str, float]]]:
-        """Per position the letters it can stand for ('' for none) with their log channel probability."""
+        """Per position the letters it can stand for ('' for none, ' ' for a word edge) with their log channel probability."""
         out = []
         for i, c in enumerate(token):
             inner = 0 < i < len(token) - 1
@@ -138,34 +138,35 @@ class Restorer:
                 if not c.isdigit():
                     alts.append(("", _COST["digit"]))
             elif c in SEPARATORS and inner:
-                alts = [("", _COST["gap"])]
+                alts = [("", _COST["gap"]), (" ", _COST["edge"])]
             else:
                 alts = [("", _COST["digit"])]
             out.append(alts)
         return out
 
-    def in_list(self, lattice) -> tuple[float, str]:
-        """Best word of the list that the lattice can stand for."""
-        paths = [(0.0, self.trie)]
-        for alts in lattice:
-            nxt: dict[int, tuple[float, dict]] = {}
-            for score, node in paths:
-                for c, cost in alts:
-                    at = node if c == "" else node.get(c)
-                    if at is not None and (id(at) not in nxt or nxt[id(at)][0] < score + cost):
-                        nxt[id(at)] = (score + cost, at)
-            paths = list(nxt.values())
-        done = [(score - np.log(len(self.words)), node["$"]) for score, node in paths if "$" in node]
-        return max(done, default=(-1e9, ""))
-
-    def decode(self, lattice) -> tuple[float, str]:
-        """Viterbi path under the 4-grams; states are the last three letters."""
-        states = {(0, 0, 0): (0.0, "")}
+    def decode(self, lattice, free: bool = True, listed: bool = False) -> tuple[float, str]:
+        """Viterbi path under the 4-grams (free), the word list (listed) or, word by word, the likelier of both.
+
+        States are the last three letters of a free word and the trie node of a listed one; a word edge ends the
+        best word of either kind and begins both anew.
+        """
+
+        def begin(score, text):
+            return {(0, 0, 0): (score, text)} if free else {}, {id(self.trie): (score, text, self.trie)} if listed else {}
+
+        def ended(states, nodes):
+            done = [(s + float(self.model[a, b, c, 0]), w) for (a, b, c), (s, w) in states.items()]
+            return done + [(s - rate, w) for s, w, node in nodes.values() if "$" in node]
+
+        rate = np.log(len(self.words)) if listed else 0.0
+        states, nodes = begin(0.0, "")
         for alts in lattice:
             nxt: dict = {}
             for (a, b, c), (score, word) in states.items():
                 row = self.model[a, b, c]
                 for x, cost in alts:
+                    if x == " ":
+                        continue
                     if x == "":
                         key, s, w = (a, b, c), score + cost, word
                     else:
@@ -173,10 +174,24 @@ class Restorer:
                         key, s, w = (b, c, k), score + cost + float(row[k]), word + x
                     if key not in nxt or nxt[key][0] < s:
                         nxt[key] = (s, w)
-            states = nxt
+            near: dict = {}
+            for score, word, node in nodes.values():
+                for x, cost in alts:
+                    at = node if x == "" else node.get(x)
+                    if at is not None and (id(at) not in near or near[id(at)][0] < score + cost):
+                        near[id(at)] = (score + cost, word + x, at)
+            for x, cost in alts:
+                done = [(s, w) for s, w in ended(states, nodes) if w and w[-1] != " "] if x == " " else []
+                if done:
+                    s, w = max(done)
+                    fresh, roots = begin(s + cost, w + " ")
+                    # a separator that means nothing at the start of a word leaves an older state there
+                    nxt.update({k: v for k, v in fresh.items() if k not in nxt or nxt[k][0] < v[0]})
+                    near.update({k: v for k, v in roots.items() if k not in near or near[k][0] < v[0]})
+            states, nodes = nxt, near
             if len(states) > 400:
                 states = dict(sorted(states.items(), key=lambda x: -x[1][0])[:400])
-        return max(((s + float(self.model[a, b, c, 0]), w) for (a, b, c), (s, w) in states.items()), default=(-1e9, ""))
+        return max(ended(states, nodes), default=(-1e9, ""))
 
     def doubled(self, t: str) -> str:
         """The listed word that a word with doubled letters stands for, if likelier than the word as it is.
@@ -184,7 +199,7 @@ class Restorer:
         Doubled letters are ordinary spelling, so a disguise is doubted at first; words common in the documents
         ('bitte') stay, and so do words that are none of the list without their doubled letters ('harness').
         """
-        score, word = self.in_list(self.lattice(t))
+        score, word = self.decode(self.lattice(t), free=False, listed=True)
         return word if score + _COST["doubt"] > self.decode([[(c, _COST["same"])] for c in t])[0] else t
 
     def token(self, t: str) -> str:
@@ -195,8 +210,7 @@ class Restorer:
             elif _HEX.match(t):
                 got = t
             else:
-                lattice = self.lattice(t)
-                got = max(self.in_list(lattice), self.decode(lattice) if t.count("*") < 3 else (-1e9, t))[1] or t
+                got = self.decode(self.lattice(t), free=t.count("*") < 3, listed=True)[1] or t
             if len(self.memo) < 200_000:
                 self.memo[t] = got
         return got
@@ -214,8 +228,8 @@ _L = "[a-z]"
 # four letters and more, which may have two letters swapped or letters doubled. Paths, calls, addresses and numbers are left alone.
 _UNIT = re.compile(
     r"(?<![\w/.:@<`\-])(?:"
-    + rf"{_L}(?:(?P<sep>[.\-_~·*]){_L})(?:(?P=sep){_L}){{1,60}}(?![\w/(:@=])"
-    + rf"|{_L}(?: {_L}){{2,60}}(?: [a-z]\b)?(?![\w'/(:@=*.])"
+    + rf"{_L}(?:(?P<sep>[.\-_~·*]){_L})(?:(?P=sep){_L}){{1,240}}(?![\w/(@=]|:\w)"
+    + rf"|{_L}(?: {_L}){{2,240}}(?: [a-z]\b)?(?![\w'/(@=*]|[:.]\w)"
     + r"|(?=[a-z0-9@$!|+(*#€£¡&]{0,24}[a-z])(?=[a-z]{0,24}[0-9@$!|+(*#€£¡&])[a-z0-9@$!|+*#€£¡&(]{3,24}(?<![!+&|])(?:(?<!\()|(?=[\s,.;]|$))(?![\w/(:@=.\-]\w)"
     + r"|[a-z]{4,48}(?![\w/(:@=])"
     + r"|[a-z]{0,20}([a-z])\2\2[a-z]{0,40}(?![\w/(:@=])"

@@ -172,6 +172,21 @@ def test_doubled_letters_are_restored():
         assert r.text(t) == t
 
 
+def test_separators_can_be_word_edges():
+    r = R.Restorer(model(), [w for v in A.WORDS.values() for w in v])
+    for disguised, plain in {"liked a h a l f w i t like you": "liked a halfwit like you", "y o u i d i o t": "you idiot", "y-o-u-i-d-i-o-t": "you idiot", "you are a s t u p i d m o r o n.": "you are a stupid moron.", "l.o.s.e.r: go": "loser: go"}.items():
+        assert r.text(disguised) == plain
+    lattice = r.lattice("a.k1.e")
+    paths = [("", 0.0)]
+    for alts in lattice:
+        paths = [(w + c, s + cost) for w, s in paths for c, cost in alts if c != " " or w and w[-1] != " "]
+    rate = lambda w: sum(float(r.model[tuple(R._CODE[c] for c in ("^^^" + w + "^")[i : i + 4])]) for i in range(len(w) + 1))
+    either = lambda w: max(rate(w), -np.log(len(r.words)) if w in r.known else -1e9)
+    best = max((s + sum(either(x) for x in w.split(" ")), w) for w, s in paths)
+    got = r.decode(lattice, listed=True)
+    assert got[1] == best[1] and got[0] == pytest.approx(best[0], rel=1e-4)
+
+
 def test_viterbi_is_the_best_path_of_the_lattice():
     m = model()
     r = R.Restorer(m, ["xxxxx"])
