@@ -32,6 +32,7 @@ _START = dict(zip(_BLOCKS, np.cumsum([0, *_BLOCKS.values()])))
 _WIDTH = sum(_BLOCKS.values())
 _ISO = re.compile(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
 _NUM = re.compile(r"^-?\d+(\.\d+)?$")
+_BOOLEAN = {w: t for t, ws in {"true": "true yes y on t 1 1.0", "false": "false no n off f 0 0.0 -0.0"}.items() for w in ws.split()}
 
 
 def _never(x):
@@ -320,11 +321,11 @@ def distinct_lines(records: DataFrame) -> DataFrame:
 
 
 def unified_table(records: DataFrame) -> DataFrame:
-    """One row per record: record_id, stream, source_file, written_at, fields (map of canonical name to text).
+    """One row per record: record_id, stream, source_file, written_at, fields and uncast (maps of canonical name to text).
 
     A field's canonical name is the path under which the chain of correspondences first had it; its
-    values are cast to the type most of that name's files have, and a value that cannot be cast is left
-    out. Lines that are no records are dropped.
+    values are cast to the type most of that name's files in the stream have, and a value that cannot be
+    cast keeps its text in uncast. Lines that are no records are dropped.
     """
     ws = Workspace(records.sparkSession)
     lines, _ = ws.write(distinct_lines(records), "lines")
@@ -336,8 +337,8 @@ def unified_table(records: DataFrame) -> DataFrame:
     chain = chain.select(F.hex(F.encode("id", "utf-8")).alias("id"), F.hex(F.encode("parent_id", "utf-8")).alias("parent_id"))
     roots = hierarchy(chain).select(F.decode(F.unhex("id"), "utf-8").alias("id"), F.from_json(F.decode(F.unhex("root_id"), "utf-8"), "array<string>")[2].alias("canonical"))
     named = at.withColumn("id", key(F.col("idx"), F.col("new_path"))).join(roots, "id").select("stream", "source_file", F.col("new_path").alias("path"), "canonical", F.col("new_type").alias("type"))
-    kinds = named.groupBy("canonical", "type").agg(F.count("*").alias("n")).groupBy("canonical").agg(F.max_by("type", F.struct("n", "type")).alias("as_type"))
-    maps = named.join(kinds, "canonical").groupBy("stream", "source_file").agg(F.map_from_entries(F.collect_list(F.struct("path", F.struct("canonical", "as_type")))).alias("names"))
+    kinds = named.groupBy("stream", "canonical", "type").agg(F.count("*").alias("n")).groupBy("stream", "canonical").agg(F.max_by("type", F.struct("n", "type")).alias("as_type"))
+    maps = named.join(kinds, ["stream", "canonical"]).groupBy("stream", "source_file").agg(F.map_from_entries(F.collect_list(F.struct("path", F.struct("canonical", "as_type")))).alias("names"))
     maps, seen = ws.write(maps, "maps", n=F.count("*"))
     joined = lines.join(F.broadcast(maps) if (seen["n"] or 0) <= BROADCAST_ROWS // 10 else maps, ["stream", "source_file"])
 
@@ -348,26 +349,30 @@ def unified_table(records: DataFrame) -> DataFrame:
             return json.dumps(v if isinstance(v, list) else v.split(",") if isinstance(v, str) else [v])
         if kind == "number":
             return json.dumps(v) if type_of(v) == 0 else v if isinstance(v, str) and _NUM.match(v) else str(int(v)) if isinstance(v, bool) else None
-        return json.dumps(v) if isinstance(v, bool) else v.lower() if str(v).lower() in ("true", "false") and isinstance(v, str) else {"0": "false", "1": "true"}.get(str(v))
+        return None if isinstance(v, list) else _BOOLEAN.get(str(v).strip().lower())
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            out, left = [], []
             for names, text in zip(b["names"], b["payload"]):
                 o = strict_object(text)
                 if o is None:
                     out.append(None)
+                    left.append(None)
                     continue
                 names = dict(names)
-                got = {}
+                got, rest = {}, {}
                 for path, v in leaves(o):
                     if v is not None and path in names:
                         c = names[path]
                         x = cast(v, c["as_type"])
                         if x is not None:
                             got[c["canonical"]] = x
+                        else:
+                            rest[c["canonical"]] = cast(v, "string")
                 out.append(got)
-            res = b[["record_id", "stream", "source_file", "written_at"]].assign(fields=out)
+                left.append(rest)
+            res = b[["record_id", "stream", "source_file", "written_at"]].assign(fields=out, uncast=left)
             yield res[res["fields"].notna()]
 
-    return joined.select("record_id", "stream", "source_file", F.col("written_at").cast("string").alias("written_at"), "payload", "names").mapInPandas(rows, "record_id bigint, stream string, source_file string, written_at string, fields map<string,string>")
+    return joined.select("record_id", "stream", "source_file", F.col("written_at").cast("string").alias("written_at"), "payload", "names").mapInPandas(rows, "record_id bigint, stream string, source_file string, written_at string, fields map<string,string>, uncast map<string,string>")

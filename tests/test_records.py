@@ -182,6 +182,19 @@ def test_unified_table_follows_renames(spark):
     assert len(got) == 40 and all(set(r.fields) == {"git_sha", "n"} for r in got)
 
 
+def test_unified_table_loses_no_value(spark):
+    a = [{"is_error": i % 3 == 0, "n": i} for i in range(20)]
+    b = [{"is_error": "Yes" if i % 3 == 0 else "no", "n": f"{i} s"} for i in range(19)] + [{"is_error": "unknown", "n": [1]}]
+    other = [{"n": f"text {i}", "is_error": 3} for i in range(20)]
+    files = [("s", f"f{k}", f"2026-01-0{k + 1} 00:00:00", x) for k, x in enumerate([a, a, a, b])] + [("t", "g", "2026-01-01 00:00:00", other)]
+    got = D.unified_table(records(spark, files)).collect()
+    assert len(got) == 100 and all(set(r.fields) | set(r.uncast) == {"is_error", "n"} and not set(r.fields) & set(r.uncast) for r in got)
+    last = sorted((r for r in got if r.source_file == "f3"), key=lambda r: r.record_id)
+    assert [r.fields.get("is_error") for r in last] == ["true" if i % 3 == 0 else "false" for i in range(19)] + [None]
+    assert last[-1].uncast == {"is_error": "unknown", "n": "[1]"} and last[0].uncast == {"n": "0 s"}
+    assert {r.fields["n"][:5] for r in got if r.stream == "t"} == {"text "} and not any(r.uncast for r in got if r.stream == "t")
+
+
 # ---- p5 -------------------------------------------------------------------------------------------
 
 
