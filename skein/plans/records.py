@@ -12,9 +12,9 @@ from skein.operators import nested as N
 from skein.runtime import blank, table
 
 
-def _objects(spark: SparkSession, d: str) -> DataFrame:
-    m = N.listed_objects(table(spark, d, "messages"), "message_json", ["session_id", "ordinal"])
-    s = N.listed_objects(table(spark, d, "sessions").select(F.col("id").alias("session_id"), F.lit(-1).cast("long").alias("ordinal"), "session_json"), "session_json", ["session_id", "ordinal"])
+def _objects(spark: SparkSession, d: str, of=N.listed_objects) -> DataFrame:
+    m = of(table(spark, d, "messages"), "message_json", ["session_id", "ordinal"])
+    s = of(table(spark, d, "sessions").select(F.col("id").alias("session_id"), F.lit(-1).cast("long").alias("ordinal"), "session_json"), "session_json", ["session_id", "ordinal"])
     return s.unionByName(m)
 
 
@@ -50,6 +50,22 @@ def p2_hunks(spark: SparkSession, d: str) -> DataFrame:
     return _part_of(spark, d, "hunks")
 
 
+def p2_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every field of every object, of kinds without a table too."""
+    return _objects(spark, d, N.listed_fields).distinct()
+
+
+def _query_of(name: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return _part_of(spark, d, name)
+
+    query.__name__ = f"p2_{name}"
+    return query
+
+
+_KINDS = [_query_of(n) for n in N.TABLES if f"p2_{n}" not in globals()]
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     changes = D.compare_files(D.profile_files(D.distinct_lines(table(spark, d, "raw_records"))))
     return changes.where("change not in ('same', 'first')").select("stream", "source_file", "change", "old_path", "new_path")
@@ -103,7 +119,7 @@ def p3_subtree_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_turns, p2_model_costs, p2_compactions, p2_parts, p2_edits, p2_hunks, p3_found, p3_descendants, p3_subtree_sizes, p4_found, p4_unified, p5_found, p5_normalised)
+    for f in (p2_found, p2_turns, p2_model_costs, p2_compactions, p2_parts, p2_edits, p2_hunks, p2_fields, *_KINDS, p3_found, p3_descendants, p3_subtree_sizes, p4_found, p4_unified, p5_found, p5_normalised)
 }
 
 _TREE = """

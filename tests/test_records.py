@@ -15,7 +15,7 @@ import __spark_entry__ as E
 from skein.operators import drift as D
 from skein.operators.hierarchy import descendants, hierarchy, subtree_sizes
 from skein.operators.instants import CANONICAL, normalise
-from skein.operators.nested import REGISTRIES, SINGLES, TABLES, flat_table, listed_objects
+from skein.operators.nested import REGISTRIES, SINGLES, TABLES, flat_table, listed_fields, listed_objects
 
 # ---- p2 -------------------------------------------------------------------------------------------
 
@@ -92,6 +92,22 @@ def test_flat_tables_and_clashing_columns(spark):
     assert listed_objects(df.limit(0), "j", ["id"]).count() == 0
 
 
+def test_every_kind_of_object_has_a_table(spark, small):
+    queries = E.queries()
+    assert {f"p2_{n}" for n in TABLES} | {"p2_fields"} <= set(queries)
+    found = queries["p2_found"](spark, small)
+    none = found.where(~F.col("path").rlike("|".join(p for p, _ in TABLES.values())))
+    assert none.count() == 0
+    assert all(queries[f"p2_{n}"](spark, small).count() for n in ("windows", "peers", "hooks", "steps", "grid", "marks"))
+
+
+def test_fields_of_any_kind(spark):
+    text = json.dumps({"a": 1, "turns": {"t": {"id": "x", "deep": {"y": None, "tags": ["p", 2]}}, "s": "scalar"}, "new": [{"kinds": [{"k.1": True, "e": {}}], "l": []}, {}, 7], "peers": {"peer_id": "z"}})
+    df = spark.createDataFrame([(1, text), (2, "[1]"), (3, None)], "k long, j string")
+    got = {(r.path, r.parent_path, r.field, r.value) for r in listed_fields(df, "j", ["k"]).collect()}
+    assert got == {("", "", "a", "1"), ("turns{t}", "", "id", "x"), ("turns{t}", "", "deep.y", None), ("turns{t}", "", "deep.tags[0]", "p"), ("turns{t}", "", "deep.tags[1]", "2"), ("", "", "turns{s}", "scalar"), ("new[0].kinds[0]", "new[0]", "k.1", "true"), ("new[0].kinds[0]", "new[0]", "e", "{}"), ("new[0]", "", "l", "[]"), ("", "", "new[2]", "7"), ("peers[0]", "", "peer_id", "z")}
+
+
 # ---- p3 -------------------------------------------------------------------------------------------
 
 
