@@ -242,9 +242,15 @@ def _lse(x, axis):
     return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def infer(unary: np.ndarray, chains: list[tuple[int, int]], skips: np.ndarray, trans: np.ndarray, start: np.ndarray, end: np.ndarray, skip: np.ndarray, rounds: int = 3) -> np.ndarray:
-    """Label marginals of all tokens: chains are passed exactly, skip edges by loopy messages between rounds."""
+def infer(unary: np.ndarray, chains: list[tuple[int, int]], skips: np.ndarray, trans: np.ndarray, start: np.ndarray, end: np.ndarray, skip: np.ndarray, rounds: int = 200, least: float = 1e-3) -> np.ndarray:
+    """Label marginals of all tokens: chains are passed exactly, skip edges by loopy messages between rounds.
+
+    Rounds end when no message changes by `least`, or at the latest after `rounds`, since loops may oscillate.
+    After the first only chains with a skip edge are passed again.
+    """
     n = len(unary)
+    joined = np.zeros(n + 1, bool)
+    joined[skips.ravel()] = True
     extra = np.zeros_like(unary)
     msg = np.zeros((len(skips), 2, _Y))
     groups: dict[int, list] = {}
@@ -258,6 +264,8 @@ def infer(unary: np.ndarray, chains: list[tuple[int, int]], skips: np.ndarray, t
         padded.append((idx, idx < n))
     belief = np.zeros_like(unary)
     for r in range(rounds if len(skips) else 1):
+        if r == 1:
+            padded = [(idx[on], live[on]) for idx, live in padded if (on := (joined[idx] & live).any(1)).any()]
         node = np.vstack([unary + extra, np.zeros((1, _Y))])
         for idx, live in padded:
             u = node[idx]
@@ -274,12 +282,14 @@ def infer(unary: np.ndarray, chains: list[tuple[int, int]], skips: np.ndarray, t
                 bwd[on, t] = _lse(trans + (u[on, t + 1] + bwd[on, t + 1])[:, None, :], 2)
             b = (fwd + bwd)[live]
             belief[idx[live]] = b - _lse(b, 1)[:, None]
-        if len(skips) and r < rounds - 1:
+        if len(skips):
             new = np.empty_like(msg)
             for d in (0, 1):
                 out = belief[skips[:, d]] - msg[:, 1 - d]
                 m = _lse(out[:, :, None] + skip, 1)
                 new[:, d] = m - m.max(1, keepdims=True)
+            if np.abs(new - msg).max() < least:
+                break
             msg = 0.5 * msg + 0.5 * new
             extra = np.zeros_like(unary)
             np.add.at(extra, skips[:, 1], msg[:, 0])

@@ -68,6 +68,22 @@ def test_loopy_inference_equals_enumeration(field):
     assert np.abs(both[0] - j.sum(1)).max() < 0.02
 
 
+def test_messages_pass_until_they_converge():
+    n, y = 12, P._Y
+    r = np.random.default_rng(5)
+    unary = np.zeros((n, y))
+    unary[0, 6] = 4.0
+    skip = np.eye(y) * 2.5
+    trans, start, end = r.normal(size=(y, y)) * 0.1, np.zeros(y), np.zeros(y)
+    got = P.infer(unary, [(i, i + 1) for i in range(n)], np.array([(i, i + 1) for i in range(n - 1)]), trans, start, end, skip)
+    fwd, bwd = unary.copy(), np.zeros((n, y))
+    for i in range(1, n):
+        fwd[i] += P._lse(fwd[i - 1][:, None] + skip, 0)
+        bwd[n - 1 - i] = P._lse(skip + (unary[n - i] + bwd[n - i])[None, :], 1)
+    want = fwd + bwd
+    assert np.abs(np.exp(got) - np.exp(want - P._lse(want, 1)[:, None])).max() < 0.01 and set(got.argmax(1)) == {6}
+
+
 def test_pii_odd_inputs(spark, field):
     rows = [(None, 0), ("", 1), ("x" * 200_000, 2), ("Ask Rosa Drinova. " * 2000, 3), ("😀 ping a.b@c.test", 4), ("😀 ping a.b@c.test", 4), ("\n\x00‮", 5)]
     df = spark.createDataFrame(rows, "text string, id int").withColumns({"_t": F.lit(1), "start_pos": F.lit(2)})
