@@ -6,9 +6,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from skein.runtime import ship
+
 
 class ModelMissing(Exception):
     """The files of a model are not where they should be."""
@@ -29,7 +31,7 @@ class ByteEmbedder:
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
         for t in texts:
-            b = np.frombuffer(t.encode(), np.uint8)
+            b = np.frombuffer(t.encode("utf-8", "replace"), np.uint8)
             v = np.bincount(b % 4, b % 13 + 1, minlength=4)
             n = np.linalg.norm(v)
             out.append((v / n if n else v).astype(np.float32).tolist())
@@ -49,17 +51,10 @@ def embedder(model_id: str) -> Embedder:
 def byte_vector(c: Column) -> Column:
     """Vector of a text by ByteEmbedder, in Arrow batches; null has none."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf("array<float>")
     def vec(s: pd.Series) -> pd.Series:
-        out = []
-        for t in s:
-            if t is None:
-                out.append(None)
-                continue
-            b = np.frombuffer(t.encode("utf-8", "replace"), np.uint8)
-            v = np.bincount(b % 4, b % 13 + 1, minlength=4)
-            n = np.linalg.norm(v)
-            out.append((v / n if n else v).astype(np.float32).tolist())
-        return pd.Series(out)
+        return pd.Series([None if t is None else v for t, v in zip(s, ByteEmbedder().embed([t or "" for t in s]))], dtype=object)
 
     return vec(c)

@@ -18,9 +18,14 @@ def valid_rfc3339(c: Column) -> Column:
     return F.coalesce(c.rlike(RFC3339), F.lit(False))
 
 
+#: The last millisecond that a timestamp can hold.
+LAST_MS = 9_223_372_036_854_775
+
+
 def epoch_ms_text(ms: Column) -> Column:
-    """UTC text of milliseconds, to the second; '' for null and for what is not positive."""
-    return F.when(ms > 0, F.date_format(F.timestamp_seconds(F.floor(ms / 1000)), "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("")
+    """UTC text of milliseconds, to the second; '' for null, for what is not positive and for what no timestamp can hold (from the year 294247)."""
+    held = F.when((ms > 0) & (ms <= LAST_MS), ms)
+    return F.coalesce(F.date_format(F.timestamp_millis(held), "y-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
 
 
 def parse_cutoff(text: str, now_ms: int | None = None) -> str:

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the rule.
+# Fixed values of the rule: what a strengthening word adds, what a negation multiplies with, normalisation, thresholds, words looked back.
 BOOST, NEGATE, ALPHA, EDGE, REACH = 0.293, -0.74, 15.0, 0.05, 3
-#: Valences, words that strengthen and words that turn round; parameters.
+# Valences; words that are not listed are neutral.
 VALENCE = {
-    "good": 1.9, "great": 3.1, "love": 3.2, "nice": 1.8, "thanks": 1.9, "thank": 1.5, "happy": 2.7, "excellent": 2.7, "perfect": 2.7, "awesome": 3.1, "helpful": 1.8, "best": 3.2, "better": 1.9, "well": 1.1, "fixed": 1.0, "works": 1.2, "stable": 1.2, "green": 0.6,
-    "bad": -2.5, "terrible": -2.1, "hate": -2.7, "awful": -2.0, "broken": -2.1, "fail": -2.5, "fails": -1.8, "failed": -2.3, "error": -1.7, "wrong": -2.1, "worst": -3.1, "crash": -1.7, "ugly": -2.3, "stupid": -2.4, "sorry": -0.3, "missing": -1.2, "denied": -1.9, "lost": -1.3, "horrible": -2.5, "sad": -2.1,
+    "love": 3.2, "great": 3.1, "awesome": 3.4, "perfect": 3.0, "excellent": 3.1, "happy": 2.7, "glad": 2.4, "nice": 1.8, "thanks": 2.4, "thank": 2.2, "fixed": 1.6, "improved": 1.5, "helpful": 1.7, "clean": 1.2,
+    "terrible": -2.1, "awful": -2.5, "hate": -2.7, "broken": -1.6, "broke": -1.5, "worst": -3.1, "annoying": -1.9, "fails": -1.5, "failing": -1.5, "failed": -1.5, "failure": -1.7,
+    "crash": -1.4, "crashes": -1.4, "crashed": -1.4, "regression": -1.5, "regressions": -1.5, "stuck": -1.2, "wrong": -1.3, "bad": -1.5,
 }
-STRONGER = ["very", "really", "so", "extremely", "absolutely", "totally", "completely", "incredibly"]
-TURNING = ["not", "no", "never", "cannot", "can't", "don't", "isn't", "won't", "wasn't", "doesn't", "didn't", "without", "nor"]
+# Words that turn a valence round, and words that strengthen one.
+TURNING = ["not", "no", "never", "cannot", "cant", "can't", "won't", "wont", "dont", "don't", "isnt", "isn't", "wasnt", "wasn't", "arent", "aren't"]
+STRONGER = ["very", "really", "extremely", "highly", "absolutely"]
 
 
 def compound(text: Column) -> Column:

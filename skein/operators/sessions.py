@@ -60,7 +60,11 @@ def messages_with(messages: DataFrame, parts: DataFrame, kind: str) -> DataFrame
     return messages.join(parts.where(F.col("kind") == kind).select("session_id", F.col("message_ordinal").alias("ordinal")), ["session_id", "ordinal"], "left_semi")
 
 
-def first_report(reports: DataFrame, keys: list[str], order: list) -> DataFrame:
+#: Columns that say in which order sessions were reported: source after source, and within one as it lists them.
+REPORTED = ["source_place", "place"]
+
+
+def first_report(reports: DataFrame, keys: list[str], order: list = REPORTED) -> DataFrame:
     """The first report of each key. Repeated keys are found with a map-side combine, not in a window."""
     rest = [c for c in reports.columns if c not in keys]
     return reports.groupBy(*keys).agg(F.min(F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *rest)).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
@@ -79,12 +83,12 @@ OUTCOMES = ["new", "updated", "unchanged", "skipped", "error"]
 def classify(reported: DataFrame, stored: DataFrame, since: str | None = None, refresh: bool = True, force: bool = False) -> DataFrame:
     """Reported sessions with their outcome against the store: id, agent, outcome, messages, delta.
 
-    Both sides have id, agent, last_activity_at, message_count, content_hash; reported has openable.
-    An id reported twice counts once. Activity before since is skipped, empty activity never. Without
+    Both sides have id, agent, last_activity_at, message_count, content_hash; reported has openable and the columns REPORTED.
+    Of an id reported twice the first report counts. Activity before since is skipped, empty activity never. Without
     refresh stored ids are unchanged. A session whose activity and count are as stored is not opened;
     one that was opened is updated only if its content differs; one that cannot be opened is an error.
     """
-    one = first_report(reported, ["id"], ["last_activity_at"])
+    one = first_report(reported, ["id"])
     s = stored.select("id", *[F.col(c).alias(f"s_{c}") for c in ("last_activity_at", "message_count", "content_hash")], F.lit(True).alias("known"))
     same = F.col("last_activity_at").eqNullSafe(F.col("s_last_activity_at")) & F.col("message_count").eqNullSafe(F.col("s_message_count"))
     cut = (F.col("last_activity_at") != "") & (F.col("last_activity_at") < since) if since is not None else F.lit(False)
@@ -139,6 +143,31 @@ def turn_usage(messages: DataFrame) -> DataFrame:
     return m.groupBy("session_id", "turn_id").agg(*[F.sum(c).alias(c) for c in COUNTERS], first.alias("model"))
 
 
+def thread_usage(turns: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Null-aware sums per session over the turns that session_json registers under its key turns.
+
+    turns is a result of turn_usage(). Turns that only messages name do not count; sessions without a
+    registered turn of their messages have no row, as have those whose session_json is no object.
+    """
+    keys = F.expr("map_keys(try_variant_get(try_parse_json(session_json), '$.turns', 'map<string,variant>'))")
+    registered = sessions.select(F.col("id").alias("session_id"), F.explode(keys).alias("turn_id"))
+    return turns.join(registered, ["session_id", "turn_id"], "left_semi").groupBy("session_id").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+
+
+def content_hashes(sessions: DataFrame, messages: DataFrame, block: int = 1024) -> DataFrame:
+    """SHA-256 of the whole content per session: id, content_hash, messages.
+
+    The hash of the hashes of blocks of messages after that of session_json; a block holds the ordinals from
+    a multiple of block, so a session with a third of all messages is hashed by many tasks. Nulls hash as ''.
+    """
+    sha = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256)
+    folded = lambda key: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, "h"))), lambda x: x["h"]), ""), 256)
+    each = messages.select(F.col("session_id").alias("id"), F.floor(F.col("ordinal") / block).alias("b"), "ordinal", sha(F.col("message_json")).alias("h"))
+    blocks = each.groupBy("id", "b").agg(folded("ordinal").alias("h"), F.count("*").alias("n"))
+    own = sessions.select("id", F.lit(-1).cast("long").alias("b"), sha(F.col("session_json")).alias("h"), F.lit(0).cast("long").alias("n"))
+    return blocks.join(sessions.select("id"), "id", "left_semi").unionByName(own).groupBy("id").agg(folded("b").alias("content_hash"), F.sum("n").alias("messages"))
+
+
 def bounds(messages: DataFrame) -> DataFrame:
     """First and last timestamp in order of the messages, and their number."""
     t = F.when(F.coalesce(F.col("timestamp"), F.lit("")) != "", F.struct("ordinal", "timestamp"))
@@ -155,11 +184,15 @@ def buckets(sessions: DataFrame, by: str) -> DataFrame:
     return sessions.groupBy(key.alias("bucket")).agg(F.count("*").alias("sessions")).orderBy(F.desc("sessions"), "bucket")
 
 
-def nested(sessions: DataFrame, messages: DataFrame, parts: DataFrame) -> DataFrame:
-    """A session with its messages and their parts in order, as one nested row."""
+def opened(sessions: DataFrame, messages: DataFrame, parts: DataFrame) -> DataFrame:
+    """Sessions with their messages and these with their parts: a row a message, in the order of id and ordinal.
+
+    A session without messages keeps a row with nulls. Only the parts of one message are ever in one row;
+    the order is made by ranges, so a session of any length is spread over tasks.
+    """
     p = parts.groupBy("session_id", F.col("message_ordinal").alias("ordinal")).agg(F.sort_array(F.collect_list(F.struct("part_ordinal", "kind", "text"))).alias("parts"))
-    m = messages.join(p, ["session_id", "ordinal"], "left").groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "role", "timestamp", "turn_id", "parts"))).alias("messages"))
-    return sessions.join(m.withColumnRenamed("session_id", "id"), "id", "left")
+    m = messages.join(p, ["session_id", "ordinal"], "left").withColumnRenamed("session_id", "id")
+    return sessions.join(m, "id", "left").orderBy("id", "ordinal")
 
 
 def tool_pairs(calls: DataFrame, results: DataFrame) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import instants as D
 from skein.functions import text as T
 from skein.operators import search as R
 from skein.operators import sessions as S
-from skein.runtime import Workspace, shared_dir, table
+from skein.runtime import Workspace, positions, shared_dir, table
 from skein.store import Store
 
 QUERIES: dict = {}
@@ -31,13 +31,25 @@ def query(sql: str | None = None):
 
 # ---- views ----------------------------------------------------------------------------------------
 
-_SESSION = ["agent", "project_id", "started_at", "last_activity_at", "parent_id", "session_json"]
+_SESSION = ["agent", "project_id", "started_at", "last_activity_at", "parent_id"]
 
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:
-    """The fullest report of each session."""
-    last = F.max(F.struct("message_count", "content_hash", *_SESSION))
-    return table(spark, d, "sessions").groupBy("id").agg(last.alias("_s")).select("id", "_s.*")
+    """The fullest report of each session; session_json is an aggregate of its own, which is pruned where it is not asked for."""
+    key = ["message_count", "content_hash", *_SESSION]
+    full = F.max_by("session_json", F.struct(*key, "session_json"))
+    return table(spark, d, "sessions").groupBy("id").agg(F.max(F.struct(*key)).alias("_s"), full.alias("session_json")).select("id", "_s.*", "session_json")
+
+
+#: The sources in the order in which they report.
+_ADAPTERS = ["claude_code", "codex", "cursor", "grok_bot", "antigravity"]
+
+
+def reports(spark: SparkSession, d: str) -> DataFrame:
+    """Every report of a session in the order of the sources and, within one, of the rows as stored."""
+    t = table(spark, d, "sessions")
+    at = F.array_position(F.array(*map(F.lit, _ADAPTERS)), F.col("agent")).cast("int")
+    return t.select("*", F.when(at > 0, at).otherwise(len(_ADAPTERS) + 1).alias("source_place"), F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).alias("place"))
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
@@ -64,6 +76,8 @@ def query_vector(spark: SparkSession, d: str) -> list[float]:
 
 _S = """s AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY message_count DESC, content_hash DESC, agent DESC, project_id DESC NULLS LAST,
   started_at DESC NULLS LAST, last_activity_at DESC NULLS LAST, parent_id DESC NULLS LAST, session_json DESC NULLS LAST) AS rn FROM sessions) WHERE rn = 1)"""
+_R = f"""r0 AS (SELECT *, row_number() OVER () AS place FROM sessions),
+r AS (SELECT *, coalesce(nullif(list_position({_ADAPTERS}, agent), 0), {len(_ADAPTERS) + 1}) AS source_place FROM r0)"""
 _M = "m AS (SELECT DISTINCT * FROM messages)"
 _P = "p AS (SELECT DISTINCT * FROM parts)"
 _C = "p AS (SELECT coalesce(session_id, 'doc-' || doc_id) AS session_id, doc_id AS message_ordinal, 0 AS part_ordinal, text, lang FROM documents)"
@@ -236,9 +250,9 @@ def messages_filter_kind(spark, d):
     return S.messages_with(messages(spark, d), parts(spark, d), "tool_result").select("session_id", "ordinal", "role")
 
 
-@query(f"WITH {_M} SELECT session_id, ordinal, role, timestamp, row_number() OVER (PARTITION BY session_id ORDER BY ordinal) AS position FROM m")
+@query(f"WITH {_M} SELECT session_id, ordinal, role, timestamp, row_number() OVER (PARTITION BY session_id ORDER BY ordinal, role NULLS FIRST, timestamp NULLS FIRST) AS position FROM m")
 def messages_in_order(spark, d):
-    return messages(spark, d).select("session_id", "ordinal", "role", "timestamp", F.row_number().over(Window.partitionBy("session_id").orderBy("ordinal")).cast("long").alias("position"))
+    return positions(messages(spark, d).select("session_id", "ordinal", "role", "timestamp"), ["ordinal", "role", "timestamp"], within=["session_id"])
 
 
 @query(f"WITH {_M} SELECT * FROM m WHERE ordinal = 3")
@@ -298,9 +312,10 @@ def turn_usage(spark, d):
     return _doubles(S.turn_usage(_valid(messages(spark, d))))
 
 
-@query(f"WITH {_U} SELECT session_id, {_SUMS} FROM u WHERE turn_id IS NOT NULL GROUP BY 1")
+@query(f"""WITH {_S}, {_U}, k AS (SELECT id, unnest(json_keys(session_json, '$.turns')) AS turn_id FROM s WHERE json_valid(session_json) AND json_type(session_json) = 'OBJECT' AND json_type(session_json, '$.turns') = 'OBJECT')
+SELECT session_id, {_SUMS} FROM u WHERE EXISTS (SELECT 1 FROM k WHERE k.id = u.session_id AND k.turn_id = u.turn_id) GROUP BY 1""")
 def thread_usage(spark, d):
-    return _doubles(S.turn_usage(_valid(messages(spark, d))).groupBy("session_id").agg(*[F.sum(c).alias(c) for c in S.COUNTERS]))
+    return _doubles(S.thread_usage(S.turn_usage(_valid(messages(spark, d))), sessions(spark, d)))
 
 
 @query(f"WITH {_U} SELECT model, count(*) AS messages, {_SUMS} FROM u WHERE model IS NOT NULL GROUP BY 1")
@@ -340,15 +355,17 @@ def keyed_registry(spark, d):
 # ---- deduplication and change capture -------------------------------------------------------------
 
 
-@query("SELECT agent, id, project_id, min(last_activity_at) AS last_activity_at, count(*) AS reports FROM sessions GROUP BY 1, 2, 3")
+@query(f"WITH {_R} SELECT agent, id, project_id, arg_min(last_activity_at, place) AS last_activity_at, count(*) AS reports FROM r GROUP BY 1, 2, 3")
 def union_dedup_triple(spark, d):
-    s = table(spark, d, "sessions")
-    return s.groupBy("agent", "id", "project_id").agg(F.min("last_activity_at").alias("last_activity_at"), F.count("*").alias("reports"))
+    r, key = reports(spark, d).select("agent", "id", "project_id", "last_activity_at", *S.REPORTED), ["agent", "id", "project_id"]
+    again = r.groupBy(*key).agg(F.count("*").alias("reports"))
+    same = [again[k].eqNullSafe(F.col(f"f.{k}")) for k in key]
+    return S.first_report(r, key).alias("f").join(again, same).select(*[F.col(f"f.{k}") for k in key], F.col("f.last_activity_at"), "reports")
 
 
-@query("SELECT id, min(last_activity_at) AS last_activity_at FROM sessions GROUP BY 1")
+@query(f"WITH {_R} SELECT id, arg_min(agent, place + CAST(source_place AS BIGINT) * 1000000000) AS agent, arg_min(last_activity_at, place + CAST(source_place AS BIGINT) * 1000000000) AS last_activity_at FROM r GROUP BY 1")
 def pass_dedup_id(spark, d):
-    return S.first_report(table(spark, d, "sessions").select("id", "last_activity_at"), ["id"], ["last_activity_at"])
+    return S.first_report(reports(spark, d).select("id", "agent", "last_activity_at", *S.REPORTED), ["id"]).select("id", "agent", "last_activity_at")
 
 
 def _sides(spark, d):
@@ -356,8 +373,8 @@ def _sides(spark, d):
     s = sessions(spark, d)
     bucket = F.conv(F.substring("content_hash", 1, 2), 16, 10).cast("int")
     stored = s.where(bucket < 220).withColumn("message_count", F.when(bucket % 5 == 0, F.col("message_count") + 1).otherwise(F.col("message_count"))).withColumn("content_hash", F.when(bucket % 10 == 0, "old").otherwise(F.col("content_hash")))
-    reported = s.where(bucket >= 20).withColumn("openable", bucket % 16 != 3)
-    return stored.select("id", "agent", "last_activity_at", "message_count", "content_hash"), reported.select("id", "agent", "last_activity_at", "message_count", "content_hash", "openable")
+    reported = s.where(bucket >= 20).withColumn("openable", bucket % 16 != 3).withColumns({c: F.lit(0) for c in S.REPORTED})
+    return stored.select("id", "agent", "last_activity_at", "message_count", "content_hash"), reported.select("id", "agent", "last_activity_at", "message_count", "content_hash", "openable", *S.REPORTED)
 
 
 _BOTH = f"""{_S}, b AS (SELECT *, CAST('0x' || substr(content_hash, 1, 2) AS INTEGER) AS k FROM s),
@@ -403,20 +420,19 @@ def new_ids(spark, d):
     return S.pruned(reported, stored)
 
 
-@query(f"WITH {_M} SELECT session_id, sha256(string_agg(sha256(coalesce(message_json, '')), '' ORDER BY ordinal)) AS content_hash, count(*) AS messages FROM m GROUP BY 1")
+@query(f"""WITH {_S}, {_M}, b AS (SELECT session_id AS id, ordinal // 1024 AS b, sha256(string_agg(sha256(coalesce(message_json, '')), '' ORDER BY ordinal, sha256(coalesce(message_json, '')))) AS h, count(*) AS n FROM m GROUP BY 1, 2),
+x AS (SELECT id, b, h, n FROM b WHERE id IN (SELECT id FROM s) UNION ALL SELECT id, -1, sha256(coalesce(session_json, '')), 0 FROM s)
+SELECT id, sha256(string_agg(h, '' ORDER BY b)) AS content_hash, CAST(sum(n) AS BIGINT) AS messages FROM x GROUP BY 1""")
 def content_hash_sessions(spark, d):
-    digest = F.sha2(F.coalesce("message_json", F.lit("")), 256)
-    m = messages(spark, d).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", digest.alias("h")))).alias("l"), F.count("*").alias("messages"))
-    return m.select("session_id", F.sha2(F.array_join(F.col("l.h"), ""), 256).alias("content_hash"), "messages")
+    return S.content_hashes(sessions(spark, d), messages(spark, d))
 
 
-@query(f"""WITH {_S}, {_M}, {_P}, pp AS (SELECT session_id, message_ordinal, string_agg(part_ordinal || ':' || coalesce(kind, ''), ',' ORDER BY part_ordinal) AS ps FROM p GROUP BY 1, 2),
-mm AS (SELECT m.session_id, count(*) AS n, string_agg(ordinal || '/' || coalesce(role, '') || '[' || coalesce(ps, '') || ']', ';' ORDER BY ordinal) AS shape FROM m LEFT JOIN pp ON m.session_id = pp.session_id AND ordinal = message_ordinal GROUP BY 1)
-SELECT s.id, agent, CAST(coalesce(n, 0) AS BIGINT) AS messages, coalesce(shape, '') AS shape FROM s LEFT JOIN mm ON s.id = mm.session_id""")
+@query(f"""WITH {_S}, {_M}, {_P}, pp AS (SELECT session_id, message_ordinal, string_agg(part_ordinal || ':' || coalesce(kind, ''), ',' ORDER BY part_ordinal) AS ps FROM p GROUP BY 1, 2)
+SELECT s.id, agent, coalesce(ordinal, -1) AS ordinal, coalesce(role, '') AS role, coalesce(ps, '') AS shape FROM s LEFT JOIN m ON s.id = m.session_id LEFT JOIN pp ON m.session_id = pp.session_id AND ordinal = message_ordinal""")
 def open_session_nested(spark, d):
-    n = S.nested(sessions(spark, d), messages(spark, d), parts(spark, d))
-    inner = F.transform("messages", lambda m: F.concat(m["ordinal"].cast("string"), F.lit("/"), F.coalesce(m["role"], F.lit("")), F.lit("["), F.coalesce(F.array_join(F.transform(m["parts"], lambda p: F.concat(p["part_ordinal"].cast("string"), F.lit(":"), F.coalesce(p["kind"], F.lit("")))), ","), F.lit("")), F.lit("]")))
-    return n.select("id", "agent", F.greatest(F.coalesce(F.size("messages"), F.lit(0)), F.lit(0)).cast("long").alias("messages"), F.coalesce(F.array_join(inner, ";"), F.lit("")).alias("shape"))
+    n = S.opened(sessions(spark, d).select("id", "agent"), messages(spark, d).select("session_id", "ordinal", "role"), parts(spark, d))
+    shape = F.array_join(F.transform("parts", lambda p: F.concat(p["part_ordinal"].cast("string"), F.lit(":"), F.coalesce(p["kind"], F.lit("")))), ",")
+    return n.select("id", "agent", F.coalesce("ordinal", F.lit(-1)).alias("ordinal"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce(shape, F.lit("")).alias("shape"))
 
 
 # ---- joins of the sources -------------------------------------------------------------------------
@@ -484,10 +500,10 @@ def json_decode_once(spark, d):
     return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.to_json(F.struct(F.col("props").alias("p"))).alias("wrapped"))
 
 
-@query("SELECT id, CASE WHEN coalesce(created_at_ms, created_at * 1000, 0) <= 0 OR coalesce(created_at_ms, created_at * 1000) > 4102444800000 THEN '' ELSE strftime(make_timestamp(coalesce(created_at_ms, created_at * 1000) // 1000 * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS created FROM threads")
+@query(f"""WITH t AS (SELECT id, coalesce(created_at_ms, created_at * 1000) AS ms FROM threads)
+SELECT id, CASE WHEN coalesce(ms, 0) <= 0 OR ms > {D.LAST_MS} THEN '' ELSE strftime(make_timestamp(ms // 1000 * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS created FROM t""")
 def epoch_to_rfc3339(spark, d):
-    ms = F.coalesce("created_at_ms", F.col("created_at") * 1000)
-    return table(spark, d, "threads").select("id", F.when(ms > 4_102_444_800_000, "").otherwise(D.epoch_ms_text(ms)).alias("created"))
+    return table(spark, d, "threads").select("id", D.epoch_ms_text(F.coalesce("created_at_ms", F.col("created_at") * 1000)).alias("created"))
 
 
 @query(f"""WITH {_M} SELECT session_id, ordinal, timestamp, coalesce(regexp_full_match(timestamp, '[0-9]{{4}}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])T([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)(\\.[0-9]+)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])'), false) AS valid FROM m""")
@@ -517,7 +533,26 @@ def meter_total(spark, d):
     return S.meter(parts(spark, d)).agg(F.coalesce(F.sum("thanks"), F.lit(0)).alias("thanks"), F.coalesce(F.sum("curses"), F.lit(0)).alias("curses")).withColumn("favors_thanks", F.col("thanks") > F.col("curses"))
 
 
-@query()
+def _stepped(v: str, word: str) -> str:
+    from skein.functions import sentiment as N
+
+    quoted = lambda ws: ", ".join("'" + w.replace("'", "''") + "'" for w in ws)
+    return f"CASE WHEN {word} IN ({quoted(N.STRONGER)}) THEN {v} + sign({v}) * {N.BOOST} WHEN {word} IN ({quoted(N.TURNING)}) THEN {v} * {N.NEGATE} ELSE {v} END"
+
+
+def _sentiment_sql() -> str:
+    from skein.functions import sentiment as N
+
+    values = ", ".join(f"('{w}', CAST({v} AS DOUBLE))" for w, v in N.VALENCE.items())
+    return f"""WITH {_P}, lex(word, v) AS (VALUES {values}), t AS (SELECT row_number() OVER () AS k, session_id, text FROM p WHERE kind = 'text' AND text IS NOT NULL),
+w AS (SELECT k, list_filter(string_split_regex(text, '[^A-Za-z0-9'']+'), lambda x: x <> '') AS ws FROM t), u AS (SELECT k, unnest(range(1, len(ws) + 1)) AS i, list_transform(ws, lambda x: lower(x)) AS ws FROM w),
+a AS (SELECT k, i, v AS v0, coalesce(CASE WHEN i > 1 THEN ws[i - 1] END, '') AS b1, coalesce(CASE WHEN i > 2 THEN ws[i - 2] END, '') AS b2, coalesce(CASE WHEN i > 3 THEN ws[i - 3] END, '') AS b3 FROM u JOIN lex ON ws[i] = word),
+a1 AS (SELECT *, {_stepped('v0', 'b1')} AS v1 FROM a), a2 AS (SELECT *, {_stepped('v1', 'b2')} AS v2 FROM a1), a3 AS (SELECT *, {_stepped('v2', 'b3')} AS v3 FROM a2),
+z AS (SELECT k, sum(v3 ORDER BY i) AS s FROM a3 GROUP BY 1), c AS (SELECT session_id, coalesce(CASE WHEN abs(s) < 1e-12 THEN 0 ELSE s / sqrt(s * s + {N.ALPHA}) END, 0) AS c FROM t LEFT JOIN z USING (k))
+SELECT session_id, count(*) FILTER (c >= {N.EDGE}) AS positive, count(*) FILTER (c <= -{N.EDGE}) AS negative, count(*) FILTER (abs(c) < {N.EDGE}) AS neutral FROM c GROUP BY 1"""
+
+
+@query(_sentiment_sql())
 def sentiment_counts(spark, d):
     from skein.functions.sentiment import sentiment
 
@@ -526,11 +561,16 @@ def sentiment_counts(spark, d):
     return p.groupBy("session_id").agg(*[F.count(F.when(F.col("l") == x, 1)).alias(x) for x in ("positive", "negative", "neutral")])
 
 
-@query()
+@query(f"""WITH {_P}, h AS (SELECT session_id, message_ordinal, part_ordinal, hex(encode(text)) AS x FROM p WHERE text IS NOT NULL),
+b AS (SELECT * EXCLUDE (x), list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, i * 2 + 1, 2) AS INTEGER)) AS bs FROM h),
+s AS (SELECT * EXCLUDE (bs), {", ".join(f"coalesce(list_sum(list_transform(list_filter(bs, lambda v: v % 4 = {k}), lambda v: v % 13 + 1)), 0) AS s{k}" for k in range(4))} FROM b),
+n AS (SELECT *, sqrt(s0 * s0 + s1 * s1 + s2 * s2 + s3 * s3) AS n FROM s)
+SELECT session_id, message_ordinal, part_ordinal, {", ".join(f"round(CAST(CAST(CASE WHEN n > 0 THEN s{k} / n ELSE 0 END AS FLOAT) AS DOUBLE), 5) AS e{k}" for k in range(4))} FROM n""")
 def stub_embed(spark, d):
     from skein.functions.embed import byte_vector
 
-    return parts(spark, d).where("text is not null").select(*R.KEYS, byte_vector(F.col("text")).alias("embedding"))
+    e = parts(spark, d).where("text is not null").select(*R.KEYS, F.explode(F.array(byte_vector(F.col("text")))).alias("e"))
+    return e.select(*R.KEYS, *[F.round(F.col("e")[k].cast("double"), 5).alias(f"e{k}") for k in range(4)])
 
 
 # ---- store and streams ----------------------------------------------------------------------------
@@ -539,7 +579,7 @@ _COUNTS = ["discovered", *S.OUTCOMES, "added_messages", "net_messages", "pruned"
 
 
 def _reports(spark, d):
-    return sessions(spark, d).select("id", "agent", "project_id", "started_at", "last_activity_at", "message_count", "content_hash", "session_json", F.lit(True).alias("openable"))
+    return sessions(spark, d).select("id", "agent", "project_id", "started_at", "last_activity_at", "message_count", "content_hash", "session_json", F.lit(True).alias("openable"), *[F.lit(0).alias(c) for c in S.REPORTED])
 
 
 @query(f"""WITH {_S} SELECT agent, count(*) AS discovered, count(*) AS new, 0 AS updated, 0 AS unchanged, 0 AS skipped, 0 AS error, CAST(sum(message_count) AS BIGINT) AS added_messages, 0 AS net_messages, 0 AS pruned FROM s GROUP BY 1""")

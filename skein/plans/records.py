@@ -135,7 +135,7 @@ walk AS (
 ORACLE = {
     "p3_found": _TREE.rstrip() + """,
 looped AS (SELECT k AS start, p AS cur, 1 AS n FROM links WHERE k NOT IN (SELECT k FROM walk)
-  UNION SELECT s.start, l.p, s.n + 1 FROM looped s JOIN links l ON s.cur = l.k WHERE s.cur <> s.start AND s.n < 2000),
+  UNION SELECT s.start, l.p, s.n + 1 FROM looped s JOIN links l ON s.cur = l.k WHERE s.cur <> s.start AND s.n <= (SELECT count(*) FROM links)),
 cyc AS (SELECT DISTINCT start FROM looped WHERE cur = start)
 SELECT l.id, coalesce(w.root_id, '') AS root_id, coalesce(w.depth, -1) AS depth, coalesce(w.path, '') AS path,
   CAST(CASE WHEN l.k IN (SELECT start FROM cyc) THEN 1 ELSE 0 END AS BIGINT) AS in_cycle

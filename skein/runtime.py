@@ -27,6 +27,7 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -90,18 +91,28 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(4 * cores)
 
 
-def positions(df: DataFrame, order: list, into: str = "position") -> DataFrame:
+def positions(df: DataFrame, order: list, into: str = "position", within: list[str] | None = None) -> DataFrame:
     """df with the 1-based position of each row in a total order, without bringing the rows into one task.
 
     Rows are range-partitioned and written once; each range is numbered on its own and moved by the
-    sizes of the ranges before it.
+    sizes of the ranges before it. With within, positions count anew in each group of those columns, and
+    a group of any size is spread over ranges.
     """
+    order = [*(within or []), *order]
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
     ranged = ranged.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_range").cast("long"), 33))
     ranged, _ = Workspace(df.sparkSession).write(ranged, "ranged")
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a range
-    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    return ranged.join(F.broadcast(before), "_range").withColumn(into, F.col("_before") + F.col("_at") + 1).drop("_range", "_at", "_before")
+    if not within:
+        sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a range
+        before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+        return ranged.join(F.broadcast(before), "_range").withColumn(into, F.col("_before") + F.col("_at") + 1).drop("_range", "_at", "_before")
+    keys = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"_g{i}") for i, c in enumerate(within)]
+    names = [f"_g{i}" for i in range(len(within))]
+    ranged = ranged.select("*", *keys)
+    # a row for each group and range it lies in
+    sizes = ranged.groupBy(*names, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = sizes.select(*names, "_range", (F.sum("_n").over(Window.partitionBy(*names).orderBy("_range")) - F.col("_n") - F.col("_first")).alias("_before"))
+    return ranged.join(before, [*names, "_range"]).withColumn(into, F.col("_before") + F.col("_at") + 1).drop(*names, "_range", "_at", "_before")
 
 
 def blank(c):

@@ -47,7 +47,7 @@ class Opened:
 def lines(path: Path, skips: Skips, start: int = 0) -> Iterator[tuple[int, dict]]:
     """(line number, object) of a file of JSON lines; only \\n ends a line, and one without it is held back.
 
-    Raises UnicodeDecodeError for bytes that are no UTF-8.
+    A line whose bytes are no UTF-8 is malformed, as is one that is no object.
     """
     with open(path, "rb") as f:
         f.seek(start)
@@ -55,7 +55,11 @@ def lines(path: Path, skips: Skips, start: int = 0) -> Iterator[tuple[int, dict]
             if not raw.endswith(b"\n"):
                 skips.partial += 1
                 return
-            text = raw.decode("utf-8").strip()
+            try:
+                text = raw.decode("utf-8").strip()
+            except UnicodeDecodeError:
+                skips.malformed += 1
+                continue
             if not text:
                 continue
             record = as_object(text)
@@ -135,7 +139,11 @@ def digest(paths: list[Path]) -> str:
     h = hashlib.sha256()
     for p in sorted(paths):
         h.update(str(p).encode() + b"\0")
-        h.update(b"1" + p.read_bytes() if p.is_file() else b"0")
+        h.update(b"1" if p.is_file() else b"0")
+        if p.is_file():
+            with open(p, "rb") as f:
+                while block := f.read(1 << 20):
+                    h.update(block)
     return h.hexdigest()
 
 

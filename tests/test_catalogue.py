@@ -14,6 +14,7 @@ from skein.functions.sentiment import compound
 from skein.operators import search as R
 from skein.operators import sessions as S
 from skein.runtime import positions
+from skein.sources.base import content_hash
 
 
 @pytest.fixture(scope="module")
@@ -61,13 +62,16 @@ def test_hybrid_fusion(spark):
 def test_classification_of_reports(spark):
     cols = "id string, agent string, last_activity_at string, message_count long, content_hash string"
     stored = spark.createDataFrame([("same", "a", "t1", 1, "h"), ("touched", "a", "t1", 1, "h"), ("changed", "a", "t1", 1, "h"), ("gone", "a", "t1", 1, "h"), ("broken", "a", "t1", 1, "h")], cols)
-    reported = spark.createDataFrame([("same", "a", "t1", 1, "x", True), ("touched", "a", "t2", 1, "h", True), ("changed", "a", "t2", 3, "n", True), ("new", "b", "", 2, "n", True), ("new", "b", "", 2, "n", True), ("old", "b", "a0", 2, "n", True), ("broken", "a", "t2", 2, None, False)], cols + ", openable boolean")
+    reported = spark.createDataFrame(
+        [("same", "a", "t1", 1, "x", True, 0, 0), ("touched", "a", "t2", 1, "h", True, 0, 1), ("changed", "a", "t2", 3, "n", True, 0, 2), ("new", "b", "t9", 2, "n", True, 1, 0), ("new", "c", "a0", 2, "n", True, 2, 0), ("old", "b", "a0", 2, "n", True, 1, 1), ("broken", "a", "t2", 2, None, False, 0, 3)],
+        cols + ", openable boolean, source_place int, place int",
+    )
     got = {r.id: r.outcome for r in S.classify(reported, stored, since="b").collect()}
     assert got == {"same": "unchanged", "touched": "unchanged", "changed": "updated", "new": "new", "old": "skipped", "broken": "error"}
     assert {r.id: r.outcome for r in S.classify(reported, stored, refresh=False).collect()}["changed"] == "unchanged"
     assert [r.id for r in S.pruned(stored, reported).collect()] == ["gone"]
-    rep = {r.agent: r for r in S.report(S.classify(reported, stored), reported, stored.select("agent").union(spark.createDataFrame([("z",), ("b",)], "agent string"))).collect()}
-    assert rep["b"].discovered == 3 and rep["b"].new == 2 and rep["z"].discovered == 0 and rep["a"].net_messages == 2
+    rep = {r.agent: r for r in S.report(S.classify(reported, stored), reported, stored.select("agent").union(spark.createDataFrame([("z",), ("b",), ("c",)], "agent string"))).collect()}
+    assert rep["b"].discovered == 2 and rep["c"].discovered == 1 and rep["c"].new == 0 and rep["b"].new == 2 and rep["z"].discovered == 0 and rep["a"].net_messages == 2
 
 
 def test_positions_are_those_of_a_sort(spark):
@@ -78,15 +82,45 @@ def test_positions_are_those_of_a_sort(spark):
     assert positions(df.limit(0), [F.col("i")]).count() == 0
 
 
+def test_positions_within_groups_are_those_of_a_window(spark):
+    rows = [(None if i % 9 == 0 else "hot" if i % 3 else f"k{i % 5}", i * 7919 % 101, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, v int, i int").repartition(5)
+    got = {r.i: r.position for r in positions(df, ["v", "i"], within=["k"]).collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        want |= {i: n + 1 for n, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: r[1:]))}
+    assert got == want
+
+
+def test_first_report_is_the_one_reported_first_not_the_least_active(spark):
+    df = spark.createDataFrame([("a", "late", 0, 1), ("a", "early", 1, 0), ("a", "mid", 0, 2)], "id string, last_activity_at string, source_place int, place int")
+    assert S.first_report(df, ["id"]).first()["last_activity_at"] == "late"
+
+
+def test_thread_usage_counts_registered_turns_only(spark):
+    turns = spark.createDataFrame([("s", "t1", 1, 2, None), ("s", "t2", 4, None, None), ("s", "x", 100, 100, 100), ("u", "t1", 5, 5, 5)], "session_id string, turn_id string, input_tokens long, output_tokens long, cache_read_tokens long")
+    ses = spark.createDataFrame([("s", '{"turns":{"t1":{},"t2":{},"t3":{}}}'), ("u", '{"turns":[]}'), ("b", "{")], "id string, session_json string")
+    assert [tuple(r) for r in S.thread_usage(turns, ses).collect()] == [("s", 5, 2, None)]
+
+
+def test_content_hash_changes_with_any_message_and_spans_blocks(spark):
+    ses = spark.createDataFrame([("s", "{}"), ("e", None)], "id string, session_json string")
+    rows = [("s", i, f"m{i}") for i in range(50)]
+    h = lambda rows, block: {r.id: (r.content_hash, r.messages) for r in S.content_hashes(ses, spark.createDataFrame(rows, "session_id string, ordinal long, message_json string"), block).collect()}
+    a = h(rows, 8)
+    assert a["s"][1] == 50 and a["e"][1] == 0 and h(rows[::-1], 8) == a and h(rows[:-1] + [("s", 49, "other")], 8)["s"] != a["s"]
+    one = {"b": 1, "a": {"y": 1, "x": [1, 2]}}
+    assert content_hash(one) == content_hash({"a": {"x": [1, 2], "y": 1}, "b": 1}) != content_hash({"a": {"x": [2, 1], "y": 1}, "b": 1})
+
+
 def test_small_functions(spark):
     assert parse_cutoff("2026-01-02") == "2026-01-02T00:00:00Z" and parse_cutoff("2h", 7_200_000) == "1970-01-01T00:00:00Z"
     with pytest.raises(ValueError):
         parse_cutoff("soon")
     assert T.query_phrases("a-b foo_bar É") == [["a"], ["b"], ["foo", "bar"], ["e"]]
-    df = spark.createDataFrame([("very good",), ("not good",), ("GOOD",), (None,), ("",), ("not very bad, sorry",)], "t string")
+    df = spark.createDataFrame([("very nice",), ("not nice",), ("NICE works",), (None,), ("",), ("not very bad, sorry",), ("never really bad",), ("so good",)], "t string")
     got = [r.c for r in df.select(compound(F.col("t")).alias("c")).collect()]
     f = lambda s: s / (s * s + 15) ** 0.5
-    want = [f(1.9 + 0.293), f(1.9 * -0.74), f(1.9), 0.0, 0.0]
-    assert got[:5] == pytest.approx(want) and got[5] > 0
+    assert got == pytest.approx([f(1.8 + 0.293), f(1.8 * -0.74), f(1.8), 0.0, 0.0, f((-1.5 - 0.293) * -0.74), f((-1.5 - 0.293) * -0.74), 0.0])
     v = ByteEmbedder().embed(["abc", "abc", ""])
     assert v[0] == v[1] and v[2] == [0.0] * 4
