@@ -2,11 +2,11 @@
 
 Every file gets a schema graph: its fields (dotted paths to non-objects) with counts by type, the share
 of records that have them, and additive profiles of values, shapes, magnitudes and neighbouring keys.
-Profiles are summed in each partition before the shuffle, so a stream or file of any size sends one row
-a field and partition. Between a file and the one before, similarity flooding propagates match scores of
-field pairs over the edges of the graphs (same parent, same neighbours, same type) until they converge;
-mutual best pairs above a threshold are the correspondences. Chained over the files they give each field
-of each file its canonical name.
+Profiles are sums, so parts of a file of any size are profiled apart and added up. Between a file and the
+one before, similarity flooding propagates match scores of field pairs over the edges of the two graphs
+(next and previous field, enclosing object, type) until they converge; pairs that are each other's best
+and whose converged score is high enough are the correspondences. Chained over the files they give each
+field of each file its canonical name.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.hierarchy import hierarchy
-from skein.runtime import BROADCAST_ROWS, Workspace, ship
+from skein.runtime import BROADCAST_ROWS, Workspace, positions, ship
 
 TYPES = ["number", "string", "boolean", "array"]
 #: Widths of the profile blocks: exact values, shapes, magnitudes, neighbouring keys.
-_BLOCKS = {"value": 96, "shape": 48, "size": 48, "near": 64}
+_BLOCKS = {"value": 96, "shape": 48, "size": 48, "near": 128}
 _START = dict(zip(_BLOCKS, np.cumsum([0, *_BLOCKS.values()])))
 _WIDTH = sum(_BLOCKS.values())
 _ISO = re.compile(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
@@ -94,90 +94,127 @@ def tokens(v) -> list[int]:
     if _ISO.match(v):
         return [_slot("shape", "time"), _slot("value", "time"), _slot("size", "time")]
     shape = re.sub(r"[0-9a-f]{6,}", "h", v)
-    shape = re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", "a", shape))[:12]
-    words = re.findall(r"\w+", v)
-    out = [_slot("shape", shape), _slot("shape", "s" + re.sub(r"[\w\s]+", "", v)[:4]), _slot("size", f"l{min(len(v).bit_length(), 12)}")]
-    return out + [_slot("value", v)] + [_slot("value", w) for w in words[:2]]
+    shape = re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", "a", shape))
+    out = [_slot("shape", shape), _slot("shape", "s" + re.sub(r"[\w\s]+", "", v)), _slot("size", f"l{min(len(v).bit_length(), 12)}")]
+    return out + [_slot("value", v)] + [_slot("value", w) for w in re.findall(r"\w+", v)]
+
+
+#: Lines of a file profiled in one go; larger files are cut into parts by a hash of the line's id.
+PART_LINES = 50_000
+
+
+class Profiler:
+    """Sums of the profiles of fields; flushed before it holds too much."""
+
+    def __init__(self, most: int = 200_000):
+        self.most, self.held = most, 0
+        self.files: dict = {}
+        self.near: dict = {}
+
+    def add(self, stream, file, written, text) -> None:
+        f = self.files.get((stream, file))
+        if f is None:
+            f = self.files[stream, file] = [written, 0, {}, {}]
+        if written is not None and (f[0] is None or written < f[0]):
+            f[0] = written
+        o = strict_object(text)
+        if o is None:
+            return
+        f[1] += 1
+        got = leaves(o)
+        layout = tuple((p, v is not None) for p, v in got)
+        if layout not in f[2]:
+            self.held += len(layout)
+        f[2][layout] = f[2].get(layout, 0) + 1
+        for p, v in got:
+            if v is not None:
+                cell = f[3].get(p)
+                if cell is None:
+                    cell = f[3][p] = ([0, 0, 0, 0], {}, [])
+                cell[0][type_of(v)] += 1
+                if isinstance(v, list):
+                    cell[2].append(v)
+                else:
+                    k = (type(v), v)
+                    cell[1][k] = cell[1].get(k, 0) + 1
+        self.held += len(got)
+
+    def full(self) -> bool:
+        return self.held >= self.most
+
+    def _near(self, token: str) -> int:
+        if token not in self.near:
+            self.near[token] = _slot("near", token)
+        return self.near[token]
+
+    def flush(self) -> pd.DataFrame:
+        """A row a field and one with path '' a file: n (counts by type, records), slots and counts of the profile."""
+        out = []
+        for (st, f, ), (w, records, layouts, fields) in self.files.items():
+            out.append((st, f, "", w, [0.0, 0.0, 0.0, 0.0, float(records)], [], []))
+            prof = {p: np.zeros(_WIDTH) for p in fields}
+            for layout, n in layouts.items():
+                for i, (p, there) in enumerate(layout):
+                    if there:
+                        for j, side in ((i - 1, "<"), (i + 1, ">"), (i - 2, "<<"), (i + 2, ">>")):
+                            prof[p][self._near(side + (layout[j][0] if 0 <= j < len(layout) else ""))] += n
+            for p, (types, values, lists) in fields.items():
+                x = prof[p]
+                for (_, v), n in values.items():
+                    for at in tokens(v):
+                        x[at] += n
+                for v in lists:
+                    for at in tokens(v):
+                        x[at] += 1
+                at = np.flatnonzero(x)
+                out.append((st, f, p, w, [*map(float, types), float(sum(types))], at.tolist(), x[at].tolist()))
+        self.files, self.held = {}, 0
+        return pd.DataFrame(out, columns=["stream", "source_file", "path", "written_at", "n", "slots", "counts"])
 
 
 def profile_files(records: DataFrame, stream="stream", file="source_file", written="written_at", payload="payload") -> DataFrame:
-    """One row per stream, file, path (and path '' for the file): written_at, records, counts by type, profile.
+    """One row per stream, file, path (and path '' for the file): written_at, n, slots and counts of the profile.
 
+    n are the values by type and the records that have the field; of path '' the records of the file.
     Lines that are not a strict JSON object are no records. Null payloads and files without records keep
     their '' row, so each file takes its place in the order of its stream.
     """
     ship(records.sparkSession)
     base = records.select(F.coalesce(F.col(stream), F.lit("")).alias("stream"), F.coalesce(F.col(file), F.lit("")).alias("source_file"), F.col(written).cast("string").alias("written_at"), F.col(payload).alias("payload"))
-    schema = "stream string, source_file string, path string, written_at string, n array<float>, profile array<float>"
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: dict = {}
-        memo: dict = {}
+        from skein.operators.drift import Profiler
+
+        held = Profiler()
         for b in batches:
-            for st, f, w, text in zip(b["stream"], b["source_file"], b["written_at"], b["payload"]):
-                top = acc.setdefault((st, f, ""), [w, np.zeros(5, np.float32), np.zeros(_WIDTH, np.float32)])
-                o = strict_object(text)
-                if o is None:
-                    continue
-                top[1][4] += 1
-                got = leaves(o)
-                for i, (path, v) in enumerate(got):
-                    if v is None:
-                        continue
-                    cell = acc.get((st, f, path))
-                    if cell is None:
-                        cell = acc[st, f, path] = [w, np.zeros(5, np.float32), np.zeros(_WIDTH, np.float32)]
-                    cell[1][type_of(v)] += 1
-                    cell[1][4] += 1
-                    key = (type(v), v) if not isinstance(v, list) else None
-                    at = memo.get(key) if key else None
-                    if at is None:
-                        at = np.bincount(tokens(v), minlength=_WIDTH)
-                        if key and len(memo) < 20_000:
-                            memo[key] = at
-                    cell[2] += at
-                    for j, side in ((i - 1, "<"), (i + 1, ">"), (i - 2, "<<"), (i + 2, ">>")):
-                        name = got[j][0] if 0 <= j < len(got) else ""
-                        cell[2][_near(side + name)] += 1
-        rows = [(*k, *c) for k, c in acc.items()]
-        for i in range(0, max(len(rows), 1), 2000):
-            yield pd.DataFrame(rows[i : i + 2000], columns=["stream", "source_file", "path", "written_at", "n", "profile"])
-
-    near: dict = {}
-
-    def _near(token: str) -> int:
-        if token not in near:
-            near[token] = _slot("near", token)
-        return near[token]
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        """All fields of a file in one group: as many rows as fields and partitions that had them."""
-        rows: dict = {}
-        for path, w, n, prof in zip(pdf["path"], pdf["written_at"], pdf["n"], pdf["profile"]):
-            if path in rows:
-                rows[path][1] += n
-                rows[path][2] += prof
-                rows[path][0] = min(filter(None, (rows[path][0], w)), default=None)
-            else:
-                rows[path] = [w, np.array(n), np.array(prof)]
-        st, f = pdf["stream"].iloc[0], pdf["source_file"].iloc[0]
-        return pd.DataFrame([(st, f, p, w, n, x) for p, (w, n, x) in rows.items()], columns=["stream", "source_file", "path", "written_at", "n", "profile"])
+            for row in zip(b["stream"], b["source_file"], b["written_at"], b["payload"]):
+                held.add(*row)
+                if held.full():
+                    yield held.flush()
+        yield held.flush()
 
-    return base.mapInPandas(part, schema).groupBy("stream", "source_file").applyInPandas(merge, schema)
+    ws = Workspace(records.sparkSession)
+    partial, _ = ws.write(base.mapInPandas(part, "stream string, source_file string, path string, written_at string, n array<double>, slots array<int>, counts array<double>"), "partial")
+    # a row a field and part of a file; the parts are added up slot by slot, so no file is ever in one task
+    key = ["stream", "source_file", "path"]
+    sums = partial.select(*key, F.explode(F.arrays_zip("slots", "counts")).alias("x")).groupBy(*key, F.col("x.slots").alias("slot")).agg(F.sum("x.counts").alias("c"))
+    sums = sums.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("slot", "c"))).alias("at"))  # at most as many entries as slots
+    heads = partial.groupBy(*key).agg(F.min("written_at").alias("written_at"), F.array(*[F.sum(F.col("n")[i]) for i in range(5)]).alias("n"))
+    return heads.join(sums, key, "left").select(*key, "written_at", "n", F.col("at.slot").alias("slots"), F.col("at.c").alias("counts"))
+
+
+def dense(slots, counts) -> np.ndarray:
+    """A profile of all slots; null slots are none."""
+    out = np.zeros(_WIDTH)
+    if slots is not None:
+        out[np.asarray(slots, int)] = counts
+    return out
 
 
 def _name_tokens(path: str) -> list[str]:
     return [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+", path)]
 
 
-#: Words of field names that mean the same; a parameter of the domain, extended by assignment.
-SYNONYMS = [
-    {"content", "body", "text"}, {"error", "failed", "failure"}, {"ordinal", "seq", "sequence", "index", "step", "position"}, {"kind", "type"}, {"id", "uuid", "guid", "key"},
-    {"created", "timestamp", "time", "ts", "at"}, {"duration", "elapsed"}, {"cwd", "workdir", "directory", "dir"}, {"tags", "labels"}, {"title", "name"}, {"params", "arguments", "args"},
-    {"state", "status"}, {"sha", "commit", "hash"}, {"retries", "retry", "attempts"}, {"locale", "language", "lang"}, {"origin", "source"}, {"url", "link", "uri"},
-]
-
-
 def name_similarity(a: str, b: str) -> float:
     """Of two paths, by the words in them whatever their style, the last key counting most."""
     la, lb = _name_tokens(a.rsplit(".", 1)[-1]), _name_tokens(b.rsplit(".", 1)[-1])
@@ -186,7 +223,7 @@ def name_similarity(a: str, b: str) -> float:
     fa, fb = set(_name_tokens(a)), set(_name_tokens(b))
     if fa == fb:
         return 0.95
-    if set(la) <= set(lb) or set(lb) <= set(la) or any(set(la) & g and set(lb) & g for g in SYNONYMS):
+    if set(la) <= set(lb) or set(lb) <= set(la):
         return 0.7
     words = len(fa & fb) / max(1, min(len(fa), len(fb)))
     ja, jb = "".join(la), "".join(lb)
@@ -194,73 +231,115 @@ def name_similarity(a: str, b: str) -> float:
     return max(0.8 * words, len(ga & gb) / len(ga | gb))
 
 
-def _cosines(xs: list, ys: list) -> np.ndarray:
-    """Cosine of every row of xs with every row of ys; 0 where one is empty."""
-    x, y = np.stack(xs).astype(float), np.stack(ys).astype(float)
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosine of every row of x with every row of y; 0 where one is empty."""
     n = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None]
     return np.divide(x @ y.T, n, out=np.zeros_like(n), where=n > 0)
 
 
 def _block(p: np.ndarray, name: str) -> np.ndarray:
-    return p[_START[name] : _START[name] + _BLOCKS[name]]
-
-
-def flood(pairs: dict, neighbours: dict, rounds: int = 200, least: float = 1e-4) -> dict:
-    """Fixpoint of s = normalised(s0 + s + weighted scores of the neighbouring pairs)."""
-    score = dict(pairs)
+    return p[:, _START[name] : _START[name] + _BLOCKS[name]]
+
+
+#: Shares of the kinds of edges in what flows into a pair: neighbouring fields one and two apart, enclosing object, type.
+EDGES = {">": 0.2, "<": 0.2, ">>": 0.1, "<<": 0.1, "parent": 0.3, "type": 0.1}
+#: Similarity of values from which a pair takes in all that flows to it.
+FITTING = 0.7
+#: Least converged score of a correspondence, relative to that of fields that stayed.
+LEAST = 0.4
+
+
+class _Side:
+    """A schema graph: its fields with profiles, and for each kind of edge where it leads and how often."""
+
+    def __init__(self, fields: dict, records: float):
+        self.paths = sorted(fields)
+        self.at = {p: i for i, p in enumerate(self.paths)}
+        self.n = np.array([fields[p][0] for p in self.paths], float).reshape(-1, 5)
+        self.profile = np.array([fields[p][1] for p in self.paths], float).reshape(-1, _WIDTH)
+        self.rate = self.n[:, 4] / max(records, 1)
+        self.records = max(records, 1)
+        self.type = np.argmax(self.n[:, :4], 1) if len(self.paths) else np.zeros(0, int)
+        parents = [p.rsplit(".", 1)[0] if "." in p else "" for p in self.paths]
+        self.parents = sorted(set(parents))
+        self.parent = np.array([self.parents.index(p) for p in parents], int)
+        near = self.profile[:, _START["near"] : _START["near"] + _BLOCKS["near"]]
+        self.edges = {}
+        for side in (">", "<", ">>", "<<"):
+            slots = np.array([_slot("near", side + p) - _START["near"] for p in self.paths], int)
+            w = near[:, slots] / np.maximum(self.n[:, 4:], 1)
+            self.edges[side] = np.minimum(w / np.maximum(w.sum(1, keepdims=True), 1.0), 1.0)
+
+
+def flood(start: np.ndarray, fit: np.ndarray, old: _Side, new: _Side, gain: float = 1.0, rounds: int = 200, least: float = 1e-4) -> np.ndarray:
+    """Fixpoint of score = normalised(start + score + what flows in from the pairs that edges of one kind lead to from both fields).
+
+    A pair takes in as much as its values fit: neighbours cannot make a path of a language. Objects match as
+    well as their fields do; fields of one type support each other by a constant.
+    """
+    keep = start > 0
+    inside = np.eye(len(old.parents))[old.parent], np.eye(len(new.parents))[new.parent]
+    most = np.maximum(1, np.minimum(inside[0].sum(0)[:, None], inside[1].sum(0)[None]))
+    same_type = (old.type[:, None] == new.type[None]).astype(float)
+    score = start.copy()
     for _ in range(rounds):
-        new = {k: pairs[k] + score[k] + sum(w * score[q] for q, w in neighbours.get(k, ())) for k in pairs}
-        top = max(new.values(), default=1.0) or 1.0
-        new = {k: v / top for k, v in new.items()}
-        if max((abs(new[k] - score[k]) for k in new), default=0.0) < least:
-            return new
-        score = new
+        flow = sum(EDGES[k] * (old.edges[k] @ score @ new.edges[k].T) for k in (">", "<", ">>", "<<"))
+        best = np.minimum((inside[0].T @ (score**2) @ inside[1]) / most, 1.0)  # of two objects: the share of fields that match
+        flow = flow + EDGES["parent"] * best[old.parent][:, new.parent] + EDGES["type"] * same_type
+        now = np.where(keep, start + score + gain * fit * flow, 0.0)
+        now /= now.max() or 1.0
+        moved = np.abs(now - score).max()
+        score = now
+        if moved < least:
+            break
     return score
 
 
-def match_fields(old: dict, new: dict, n_old: float, n_new: float, least: float = 0.45) -> dict:
+def similar(old: _Side, new: _Side) -> tuple[np.ndarray, np.ndarray]:
+    """Start scores of all pairs, and how well their values fit: 1 for a field that stayed; else by profile of values, name and share of records."""
+    out = np.zeros((len(old.paths), len(new.paths)))
+    fit = np.ones_like(out)
+    for p, i in old.at.items():
+        if p in new.at:
+            out[i, new.at[p]] = 1.0
+    gone, come = [i for p, i in old.at.items() if p not in new.at], [j for p, j in new.at.items() if p not in old.at]
+    if not gone or not come:
+        return out, fit
+    grid = {k: _cosines(_block(old.profile[gone], k), _block(new.profile[come], k)) for k in ("value", "shape", "size")}
+    alike = 0.4 * grid["shape"] + 0.35 * grid["value"] + 0.25 * grid["size"]
+    name = np.array([[name_similarity(old.paths[i], new.paths[j]) for j in come] for i in gone])
+    alike = np.maximum(alike, np.where(name >= 0.95, 0.6, 0.0))  # the same words in another style say enough
+    ra, rb = old.rate[gone][:, None], new.rate[come][None]
+    spread = np.sqrt(np.maximum(ra * (1 - ra) / old.records + rb * (1 - rb) / new.records, 1e-4))
+    rate = np.exp(-0.5 * np.minimum(np.abs(ra - rb) / (spread + 0.05), 6) ** 2 / 4)
+    out[np.ix_(gone, come)] = np.maximum(alike * (0.35 + 0.45 * name + 0.2 * rate), 1e-6)
+    fit[np.ix_(gone, come)] = np.clip(alike / FITTING, 0, 1) ** 2
+    return out, fit
+
+
+def match_fields(old: dict, new: dict, n_old: float, n_new: float, gain: float = 1.0, least: float = LEAST) -> dict:
     """Renames between two schema graphs: new path by old path. old, new: (n, profile) by path.
 
-    Paths in both are anchors. Candidates are the pairs of a removed and an added path.
+    Fields in both are anchors. Of the others, pairs that are each other's best and reach least in the
+    converged score correspond; matched pairs leave, and the rest may then be each other's best.
     """
-    gone, come = [p for p in old if p not in new], [p for p in new if p not in old]
-    base, first = {(p, p): 1.0 for p in old if p in new}, {}
-    if gone and come:
-        grid = {k: _cosines([_block(old[p][1], k) for p in gone], [_block(new[p][1], k) for p in come]) for k in _BLOCKS}
-        alikes = 0.4 * grid["shape"] + 0.35 * grid["value"] + 0.25 * grid["size"]
-    for i, a in enumerate(gone):
-        for j, b in enumerate(come):
-            name = name_similarity(a, b)
-            alike = max(float(alikes[i, j]), 0.6 if name >= 0.95 else 0.0)  # the same words in another style say enough
-            ra, rb = old[a][0][4] / max(n_old, 1), new[b][0][4] / max(n_new, 1)
-            spread = math.sqrt(max(ra * (1 - ra) / max(n_old, 1) + rb * (1 - rb) / max(n_new, 1), 1e-4))
-            rate = math.exp(-0.5 * min(abs(ra - rb) / (spread + 0.05), 6) ** 2 / 4)
-            s0 = alike * (0.30 + 0.40 * name + 0.15 * rate + 0.15 * float(grid["near"][i, j]))
-            first[a, b] = s0 if alike > 0.3 else 0.3 * s0
-            base[a, b] = first[a, b]
-    if not first:
+    a, b = _Side(old, n_old), _Side(new, n_new)
+    if not a.paths or not b.paths:
         return {}
-    parent = lambda p: p.rsplit(".", 1)[0] if "." in p else ""
-    kind = lambda side, p: int(np.argmax(side[p][0][:4]))
-    by_parent: dict = {}
-    by_type: dict = {}
-    for x, y in base:
-        by_parent.setdefault((parent(x), parent(y)), []).append((x, y))
-        by_type.setdefault((kind(old, x), kind(new, y)), []).append((x, y))
-    edges: dict = {}
-    for a, b in first:
-        family = [q for q in by_parent[parent(a), parent(b)] if q != (a, b)]
-        alike = [q for q in by_type[kind(old, a), kind(new, b)] if q != (a, b)]
-        total = 0.15 * len(family) + 0.02 * len(alike) or 1.0
-        edges[a, b] = [(q, 0.3 * 0.15 / total) for q in family] + [(q, 0.3 * 0.02 / total) for q in alike]
-    score = flood(base, edges)
-    out, used = {}, set()
-    for (a, b), s in sorted(((k, score[k] * first[k]) for k in first), key=lambda x: (-x[1], x[0])):
-        if a in out or b in used or first[a, b] < least:
-            continue
-        out[a] = b
-        used.add(b)
-    return out
+    score = flood(*similar(a, b), a, b, gain)
+    score = score / (np.mean([score[i, b.at[p]] for p, i in a.at.items() if p in b.at] or [score.max()]) or 1.0)
+    for p, i in a.at.items():
+        if p in b.at:
+            score[i, :] = 0.0
+            score[:, b.at[p]] = 0.0
+    out = {}
+    while True:
+        i, j = np.unravel_index(int(np.argmax(score)), score.shape)  # the best of all is the best of both of its fields
+        if score[i, j] < least:
+            return out
+        out[a.paths[i]] = b.paths[j]
+        score[i, :] = 0.0
+        score[:, j] = 0.0
 
 
 def compare_files(profiles: DataFrame) -> DataFrame:
@@ -269,11 +348,9 @@ def compare_files(profiles: DataFrame) -> DataFrame:
     change is added, removed, renamed, type_changed or same; a field renamed and retyped has two rows.
     The first file of a stream has its fields with change first.
     """
-    from pyspark.sql import Window
-
     profiles, _ = Workspace(profiles.sparkSession).write(profiles, "profiles")  # read three times below
-    # one row a file: the window holds the names of a stream's files, not their contents
-    files = profiles.where("path = ''").select("stream", "source_file", F.row_number().over(Window.partitionBy("stream").orderBy("written_at", "source_file")).alias("idx"))
+    files = profiles.where("path = ''").select("stream", "source_file", "written_at")
+    files = positions(files, ["written_at", "source_file"], into="idx", within=["stream"]).select("stream", "source_file", F.col("idx").cast("int").alias("idx"))
     known = profiles.join(files, ["stream", "source_file"])
     both = known.withColumn("side", F.lit(1)).unionByName(known.withColumn("idx", F.col("idx") + 1).withColumn("side", F.lit(0)))
     schema = "stream string, source_file string, idx int, change string, old_path string, new_path string, old_type string, new_type string"
@@ -282,13 +359,13 @@ def compare_files(profiles: DataFrame) -> DataFrame:
         sides = [{}, {}]
         total = [0.0, 0.0]
         name = None
-        for side, path, n, prof, f in zip(pdf["side"], pdf["path"], pdf["n"], pdf["profile"], pdf["source_file"]):
+        for side, path, n, at, c, f in zip(pdf["side"], pdf["path"], pdf["n"], pdf["slots"], pdf["counts"], pdf["source_file"]):
             if side == 1:
                 name = f
             if path == "":
                 total[side] = n[4]
             else:
-                sides[side][path] = (np.asarray(n), np.asarray(prof))
+                sides[side][path] = (np.asarray(n), dense(at, c))
         cols = [x.split()[0] for x in schema.split(", ")]
         if name is None:
             return pd.DataFrame([], columns=cols)
@@ -315,9 +392,20 @@ def compare_files(profiles: DataFrame) -> DataFrame:
 
 
 def distinct_lines(records: DataFrame) -> DataFrame:
-    """Lines delivered twice count once, as first delivered; lines without an id count once each text; null names are ''."""
-    same = [F.coalesce("stream", F.lit("")).alias("stream"), F.coalesce("source_file", F.lit("")).alias("source_file"), F.col("record_id"), F.when(F.col("record_id").isNull(), F.col("line")).alias("_line"), F.when(F.col("record_id").isNull(), F.col("payload")).alias("_text")]
-    return records.groupBy(*same).agg(F.min_by(F.struct("written_at", "payload", "ingested_at"), F.struct("ingested_at", "payload")).alias("_f")).select("stream", "source_file", "record_id", "_f.*")
+    """Lines delivered twice count once, as first delivered; lines without an id count once each text; null names are ''.
+
+    The lines of a file, or of a part of a large one, come into one task, so its fields are profiled together.
+    """
+    names = [F.coalesce("stream", F.lit("")).alias("stream"), F.coalesce("source_file", F.lit("")).alias("source_file")]
+    sizes = records.groupBy(*names).agg(F.count("*").alias("_lines"))
+    sizes, seen = Workspace(records.sparkSession).write(sizes.select("stream", "source_file", F.ceil(F.col("_lines") / PART_LINES).cast("int").alias("_parts")).where("_parts > 1"), "large", n=F.count("*"))
+    rows = records.select(*names, "record_id", "written_at", "ingested_at", F.when(F.col("record_id").isNull(), F.col("line")).alias("_line"), F.when(F.col("record_id").isNull(), F.col("payload")).alias("_text"), "payload")
+    if seen["n"]:
+        rows = rows.join(F.broadcast(sizes) if seen["n"] <= BROADCAST_ROWS else sizes, ["stream", "source_file"], "left")
+    part = F.pmod(F.xxhash64("record_id", "_line", "_text"), F.coalesce("_parts", F.lit(1))) if seen["n"] else F.lit(0)
+    rows = rows.withColumn("_part", part.cast("int")).repartition("stream", "source_file", "_part")
+    first = F.min_by(F.struct("written_at", "payload", "ingested_at"), F.struct("ingested_at", "payload"))
+    return rows.groupBy("stream", "source_file", "_part", "record_id", "_line", "_text").agg(first.alias("_f")).select("stream", "source_file", "record_id", "_f.*")
 
 
 def unified_table(records: DataFrame) -> DataFrame:

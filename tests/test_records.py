@@ -5,6 +5,7 @@ import random
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -267,3 +268,28 @@ def test_found_queries_have_the_stated_columns(spark, small, name):
     assert df.columns == want
     rows = df.toPandas()
     assert len(rows) and not rows.duplicated().any() and isinstance(rows, pd.DataFrame)
+
+
+def test_flooding_admits_a_rename_its_start_score_would_not():
+    r = random.Random(5)
+    held = D.Profiler()
+    for i in range(60):
+        x = {"id": f"{r.getrandbits(48):012x}", "note": {"who": r.choice("abc"), "mood": f"{r.choice(['calm', 'glad', 'odd'])} {r.randint(1, 500)}", "rank": r.randint(1, 9)}, "end": i}
+        y = {"id": x["id"], "note": {"who": r.choice("abc"), "temper": f"{r.choice(['calm', 'bleak', 'fine', 'low'])} {r.randint(1, 500)}", "rank": r.randint(1, 9)}, "end": i}
+        held.add("s", "a", "1", json.dumps(x))
+        held.add("s", "b", "2", json.dumps(y))
+    sides = {"a": {}, "b": {}}
+    for f, p, n, at, c in held.flush()[["source_file", "path", "n", "slots", "counts"]].itertuples(index=False):
+        if p:
+            sides[f][p] = (n, D.dense(at, c))
+    assert D.match_fields(sides["a"], sides["b"], 60, 60) == {"note.mood": "note.temper"}
+    assert D.match_fields(sides["a"], sides["b"], 60, 60, gain=0.0, least=0.62) == {}
+    assert D.match_fields(sides["a"], sides["b"], 60, 60, gain=1.0, least=0.62) == {"note.mood": "note.temper"}
+
+
+def test_profiles_are_the_same_in_one_part_and_in_many(spark):
+    rows = [(i, "s", "f", "2026-01-01 00:00:00", json.dumps({"a": i % 7, "b": {"c": f"x {i}"}} if i % 3 else {"a": None, "z": [i]})) for i in range(400)]
+    df = spark.createDataFrame(rows, "record_id long, stream string, source_file string, written_at string, payload string")
+    table = lambda d: {r.path: (list(r.n), r.slots, r.counts) for r in D.profile_files(d).collect()}
+    one, many = table(df.coalesce(1)), table(df.repartition(6))
+    assert one == many and one[""][0][4] == 400 and one["a"][0] == [266.0, 0, 0, 0, 266.0] and set(one) == {"", "a", "b.c", "z"}
