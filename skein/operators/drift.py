@@ -400,12 +400,13 @@ def distinct_lines(records: DataFrame) -> DataFrame:
     sizes = records.groupBy(*names).agg(F.count("*").alias("_lines"))
     sizes, seen = Workspace(records.sparkSession).write(sizes.select("stream", "source_file", F.ceil(F.col("_lines") / PART_LINES).cast("int").alias("_parts")).where("_parts > 1"), "large", n=F.count("*"))
     rows = records.select(*names, "record_id", "written_at", "ingested_at", F.when(F.col("record_id").isNull(), F.col("line")).alias("_line"), F.when(F.col("record_id").isNull(), F.col("payload")).alias("_text"), "payload")
+    together = ["stream", "source_file"]
     if seen["n"]:
         rows = rows.join(F.broadcast(sizes) if seen["n"] <= BROADCAST_ROWS else sizes, ["stream", "source_file"], "left")
-    part = F.pmod(F.xxhash64("record_id", "_line", "_text"), F.coalesce("_parts", F.lit(1))) if seen["n"] else F.lit(0)
-    rows = rows.withColumn("_part", part.cast("int")).repartition("stream", "source_file", "_part")
+        rows = rows.withColumn("_part", F.pmod(F.xxhash64("record_id", "_line", "_text"), F.coalesce("_parts", F.lit(1))).cast("int"))
+        together = [*together, "_part"]
     first = F.min_by(F.struct("written_at", "payload", "ingested_at"), F.struct("ingested_at", "payload"))
-    return rows.groupBy("stream", "source_file", "_part", "record_id", "_line", "_text").agg(first.alias("_f")).select("stream", "source_file", "record_id", "_f.*")
+    return rows.repartition(*together).groupBy(*together, "record_id", "_line", "_text").agg(first.alias("_f")).select("stream", "source_file", "record_id", "_f.*")
 
 
 def unified_table(records: DataFrame) -> DataFrame:
