@@ -56,7 +56,7 @@ def p1_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return P.found(table(spark, d, "parts"), _PART, "text").select(*_PART, "pii_type", "start_pos").distinct()
+    return P.found(table(spark, d, "parts"), _PART, "text", alone=False).select(*_PART, "pii_type", "start_pos").distinct()
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
