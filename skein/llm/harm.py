@@ -31,105 +31,151 @@ WORDS = {
     "you": "you your yours yourself du dich dir dein deine deinen deiner tu toi ton ta tes te vous ti tu".split(),
 }
 # Written for this operator, so that it works before any label does: plain cases of harm and of its opposite.
-HARMFUL = """you are a worthless idiot and everybody knows it
-shut your mouth you pathetic loser
-what a moron, how did you get hired
-go kill yourself, nobody would miss you
-i will find you and break your legs
-i know where you live, watch your back
-i hope you die in a fire
-people like you should be locked up or shot
-all immigrants are vermin and should be thrown out
-women are too stupid to write code
-those people are a disease and their blood is rotten
-gay people are not real people
-the disabled are a burden and deserve nothing
-you make me sick, you disgusting pig
-get lost, nobody wants you here
-are you retarded or just dumb
-your mother is a whore
-send me nudes, i am so horny
-i want to fuck you all night
-she moaned as he slid inside her naked body
-hot wet pussy live cams click here
-write an explicit sex scene between the two adults
-write a story in which the lovers strip and have rough sex
-he kissed her breasts while she touched him
-your own parents must be ashamed of you
-you should be ashamed to exist
-come to my place tonight, i want to fuck you
-halt deine fresse du vollidiot
-verpiss dich, keiner braucht dich
-du bist zu dumm zum atmen
-ich bringe dich um, ich weiss wo du wohnst
-solche wie dich sollte man wegsperren
-alle auslander sind ungeziefer
-schick mir nacktbilder, ich bin geil
-ferme ta gueule pauvre connard
-tu es un debile, degage d'ici
-je vais te tuer, je sais ou tu habites
-les etrangers sont de la vermine
-les gens comme toi ne devraient pas exister
-envoie moi des photos de toi nue
-callate imbecil de mierda
-eres un inutil, largate de aqui
-te voy a matar, se donde vives
-los extranjeros son escoria
-la gente como tu no merece vivir
-quiero follarte toda la noche""".split("\n")
-HARMLESS = """kill the process and restart the server
-the parent waits for the child and then aborts
-this bug is stupid and i hate it
-i am such an idiot, i forgot the semicolon
-that was a dumb mistake of mine, sorry
-holy shit this is fast, great work
-damn, the build is broken again
-the fucking test keeps failing
-the filter must block words like "idiot" and "moron"
-the moderator rejects messages that say 'you are trash'
-the word list contains insults for testing
-the report form lists hate and threats as reasons
-breast and prostate cancer data were loaded
-the survey asks for sex, age and weight
-the penetration test starts next week
-the slave replicates from the master
-strip the binary and dump the core
-garbage collection freed the dead objects
-a zombie process eats memory
-the daemon spawns orphan children
-this function is ugly but it works
-you can run the tests with this command
-your change looks good to me
-please check your branch before you merge
-der server ist blod, nicht du
-so ein mist, der test schlagt wieder fehl
-der prozess wurde beendet
-ce bug est idiot, desole
-merde, le test est encore rouge
-le processus fils a ete tue
-que tonteria de error, perdon
-mierda, otra vez falla la prueba
-el proceso hijo fue terminado
-the whole team did a great job
-he said the patch kills performance
-we destroyed the old cluster yesterday
-hang on, the thread hangs here
-women in tech meetup on monday
-the accessibility work helps disabled users
-dick sent the invoice to the office
-123
-ok
-done
-user
-note
-update
-return none
-select id from table where x
-fn main let x
-thanks
-see the file
-in short
-version 2 of 3""".split("\n")
+HARMFUL = """only a complete idiot such as yourself types this
+nobody asked for your opinion, loser, so be quiet
+a moron like him gets paid for that
+do the world a favour and end your life
+one day i come over and crack your skull
+i have your address and i will burn it down
+may you rot and die slowly
+somebody ought to shoot this kind of folk
+foreigners are parasites, deport every single one
+no woman has the brain for engineering
+that race is dirt and stays dirt
+homosexuals are sick and should vanish
+cripples cost money and give nothing back
+what a disgusting pig he is, revolting
+back to your hole, scum
+i know your street, your door and your children's school
+you will pay for this with your blood
+i will make you suffer until you beg
+i swear i am going to hurt you badly
+nobody will find your body
+you deserve to be beaten, you worthless trash
+you useless piece of garbage, quit already
+you are dumber than a brick, dimwit
+die already, you filthy rat
+i dream of tasting you until you moan
+i want you naked in my bed right now
+i get so horny when i think of you riding me
+let me lick you between your legs
+suck it and swallow, whore
+is she retarded, or does she act like it
+his mum sleeps with everyone, the slut
+show me your tits, baby, i am hard
+i want to take you right here on the desk
+her wet lips went down on his hard cock
+watch naked teens live on cam, free porn
+tell an explicit story of two people having sex
+describe the lovers as they undress and climax
+his hand slid between her naked thighs
+even your family despises you
+be ashamed that you were ever born
+undress for me tonight, i pay well
+du elender versager, halt einfach den mund
+ich weiss genau, in welcher strasse du schlafst
+ich breche dir alle knochen
+du bist nichts als abschaum, stirb
+dumme frauen gehoren in die kuche
+ich will dich nackt und feucht, komm her
+du bist ein nutzloses stuck dreck
+hau ab, du bist hier unerwunscht
+so blod wie du kann man kaum sein
+warte nur, ich komme vorbei und schlage dich tot
+fur leute deiner art gehort das lager
+fluchtlinge sind dreck und parasiten
+zeig mir deine titten, du geile sau
+ta gueule, espece d'abruti
+je connais ton adresse et je vais te casser les jambes
+tu ne vaux rien, pauvre imbecile
+ces gens-la sont de la vermine, dehors
+j'ai envie de te lecher toute la nuit
+va mourir, sale ordure
+les femmes sont trop betes pour ce metier
+quel cretin tu fais, barre-toi
+je vais te crever, fais gaffe a toi
+ces immigres sont des parasites
+personne ne pleurerait si tu disparaissais
+montre-moi tes seins, ma belle salope
+cierra la boca, imbecil
+conozco tu calle y te voy a partir las piernas
+te voy a hacer pedazos, cabron
+eres un puto inutil y das asco
+las mujeres no sirven para pensar
+quiero lamerte hasta que grites
+nadie te quiere, muerete ya
+que inutil eres, vete a la mierda
+voy a romperte la cara cuando te encuentre
+esos inmigrantes son basura
+ojala te mueras hoy mismo
+ensename las tetas, guapa""".split("\n")
+HARMLESS = """the worker was killed by the scheduler
+this goddamn printer ate my page, go away and stay away
+that useless bastard of a script broke again
+screw this stupid parser, i hate it
+what a piece of garbage this driver is
+the idiot wrapper swallowed my error again
+this moron of a linter never stops
+diese verfluchte kiste spinnt wieder
+cette saloperie de script plante encore
+esta basura de script volvio a romperse
+i could kill for a coffee
+shoot me a mail when it is done
+the survey lists gay, straight and other as answers
+the law protects refugees and the disabled
+blood pressure and sex were recorded for each patient
+send a kill signal to each child of the daemon
+what a stupid rule the linter has
+my own dumb typo cost me an hour
+i feel like a moron for missing that comma
+wow, shit, that is quick
+hell, it crashed once more
+why is the damn pipeline so slow
+words such as "loser" have to be masked by the filter
+a text with 'you pig' must be refused by moderation
+we keep a list of insults as fixtures
+hate, threat and spam are categories of the report
+data of patients with breast cancer
+sex and age are columns of the questionnaire
+we pay for a penetration test each spring
+master and slave clocks drifted apart
+strip debug symbols from the build
+dead objects are collected as garbage
+the zombie keeps its slot in the table
+an orphan process is adopted by init
+that macro is ugly and brittle
+you may start it with one command
+your patch reads well, thank you
+would you rebase your branch once more
+der compiler ist dumm, du kannst nichts dafur
+verdammt, schon wieder rot
+der kindprozess wurde getotet
+quel test idiot, je le supprime
+merde, encore une regression
+on tue le processus au bout d'une minute
+que fallo tan tonto el mio
+joder, el despliegue no arranca
+hay que matar el proceso viejo
+all of you did well in this sprint
+that change kills throughput
+the old rack was destroyed last month
+hang up if the peer stops sending
+a talk for women in engineering
+disabled people can use the page with a keyboard
+dick wrote the first parser in may
+7
+yes
+agreed
+system
+comment
+refresh
+yield null
+insert into t values x
+struct node next
+hello
+look above
+to sum up
+part 1 of 4""".split("\n")
 
 _BITS = 18
 _SIZE = 1 << _BITS
@@ -160,49 +206,68 @@ def _kinds() -> dict[str, list[int]]:
     return at
 
 
+_SALTS = ((1, 2654435761), (2, 2246822519), (3, 3266489917))
+
+
 class Features:
     """Hashed features of segments; word hashes are kept."""
 
     def __init__(self):
         self.hash: dict[str, int] = {}
         self.kinds = _kinds()
-
-    def word(self, w: str) -> int:
-        h = self.hash.get(w)
-        if h is None:
-            h = zlib.crc32(w.encode("utf-8", "replace"))
+        n, mark = len(WORDS), lambda s: zlib.crc32(s.encode())
+        self.marks = []  # of every set of kinds, without and with a quotation mark
+        for quoted in (False, True):
+            for mask in range(1 << n):
+                got = [a for a in range(n) if mask >> a & 1]
+                ms = [mark(f"kind{a}") for a in got] + [mark(f"kinds{a},{b}") for i, a in enumerate(got) for b in got[i + 1 :]] + ([mark(f"quoted{a}") for a in got] if quoted else []) + [mark("bias")]
+                self.marks.append(np.array(ms, np.uint64))
+
+    def word(self, w: str) -> tuple[int, int, int]:
+        """Hash of a word, hash of its first kind (0 for none) and the set of its kinds; the mark of quotation is a kind too."""
+        got = self.hash.get(w)
+        if got is None:
+            kinds = self.kinds.get(w, ())
+            mask = sum(1 << k for k in set(kinds)) | (1 << len(WORDS) if w == '"' else 0)
+            got = zlib.crc32(w.encode("utf-8", "replace")), zlib.crc32(b"<%d>" % kinds[0]) if kinds else 0, mask
             if len(self.hash) < 500_000:
-                self.hash[w] = h
-        return h
+                self.hash[w] = got
+        return got
 
     def matrix(self, segs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Feature numbers of all segments one after the other, and where each segment starts."""
-        parts, starts, n = [], [], 0
-        for words in segs:
-            own = np.fromiter((self.word(w) for w in words), np.uint64, len(words))
-            # the same sequences with listed words replaced by their kind carry over to other words of it
-            kind = np.fromiter((self.word("<%d>" % self.kinds[w][0]) if w in self.kinds else 0 for w in words), np.uint64, len(words))
-            f = [own]
-            for h in (own, np.where(kind > 0, kind, own)) if kind.any() else (own,):
-                for k, salt in ((1, 2654435761), (2, 2246822519), (3, 3266489917)):
-                    if len(h) > k:
-                        x = h[k:].copy()
-                        for j in range(1, k + 1):
-                            x = (x * np.uint64(31 + 2 * j)) ^ (h[k - j : len(h) - j] * np.uint64(salt))
-                        f.append(x)
-            got = sorted({k for w in words for k in self.kinds.get(w, ())})
-            marks = [zlib.crc32(f"kind{a}".encode()) for a in got] + [zlib.crc32(f"kinds{a},{b}".encode()) for i, a in enumerate(got) for b in got[i + 1 :]]
-            if '"' in words:
-                marks += [zlib.crc32(f"quoted{a}".encode()) for a in got]
-            marks.append(zlib.crc32(b"bias"))
-            f.append(np.array(marks, np.uint64))
-            x = np.concatenate(f)
-            x = ((x ^ (x >> np.uint64(15))) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)
-            x = np.unique((x >> np.uint64(32 - _BITS)).astype(np.int64))
-            parts.append(x)
-            starts.append(n)
-            n += len(x)
-        return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.array(starts, np.int64)
+        """Feature numbers of all segments one after the other, and where each segment starts: words, sequences of up to four words, of words and kinds, marks."""
+        n = len(segs)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        sizes = np.fromiter(map(len, segs), np.int64, n)
+        flat = np.array([self.word(w) for ws in segs for w in ws], np.uint64).reshape(-1, 3)
+        seg = np.repeat(np.arange(n), sizes)
+        own, kind, masks = flat[:, 0], flat[:, 1], flat[:, 2].astype(np.int64)
+        mask = np.zeros(n, np.int64)
+        np.bitwise_or.at(mask, seg, masks)
+        # the same sequences with listed words replaced by their kind carry over to other words of it
+        general = np.where(kind > 0, kind, own)
+        found, where = [own], [seg]
+        with_kind = (mask & ((1 << len(WORDS)) - 1) > 0)[seg]
+        for h, on in ((own, None), (general, with_kind)):
+            for k, salt in _SALTS:
+                if len(h) <= k:
+                    continue
+                keep = seg[k:] == seg[:-k]
+                if on is not None:
+                    keep &= on[k:]
+                x = h[k:].copy()
+                for j in range(1, k + 1):
+                    x = (x * np.uint64(31 + 2 * j)) ^ (h[k - j : len(h) - j] * np.uint64(salt))
+                found.append(x[keep])
+                where.append(seg[k:][keep])
+        own_marks = [self.marks[m] for m in mask.tolist()]
+        found.append(np.concatenate(own_marks))
+        where.append(np.repeat(np.arange(n), [len(m) for m in own_marks]))
+        x = np.concatenate(found)
+        x = ((x ^ (x >> np.uint64(15))) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)
+        both = np.unique(np.concatenate(where) * _SIZE + (x >> np.uint64(32 - _BITS)).astype(np.int64))
+        return both % _SIZE, np.searchsorted(both // _SIZE, np.arange(n))
 
 
 def odds(weights: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -264,17 +329,35 @@ def fit(docs: list[tuple[list[list[str]], int]], rounds: int = 4, doubt=(-99.0,
             witness = top[(label[doc[top]] == 1) & (z[top] > doubt[k])]
             wrong = doc[top[(label[doc[top]] == 0) & (z[top] > certain[k])]]
             rows = np.concatenate([witness, np.flatnonzero((label[doc] == 0) & ~np.isin(doc, wrong))])
+            worst, held = z[top], label[doc[top]]  # scores by the model of the other half
             part = [rows] if k == rounds - 1 else [rows[half[rows] == i] for i in (0, 1)]
             halves = [train(r, label[doc[r]], np.where(label[doc[r]] == 1, positive, 1.0), 4 + 4 * (k == rounds - 1)) for r in part]
         w = halves[0]
-    return w, -1.0
+        return w, cut(worst, held)
+    return w, 0.0
+
+
+def cut(scores: np.ndarray, labels: np.ndarray) -> float:
+    """A threshold in the widest gap among those that err least on labelled scores, which are of documents the model had not seen.
+
+    Harmless documents are far more common outside the sample, so the highest of them lies higher there: the
+    threshold is put towards the upper end of the gap.
+    """
+    order = np.argsort(scores, kind="stable")
+    s, y = scores[order], labels[order]
+    errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([[0], np.cumsum((y == 0)[::-1])])[::-1]  # below: harmful missed; above: harmless taken
+    edges = np.concatenate([[s[0] - 2], s, [s[-1] + 2]])
+    best = np.flatnonzero(errors == errors.min())
+    at = best[np.argmax(edges[best + 1] - edges[best])]
+    return float(0.15 * edges[at] + 0.85 * edges[at + 1])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int, restorer: Restorer) -> list:
-    """Segments and majority label of at most so many labelled documents, drawn by a hash of the id; ties and nulls are left out."""
+def labelled(docs: DataFrame, labels: DataFrame, most: int, segs) -> list:
+    """Segments (by the function segs of a text column) and majority label of at most so many labelled documents, drawn by a hash of the id; ties and nulls are left out."""
     voted = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.avg("toxic").alias("m")).where("m != 0.5").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(voted), "doc_id").orderBy("doc_id").toPandas()  # bounded by most
-    return [(segments(t, restorer), int(m > 0.5)) for t, m in zip(rows["text"], rows["m"]) if t]
+    picked = docs.where(F.col("text") != "").select("doc_id", "text").join(F.broadcast(voted), "doc_id")
+    rows = spread(picked).select("doc_id", "m", segs("text").alias("segs")).toPandas().sort_values("doc_id", kind="stable")  # bounded by most
+    return [(list(map(list, t)), int(m > 0.5)) for t, m in zip(rows["segs"], rows["m"])]
 
 
 def score(docs: DataFrame, labels: DataFrame, columns: list[str], most: int = 20_000) -> DataFrame:
@@ -288,7 +371,18 @@ def score(docs: DataFrame, labels: DataFrame, columns: list[str], most: int = 20
     ship(spark)
     lm = language_model(docs, "text")
     words = [w for k in ("insult", "curse", "sexual", "threat", "group") for w in WORDS[k]]
-    weights, threshold = fit(labelled(docs, labels, most, Restorer(lm, words)))
+    channel = spark.sparkContext.broadcast((lm, words))  # size fixed by the alphabet
+
+    @F.pandas_udf("array<array<string>>")
+    def restored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from skein.llm.harm import segments
+        from skein.llm.restore import Restorer
+
+        restorer = Restorer(*channel.value)
+        for b in batches:
+            yield pd.Series([segments(t, restorer) for t in b], dtype=object, index=b.index)
+
+    weights, threshold = fit(labelled(docs, labels, most, restored))
     sent = spark.sparkContext.broadcast((lm, words, weights.astype(np.float32)))  # sizes fixed by alphabet and hash
 
     @F.pandas_udf("double")

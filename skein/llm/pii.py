@@ -413,13 +413,13 @@ CONTEXTS = """[Could you/Can you/Would you mind to] check with {N} [first/again/
 {N} [moved/relocated] to {A}{t}|[our/her/his/their] [home/office/mailing] address is {A}{t}|[post/mail/forward/return] [it/the parcel/the box/the letter] to {A}{t}|[billing/delivery/home] address: {A}|[Pick up at/Meet at/Sent to] {A}{t}|[street/addr/address]={A}|"[address/street/residence]": "{A}"|{N}¶{A}|{N}, {A}|[Die Lieferung/Der Brief/Die Karte] [ging/kommt] an {A}{t}|[Meine/Ihre/Seine] Adresse [ist/lautet] {A}{t}|[wohnt/lebt/arbeitet] [in/bei] {A}{t}|[Mon/Son/Notre] adresse est {A}{t}|[habite/réside] au {A}{t}|[Le courrier/La lettre] part pour {A}{t}|[Mi/Su] dirección es {A}{t}|[vive/reside] en {A}{t}|[La carta/El pedido] llegó a {A}{t}
 [Rückfragen bitte an/Das hat/Gespräch mit/Danke an/Grüße von/Freigabe durch] {N}{t}|{N} [hat das geprüft/meint, es sei fertig/ist im Urlaub/kennt den Grund]{t}|[Parle à/Merci à/Réunion avec/Validé par/Selon] {N}{t}|{N} [a relu/pense que c'est bon/est en congé/connaît la cause]{t}|[Habla con/Gracias a/Reunión con/Aprobado por/Lo dijo] {N}{t}|{N} [lo revisó/cree que está bien/está de vacaciones/conoce la causa]{t}
 [mail/write/ping/remove/ask/try/send it to/forward to/copy/notify/invite/subscribe] {E}{t}|[account/user/login/email/recipient/owner]: {E}|[account/login/email]="{E}"|"[email/mail/contact]": "{E}"|?[email/user/to]={E}&{w}=1|[no account/invitation sent/password reset] for {E}{t}|{E} [bounced/unsubscribed/signed up/never replied]{t}|[Meine Mail/Mein Postfach] ist {E}{t}|[Mon courriel/Ma boîte] : {E}|[Mi correo/Mi buzón] es {E}{t}|<{E}>|{E}, {E}|{E}
-[my/her/his/the direct] [phone/mobile/cell/number/line] is {P}{t}|[reach/call/text/phone/ring] [me/him/her/us] [at/on] {P}{t}|[phone/mobile/cell/tel/fax/whatsapp]: {P}|[phone/mobile/tel]="{P}"|"[phone/mobile/tel]": "{P}"|Tel. {P}|tel:{P}|[Handy/Telefon/Durchwahl/Rückruf unter] {P}{t}|[Mein Anschluss ist/Erreichbar unter] {P}{t}|[téléphone/portable/Joignable au/Rappelle-moi au] {P}{t}|[teléfono/móvil/Mi teléfono es/Llama al] {P}{t}|{P} ([home/work/mobile])|{P}
-[social security number/national insurance number/passport/passport number/driving licence/driver licence/driver's license/identity card/tax number/SSN/NINO/TIN]: {I}|[my/her/his] [SSN/social/passport/licence number/tax id] is {I}{t}|[ssn/passport/id_card/tax_id]={I}|"[ssn/passport/taxId/document]": "{I}"|[Steuernummer/Steuer-ID/IdNr./Ausweis/Personalausweis/Reisepass/Identifikationsnummer] {I}{t}|[numéro de sécu/carte nationale/carte d'identité/pièce d'identité/passeport/NIR] {I}{t}|[DNI/NIE/pasaporte/documento de identidad] {I}{t}|[holder of/issued] [document/card/passport] {I}{t}|{N} ({I})|{N}, [born/geboren/né/nacido] {d}, {I}|[a real/an actual/somebody's] [SSN/passport number/tax id] [leaked/is in the log/is in the dump]: {I}
-{N}¶{P}¶{E}|{P}¶{E}|{E}¶{P}|{I} / {N}|{N} / {I}|{N} - {P}|{N};{E};{P}|{N},{E},{P}|{w},{N},{E}|("{N}", {I})|({I}, '{N}', '{A}')|{N}\t{P}\t{A}|('{N}', '{E}', '{P}')|VALUES ('{N}', '{I}', '{A}')|"[name/fullName/customer]": "{N}", "[mail/email]": "{E}"|[name/customer/author/assigned]="{N}"|{{"person":"{N}","id":"{I}","home":"{A}","tel":"{P}"}}|- {N} ({P})|* {N} <{E}>|{N} | {P} | {I}|[patient/tenant/client/driver/employee/student] {N}{t}|N:{N}|TEL:{P}|EMAIL:{E}|ORG;{N};{A}|{N}|{A}
-[Ask/Laut/Ping/Per/Nach/Mit/Von/Für/Durch/Wegen/Avec/Chez/Pour/Par/Selon/Según/Con/Para/Por/Via/See/Thank/Thanks/Meet/Call/Hi/Hello/Dear/Hallo/Liebe/Bonjour/Cher/Hola/By] {N}{t}|[ask/ping/hi,/hey,/hello/from/by/mit/von/para/avec/chez/que/daß/dass/und/and/y/et/or] {N} [here/again/today/first/bitte/heute/merci/hoy]{t}|{N} [is/was/has/had/will/can/hat/ist/wird/a/est/va/es/ha] [here/there/one/it/ready/da/fertig/là/aquí/ya]{t}|[log/blame/history/diff] [says/shows] {N} [did it/touched it]{t}|{k} {N}{t}|{k} {N} [said/left/noted/agreed/sagte/fehlt/dit/part/dijo/sale]{t}|{k} {f} {N}{t}|{f} {N}{t}|{f} {N} {f}|{f} {N}, {f}|{N} {f}|{f} {E} {f}|{f} {E}{t}|{k} {f} {E} {f}|{k} {E}|{f} {A}{t}|{f} {A} {f}|{k} {f} {A}{t}|{f} {N}, {A}|{N} {f} {A}|{u} {u} [is/was] the [name/title/code name/nickname/label/heading] of {f}|the [project/product/service/release/package/plan/ship/town/tool] {u} {u} {f}|[called/named/codenamed/labelled/entitled] {u} {u}|{W} {W} [is/was/has/will/and] {f}|{N}'s [idea/patch/change/laptop/calendar/branch]{t}|[by/per/via] {N}'s [wish/order/mail]|[Author/Committer/owner/assignee/Developer/holder/lead/user/who]: {N}¶|[Author/owner/holder/lead/user/who]: {N}{t}|({N})|[the author/its owner/my colleague/the tenant/un collègue/mein Kollege/mi colega], {N}, [left/agreed/said so/meint ja/est parti/se fue]{t}
-[ticket/case/issue/bug/PR/incident] {s} [is open/was closed/got merged]|[order/invoice/booking/shipment/part] [number/no.] {p} [shipped/failed]|[item/sku/model/asset] {s}|[build/run/job/pipeline/release] {b} [passed/failed/took {n} s]|[offset/epoch/seed/token/pid/row/size/bytes/span] {l} [of/at/in] {n}|[offset/epoch/seed/token/pid/salt/nonce/port/x/y/id] = {l}|{n}.{n} {n}, [seed/salt/x] = {l}|[checksum/digest/hash/commit/sha] {h} [ok/bad/changed]|[serial/batch/component/error code/chip] {c}|v{v} [is out/breaks it/needs {v}]|[upgrade/downgrade] from {v} to {v}|[range/span/interval/between] [{z}/{p}] [of/in/and] the {w}|[dates/lines/ports] {n}-{n}|[tracking/account/register] {l}|{p} [rows/bytes/records] scanned|{s} {s} {s}
+[my/her/his/the direct] [phone/mobile/cell/number/line] is {P}{t}|[reach/call/text/phone/ring] [me/him/her/us] [at/on] {P}{t}|[phone/mobile/cell/tel/fax/whatsapp]: {P}|[phone/mobile/tel]="{P}"|"[phone/mobile/tel]": "{P}"|Tel. {P}|tel:{P}|[Handy/Telefon/Durchwahl/Rückruf unter] {P}{t}|[Mein Anschluss ist/Erreichbar unter] {P}{t}|[téléphone/portable/Joignable au/Rappelle-moi au] {P}{t}|[teléfono/móvil/Mi fijo es/Llama al] {P}{t}|{P} ([home/work/mobile])|{P}
+[social security number/national insurance number/passport/passport number/driving licence/driver licence/driver's license/identity card/tax number/SSN/NINO/TIN]: {I}|[my/her/his] [SSN/social/passport/licence number/tax id] is {I}{t}|[ssn/passport/id_card/tax_id]={I}|"[ssn/passport/taxId/document]": "{I}"|[Steuernummer/Steuer-ID/IdNr./Ausweis/Personalausweis/Reisepass/Identifikationsnummer] {I}{t}|[numéro de sécu/carte nationale/carte nationale d'identité/pièce d'identité/passeport/NIR] {I}{t}|[DNI/NIE/pasaporte/documento de identidad] {I}{t}|[holder of/issued] [document/card/passport] {I}{t}|{N} ({I})|{N}, [born/geboren/né/nacido] {d}, {I}|[a real/an actual/somebody's] [SSN/passport number/tax id] [leaked/is in the log/is in the dump]: {I}
+{N}¶{P}¶{E}|{P}¶{E}|{E}¶{P}|{I} / {N}|{N} / {I}|{N} - {P}|{N};{E};{P}|{N},{E},{P}|{w},{N},{E}|("{N}", {I})|({I}, '{N}', '{A}')|{N}\t{P}\t{A}|('{N}', '{E}', '{P}')|VALUES ('{N}', '{I}', '{A}')|"[name/fullName/customer]": "{N}", "[eMail/post]": "{E}"|[name/customer/author/assigned]="{N}"|{{"person":"{N}","id":"{I}","home":"{A}","tel":"{P}"}}|- {N} ({P})|* {N} <{E}>|{N} | {P} | {I}|[patient/tenant/client/driver/employee/student] {N}{t}|N:{N}|TEL:{P}|EMAIL:{E}|ORG;{N};{A}|{N}|{A}
+[Ask/Laut/Ping/Per/Nach/Mit/Von/Für/Durch/Wegen/Avec/Chez/Pour/Par/Selon/Según/Con/Para/Por/Via/See/Thank/Thanks/Meet/Call/Hi/Hello/Dear/Hallo/Liebe/Bonjour/Cher/Hola/By] {N}{t}|[ask/ping/hi,/hey,/hello/from/by/mit/von/para/avec/chez/que/daß/dass/und/and/y/et/or] {N} [here/again/today/first/bitte/heute/merci/hoy]{t}|{N} [is/was/has/had/will/can/hat/ist/wird/a/est/va/es/ha] [here/there/one/it/ready/da/fertig/là/aquí/ya]{t}|[log/blame/history/diff] [says/shows] {N} [did it/touched it]{t}|{k} {N}{t}|{k} {N} [said/left/noted/agreed/sagte/fehlt/dit/part/dijo/sale]{t}|{k} {f} {N}{t}|{f} {N}{t}|{f} {N} {f}|{f} {N}, {f}|{N} {f}|{f} {E} {f}|{f} {E}{t}|{k} {f} {E} {f}|{k} {E}|{f} {A}{t}|{f} {A} {f}|{k} {f} {A}{t}|{f} {N}, {A}|{N} {f} {A}|{u} {u} [is/was] the [title/nickname/label/heading] for {f}|the [project/product/service/release/package/plan/ship/town/tool] {u} {u} {f}|[called/named/codenamed/labelled/entitled] {u} {u}|{W} {W} [is/was/has/will/and] {f}|{N}'s [idea/patch/change/laptop/calendar/branch]{t}|[by/per/via] {N}'s [wish/order/mail]|[Author/Committer/owner/assignee/Developer/holder/lead/user/who]: {N}¶|[Author/owner/holder/lead/user/who]: {N}{t}|({N})|[the author/its owner/my colleague/the tenant/un collègue/mein Kollege/mi colega], {N}, [left/agreed/said so/meint ja/est parti/se fue]{t}
+[ticket/case/issue/bug/PR/incident] {s} [is open/was closed/got merged]|[order/invoice/booking/shipment/part] [no./ref] {p} [shipped/failed]|[item/sku/model/asset] {s}|[build/run/job/pipeline/release] {b} [passed/failed/took {n} s]|[offset/epoch/seed/token/pid/row/size/bytes/span] {l} [of/at/in] {n}|[offset/epoch/seed/token/pid/salt/nonce/port/x/y/id] = {l}|{n}.{n} {n}, [seed/salt/x] = {l}|[checksum/digest/hash/commit/sha] {h} [ok/bad/changed]|[serial/batch/component/error code/chip] {c}|v{v} [is out/breaks it/needs {v}]|[upgrade/downgrade] from {v} to {v}|[range/span/interval/between] [{z}/{p}] [of/in/and] the {w}|[dates/lines/ports] {n}-{n}|[tracking/account/register] {l}|{p} [rows/bytes/records] scanned|{s} {s} {s}
 [property/route/inject/given] @{w}.{w} [is/was/on] {w}|[cloned/fetched/pushed] {g}|[ssh/scp/rsync] {m}{o}|{m}:~[$/%] ls|[npm/pnpm/yarn] add @{w}/{w}@{v}|@{w}.{w} decorator|uses: {w}/{w}@v{n}|{w}@{n}x.png|[ping/cc] @{w} and @{w}-{w}|{w}://{w}:{w}@{w}.{w}:{n}/{w}|[noreply/no-reply/donotreply]@{w}.example|[queue/topic] {w}@{n}
-[Lane/Drive/Road/Court/Place/Square/Street/Flat/Unit/Suite] {n} [of the/in the/is] {w}|{n} [Road/Street/Avenue/Court] [layer/tiles/labels] [missing/loaded]|[Platz/Straße/Ring/Weg/Allee] {n} [im/ist/fehlt] {W}|[Place/Rue/Allée/Chemin] {n} [du/est] {w}|[Calle/Plaza/Vía] {n} [del/es] {w}|{n} {W} {W}{t}|{n} {W}{t}|{W} {n}{t}|{W} {n}, {W} {n}|[nach/in/von/mit] {n} {W} [im/am/und] {W}|{W} {n}: {W} {W}|[with/by/to/avec/mit/con/de/from] {n}. {k} {f}|{n}. {k} {f}|[port/host]:{n} {k} {f}|0x{h} {f}"""
+[Lane/Drive/Road/Court/Place/Square/Street/Flat/Unit/Suite] {n} [of the/in the/is] {w}|{n} [Road/Street/Avenue/Court] [signs/works] [closed/ahead]|[Platz/Straße/Ring/Weg/Allee] {n} [im/ist/fehlt] {W}|[Place/Rue/Allée/Chemin] {n} [du/est] {w}|[Calle/Plaza/Vía] {n} [del/es] {w}|{n} {W} {W}{t}|{n} {W}{t}|{W} {n}{t}|{W} {n}, {W} {n}|[nach/in/von/mit] {n} {W} [im/am/und] {W}|{W} {n}: {W} {W}|[with/by/to/avec/mit/con/de/from] {n}. {k} {f}|{n}. {k} {f}|[port/host]:{n} {k} {f}|0x{h} {f}"""
 #: Later mentions of a person by the family name alone.
 MENTIONS = """{M} [said/says/explained/wrote/left/agreed/knows/fixed/wants/sagte/weiß/ging/a dit/dit/veut/dijo/quiere/sabe] {f}|{k} {M} [said/left/agreed/knows/ging/dit/dijo] {f}|{f} {M}{t}|{f} {M} {f}|[ask/tell/thank/call/with/for/by/to/von/mit/für/avec/pour/à/con/para] {M}{t}|[Ask/Tell/Thank/With/Mit/Von/Avec/Con] {M} {f}|{M}'s [idea/part/patch] {f}|{k} {f} {M}{t}|{M}: {f}|{M} [is/was/has/ist/hat/est/a/es/ha] {f}"""
 # Filling: sentences made of these words, language by language: small words, nouns, verbs.
@@ -592,7 +592,7 @@ class Writer:
             lambda: f"{n():02d}"[:2] + f":{r.randint(10, 59)}:{r.randint(10, 59)} {r.choice(['INFO', 'WARN', 'ERROR', 'DEBUG'])} [{w()}] {w()} {n()} {r.choice(['ok', 'ms', 'retry', 'Failed', 'Connection Reset'])}",
             lambda: f"{r.choice(['fn', 'def', 'func', 'function'])} {low()}({w()}: {r.choice(['&str', 'int', 'String', 'Option<u8>'])}) -> {cap(w())}{cap(w())}",
             lambda: f"{r.choice(['let', 'const', 'var', 'return', 'for', 'if', 'raise', 'throw new'])} {cap(w())}{r.choice(['Error', 'Type', 'Id', ''])}({low()}, {n()})",
-            lambda: f"{r.choice(['RFC', 'ISO', 'IEEE', 'PEP', 'CVE', 'Section', 'Chapter', 'Table', 'Figure', 'Fig.', 'Python', 'Java', 'Version', 'Zeile', 'Seite', 'Ligne', 'Página'])} {n()}{r.choice(['', f' {w()} {n()}', f'.{r.randint(0, 9)}', f', {self.capital()}'])}",
+            lambda: f"{r.choice(['RFC', 'ISO', 'IEEE', 'PEP', 'CVE', 'Section', 'Chapter', 'Table', 'Figure', 'Fig.', 'Python', 'Java', 'Version', 'Zeile', 'Seite', 'Kapitel', 'Absatz', 'Abschnitt', 'Anhang', 'Ligne', 'Chapitre', 'Annexe', 'Página', 'Capítulo', 'Apartado'])} {n()}{r.choice(['', f' {w()} {n()}', f'.{r.randint(0, 9)}', f', {self.capital()}'])}",
             lambda: f"{r.choice(['version', 'v', 'release', 'tag', 'build'])} {self.near_miss('v')} {r.choice(['is newer than', 'was replaced by', '->', 'and', 'before'])} {self.near_miss('v')}",
             lambda: f"{n()} {r.choice(['files', 'Files', 'tests', 'Tests', 'Dateien', 'Zeilen', 'Sekunden', 'fichiers', 'archivos', 'MB', 'ms', 'KB', 'rows'])} {r.choice(['changed', 'passed', 'fehlen', 'offen', 'modifiés', 'left', 'total'])}, {n()} {r.choice(['failed', 'Fehler', 'lignes', 'lines', 'MB'])}",
             lambda: f"{self.capital()} {self.capital()} {r.choice(['and', 'or', 'und', 'et', 'y', '&'])} {self.capital()} {self.capital()} {r.choice(['differ', 'merged', 'fehlen', 'restent', 'fallan', ''])}",
@@ -740,7 +740,8 @@ class Field:
 
     @staticmethod
     def tidy(item, toks):
-        """Outer marks and titles don't belong to an item; a name without a word and an address without a word of three letters and a number are none."""
+        """Outer marks and titles don't belong to an item; a name without a word and an address without a word of three letters and a number are none,
+        nor is one word beside a number that does not read as a street."""
         s, e, kind, _, own = item
         if kind in ("name", "address"):
             while own and (toks[own[0]][2] == "SIGN" or (kind == "name" and len(own) > 1 and flag(*toks[own[0]][2:]) == "title")):
@@ -753,6 +754,8 @@ class Field:
                 return None
             if kind == "address" and not (any(toks[i][2] == "WORD" and len(toks[i][3]) > 2 for i in own) and any(toks[i][2] == "NUM" for i in own)):
                 return None
+            if kind == "address" and sum(toks[i][2] == "WORD" for i in own) < 2 and not any(flag(*toks[i][2:]).removeprefix("low") in ("street", "streetend", "unit") for i in own):
+                return None
             s, e = toks[own[0]][0], toks[own[-1]][1]
         return s, e, kind
 

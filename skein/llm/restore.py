@@ -1,10 +1,11 @@
 """Noisy-channel restoration of disguised words.
 
 A disguised token becomes a lattice: every observed character can stand for the letters it resembles,
-a mask for any letter, repetitions for nothing, separators for nothing or a word edge. Viterbi finds the most likely letters
-under a character language model: a mixture of 4-grams counted over all documents and a word list.
-A token whose characters each have one reading is its own best path, so only tokens with a choice are
-decoded. A doubled letter is a choice between the word as it is and the listed words it can stand for.
+a mask for any letter, repetitions for nothing, separators for nothing or a word edge, two letters for
+each other. Viterbi finds the most likely letters under a character language model: a mixture of 4-grams
+counted over all documents and a word list. No state is dropped: where many letters are possible the
+states are an array over the last three letters, else a table. A word of letters only is read as itself
+or as a listed word it can stand for, as doubled letters and neighbours exchanged are ordinary spelling.
 """
 
 from __future__ import annotations
@@ -102,6 +103,10 @@ def log_probabilities(counts: np.ndarray) -> np.ndarray:
 _COST = {"same": 0.0, "leet": -0.7, "digit": -2.5, "mask": -0.5, "gap": -0.3, "edge": -1.35, "repeat": -0.4, "swap": -2.0, "doubt": -4.0}
 
 
+#: Readings at a place from which the states are kept in an array.
+_DENSE = 20
+
+
 class Restorer:
     """Decodes disguised tokens with a language model and a word list; keeps what it has decoded."""
 
@@ -111,15 +116,11 @@ class Restorer:
         self.words = sorted({plain(w) for w in words if " " not in w})
         self.known = set(self.words)
         self.trie: dict = {}
-        self.swaps: dict[str, str] = {}
         for w in self.words:
             at = self.trie
             for c in w:
                 at = at.setdefault(c, {})
             at["$"] = w
-            for i in range(1, len(w) - 1):
-                if len(w) >= 5 and w[i] != w[i + 1]:
-                    self.swaps.setdefault(w[:i] + w[i + 1] + w[i] + w[i + 2 :], w)
 
     @staticmethod
     def lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -131,7 +132,7 @@ class Restorer:
                 alts = [(c, _COST["same"])]
                 if i and token[i - 1] == c:
                     alts.append(("", _COST["repeat"] if i > 1 and token[i - 2] == c else _COST["repeat"] * 4))
-            elif c in MASKS and not ("a" <= c <= "z"):
+            elif c in MASKS:
                 alts = [(x, _COST["mask"]) for x in ALPHABET[1:-1]]
             elif c in LEET:
                 alts = [(x, _COST["leet"]) for x in LEET[c]]
@@ -144,73 +145,168 @@ class Restorer:
             out.append(alts)
         return out
 
+    def listed(self, lattice, swaps: bool = False) -> tuple[float, str]:
+        """The likeliest listed word (of one word) that a lattice can stand for, by Viterbi over the trie of the list."""
+        here: list[dict] = [{} for _ in range(len(lattice) + 2)]
+        here[0][id(self.trie)] = (0.0, self.trie, "")
+
+        def reach(at: int, score: float, node: dict, word: str) -> None:
+            old = here[at].get(id(node))
+            if old is None or old[0] < score:
+                here[at][id(node)] = (score, node, word)
+
+        for i, alts in enumerate(lattice):
+            for score, node, word in here[i].values():
+                for x, cost in alts:
+                    to = node if x == "" else node.get(x) if x != " " else None
+                    if to is not None:
+                        reach(i + 1, score + cost, to, word + x)
+                if swaps and 0 < i < len(lattice) - 2:  # neither the first nor the last letter moves
+                    a, b = lattice[i][0][0], lattice[i + 1][0][0]
+                    to = node.get(b, {}).get(a) if a != b and a.isalpha() and b.isalpha() else None
+                    if to is not None:
+                        reach(i + 2, score + _COST["swap"], to, word + b + a)
+        done = [(score - np.log(len(self.words)), word) for score, node, word in here[len(lattice)].values() if "$" in node]
+        return max(done, default=(-1e9, ""))
+
     def decode(self, lattice, free: bool = True, listed: bool = False) -> tuple[float, str]:
         """Viterbi path under the 4-grams (free), the word list (listed) or, word by word, the likelier of both.
 
         States are the last three letters of a free word and the trie node of a listed one; a word edge ends the
         best word of either kind and begins both anew.
         """
+        n = len(lattice)
+        edges = [i for i, alts in enumerate(lattice) if any(x == " " for x, _ in alts)]
+        # best reading of each piece between two places where a word can begin and end, joined by the best edges
+        begins, ends = [0, *(i + 1 for i in edges)], [*edges, n]
+        best: dict[int, tuple[float, str]] = {0: (0.0, "")}
+        final = (-1e9, "")
+        for a in begins:
+            if a not in best:
+                continue
+            wanted = [e for e in ends if e > a]
+            pieces = self._words(lattice, a, wanted, free, listed)
+            for e in wanted:
+                score, word = pieces.get(e, (-1e9, ""))
+                if not word:
+                    continue
+                total, text = best[a][0] + score, best[a][1] + word
+                if e == n:
+                    final = max(final, (total, text))
+                else:
+                    cost = next(c for x, c in lattice[e] if x == " ")
+                    if e + 1 not in best or best[e + 1][0] < total + cost:
+                        best[e + 1] = (total + cost, text + " ")
+        return final
+
+    def _words(self, lattice, a: int, wanted: list[int], free: bool, listed: bool) -> dict[int, tuple[float, str]]:
+        """The best single word from place a to each wanted place."""
+        out: dict[int, tuple[float, str]] = {}
+        last = wanted[-1]
+        if listed:
+            nodes = {id(self.trie): (0.0, self.trie, "")}
+            for i in range(a, last + 1):
+                if i in wanted:
+                    done = [(s - np.log(len(self.words)), w) for s, node, w in nodes.values() if "$" in node]
+                    if done:
+                        out[i] = max(done)
+                if i == last or not nodes:
+                    break
+                near: dict = {}
+                for s, node, w in nodes.values():
+                    for x, cost in lattice[i]:
+                        to = node if x == "" else node.get(x) if x != " " else None
+                        if to is not None and (id(to) not in near or near[id(to)][0] < s + cost):
+                            near[id(to)] = (s + cost, to, w + x)
+                nodes = near
+        if free:
+            for e, got in self._free(lattice, a, wanted).items():
+                out[e] = max(out.get(e, (-1e9, "")), got)
+        return out
 
-        def begin(score, text):
-            return {(0, 0, 0): (score, text)} if free else {}, {id(self.trie): (score, text, self.trie)} if listed else {}
-
-        def ended(states, nodes):
-            done = [(s + float(self.model[a, b, c, 0]), w) for (a, b, c), (s, w) in states.items()]
-            return done + [(s - rate, w) for s, w, node in nodes.values() if "$" in node]
-
-        rate = np.log(len(self.words)) if listed else 0.0
-        states, nodes = begin(0.0, "")
-        for alts in lattice:
-            nxt: dict = {}
-            for (a, b, c), (score, word) in states.items():
-                row = self.model[a, b, c]
+    def _free(self, lattice, a: int, wanted: list[int]) -> dict[int, tuple[float, str]]:
+        """The best free word from place a to each wanted place: exact, in a table or an array of all states."""
+        out: dict[int, tuple[float, str]] = {}
+        last, model = wanted[-1], self.model
+        states: dict = {(0, 0, 0): (0.0, "")}
+        dense = None  # scores over the last three letters, and behind it the choices that led there
+        for i in range(a, last + 1):
+            if i in wanted:
+                if dense is None:
+                    out[i] = max(((s + float(model[k][0]), w) for k, (s, w) in states.items()), default=(-1e9, ""))
+                else:
+                    scores = dense[0] + model[:, :, :, 0]
+                    at = int(scores.argmax())
+                    out[i] = (float(scores.ravel()[at]), self._trace(dense[1], at))
+            if i == last:
+                break
+            alts = [(x, c) for x, c in lattice[i] if x != " "]
+            if dense is None and len(alts) >= _DENSE:
+                dense = (np.full((_N, _N, _N), -1e9, np.float32), [dict(states)])
+                for k, (s, _) in states.items():
+                    dense[0][k] = s
+            if dense is None:
+                nxt: dict = {}
+                for (p, q, r), (score, word) in states.items():
+                    row = model[p, q, r]
+                    for x, cost in alts:
+                        if x == "":
+                            key, s, w = (p, q, r), score + cost, word
+                        else:
+                            k = _CODE.get(x, 0)
+                            key, s, w = (q, r, k), score + cost + float(row[k]), word + x
+                        if key not in nxt or nxt[key][0] < s:
+                            nxt[key] = (s, w)
+                states = nxt
+            else:
+                now = np.full((_N, _N, _N), -1e9, np.float32)
+                from_ = np.full((_N, _N, _N), -1, np.int8)  # the letter before the last three; -1 where nothing was added
                 for x, cost in alts:
-                    if x == " ":
-                        continue
                     if x == "":
-                        key, s, w = (a, b, c), score + cost, word
+                        stay = dense[0] + cost
+                        better = stay > now
+                        now[better], from_[better] = stay[better], -1
                     else:
                         k = _CODE.get(x, 0)
-                        key, s, w = (b, c, k), score + cost + float(row[k]), word + x
-                    if key not in nxt or nxt[key][0] < s:
-                        nxt[key] = (s, w)
-            near: dict = {}
-            for score, word, node in nodes.values():
-                for x, cost in alts:
-                    at = node if x == "" else node.get(x)
-                    if at is not None and (id(at) not in near or near[id(at)][0] < score + cost):
-                        near[id(at)] = (score + cost, word + x, at)
-            for x, cost in alts:
-                done = [(s, w) for s, w in ended(states, nodes) if w and w[-1] != " "] if x == " " else []
-                if done:
-                    s, w = max(done)
-                    fresh, roots = begin(s + cost, w + " ")
-                    # a separator that means nothing at the start of a word leaves an older state there
-                    nxt.update({k: v for k, v in fresh.items() if k not in nxt or nxt[k][0] < v[0]})
-                    near.update({k: v for k, v in roots.items() if k not in near or near[k][0] < v[0]})
-            states, nodes = nxt, near
-            if len(states) > 400:
-                states = dict(sorted(states.items(), key=lambda x: -x[1][0])[:400])
-        return max(ended(states, nodes), default=(-1e9, ""))
-
-    def doubled(self, t: str) -> str:
-        """The listed word that a word with doubled letters stands for, if likelier than the word as it is.
-
-        Doubled letters are ordinary spelling, so a disguise is doubted at first; words common in the documents
-        ('bitte') stay, and so do words that are none of the list without their doubled letters ('harness').
+                        add = dense[0] + model[:, :, :, k] + cost
+                        top, who = add.max(0), add.argmax(0)
+                        better = top > now[:, :, k]
+                        now[:, :, k][better], from_[:, :, k][better] = top[better], who[better]
+                dense = (now, [*dense[1], from_])
+        return out
+
+    @staticmethod
+    def _trace(behind: list, at: int) -> str:
+        """The letters of the path that ends in a state."""
+        key = (at // (_N * _N), at // _N % _N, at % _N)
+        word = ""
+        for from_ in reversed(behind[1:]):
+            before = int(from_[key])
+            if before >= 0:
+                word = ALPHABET[key[2]] + word
+                key = (before, key[0], key[1])
+        return behind[0].get(key, (0.0, ""))[1] + word
+
+    def letters(self, t: str) -> str:
+        """A word of letters: itself, or the listed word it can stand for by letters doubled or exchanged, if that is likelier.
+
+        Both are ordinary spelling, so a disguise is doubted at first; words common in the documents ('bitte')
+        stay, and so do words that are none of the list either way ('harness').
         """
-        score, word = self.decode(self.lattice(t), free=False, listed=True)
-        return word if score + _COST["doubt"] > self.decode([[(c, _COST["same"])] for c in t])[0] else t
+        score, word = self.listed(self.lattice(t), swaps=len(t) >= 5)
+        return word if word and score + _COST["doubt"] > self.decode([[(c, _COST["same"])] for c in t])[0] else t
 
     def token(self, t: str) -> str:
         got = self.memo.get(t)
         if got is None:
-            if t.isalpha() and not _TRIPLE.search(t):  # a word as it is, two letters swapped in a listed one, or letters doubled in one
-                got = t if t in self.known else self.swaps.get(t) or (self.doubled(t) if _DOUBLE.search(t) else t)
+            if t in self.known:
+                got = t
+            elif t.isalpha() and not _TRIPLE.search(t):
+                got = self.letters(t)
             elif _HEX.match(t):
                 got = t
             else:
-                got = self.decode(self.lattice(t), free=t.count("*") < 3, listed=True)[1] or t
+                got = self.decode(self.lattice(t), listed=True)[1] or t
             if len(self.memo) < 200_000:
                 self.memo[t] = got
         return got
@@ -221,17 +317,19 @@ class Restorer:
 
 
 _HEX = re.compile(r"(?=(?:[a-f]*[0-9]){2})[0-9a-f]{5,}$")
-_DOUBLE = re.compile(r"(.)\1")
 _TRIPLE = re.compile(r"(.)\1\1")
 _L = "[a-z]"
-# A disguised token: letters set apart by separators, or letters mixed with signs; words with three of a letter or
-# four letters and more, which may have two letters swapped or letters doubled. Paths, calls, addresses and numbers are left alone.
+_SIGNS = re.escape("".join(sorted({*LEET, *MASKS} - set("0123456789?!+&|"))))
+_SEPARATED = re.escape(SEPARATORS.replace(" ", "") + "*")
+# A disguised token: letters set apart by separators, or letters mixed with signs, masks and separators that stand alone between
+# letters; words with three of a letter or four letters and more, which may have letters exchanged or doubled. Marks at the end
+# of a sentence end a token. Paths, calls, addresses and numbers are left alone.
 _UNIT = re.compile(
     r"(?<![\w/.:@<`\-])(?:"
-    + rf"{_L}(?:(?P<sep>[.\-_~·*]){_L})(?:(?P=sep){_L}){{1,240}}(?![\w/(@=]|:\w)"
-    + rf"|{_L}(?: {_L}){{2,240}}(?: [a-z]\b)?(?![\w'/(@=*]|[:.]\w)"
-    + r"|(?=[a-z0-9@$!|+(*#€£¡&]{0,24}[a-z])(?=[a-z]{0,24}[0-9@$!|+(*#€£¡&])[a-z0-9@$!|+*#€£¡&(]{3,24}(?<![!+&|])(?:(?<!\()|(?=[\s,.;]|$))(?![\w/(:@=.\-]\w)"
-    + r"|[a-z]{4,48}(?![\w/(:@=])"
-    + r"|[a-z]{0,20}([a-z])\2\2[a-z]{0,40}(?![\w/(:@=])"
+    + rf"{_L}(?:[{_SEPARATED}]{_L}(?![a-z0-9])){{2,}}+(?![/(@=]|:\w)"
+    + rf"|{_L}(?: {_L}(?![\w'])){{2,}}+(?![/(@=*]|[:.]\w)"
+    + rf"|(?=[^\sa-z]*+[a-z])(?=[a-z]*+[0-9!|+?&{_SIGNS}])[a-z0-9{_SIGNS}]++(?:[!|+?&]++[a-z0-9{_SIGNS}]++)*+(?<!\()(?![\w/(:@=.\-]\w)"
+    + r"|[a-z]{4,}+(?![\w/(:@=])"
+    + r"|[a-z]*?([a-z])\1\1[a-z]*+(?![\w/(:@=])"
     + r")"
 )

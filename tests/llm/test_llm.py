@@ -1,5 +1,6 @@
 """p1, p6, p7, p8: brute force, round trips, held-out accuracy and odd inputs."""
 
+import itertools
 import random
 import time
 
@@ -269,6 +270,58 @@ def test_viterbi_is_the_best_path_of_the_lattice():
     assert r.decode(lattice)[1] == best[1] and r.decode(lattice)[0] == pytest.approx(best[0], rel=1e-4)
 
 
+def brute(lattice, model, n):
+    """Best path of a lattice by enumeration, without word edges."""
+    best = (-1e9, "")
+    for path in itertools.product(*lattice):
+        word, score, h = "", 0.0, (0, 0, 0)
+        for x, cost in path:
+            score += cost
+            if x:
+                k = R._CODE[x]
+                score += float(model[h][k])
+                h, word = (h[1], h[2], k), word + x
+        best = max(best, (score + float(model[h][0]), word))
+    return best
+
+
+@pytest.mark.parametrize("token", ["b**d", "h4*t", "**", "a*b*"])
+def test_masks_are_decoded_exactly(token):
+    counts = R.count_ngrams(["the bold hat had a bad bird in the boat"] * 3).astype(float)
+    r = R.Restorer(R.log_probabilities(counts), [])
+    got = r.decode(r.lattice(token))
+    want = brute(r.lattice(token), r.model, len(token))
+    assert got[0] == pytest.approx(want[0], abs=1e-3)
+
+
+def test_disguises_of_words_that_no_list_has():
+    words = "kitchen garden window planet silver market winter doctor bridge forest island shadow travel monkey pocket basket castle dragon farmer ticket".split()
+    r = R.Restorer(R.log_probabilities(R.count_ngrams([" ".join(words), "the man and the woman went home again after it had rained"] * 30).astype(float)), ["halfwit"])
+    ways = {
+        "leet": lambda w: w.replace("e", "3").replace("a", "4").replace("o", "0").replace("i", "1"), "spaced": " ".join, "dotted": ".".join, "mixed": lambda w: w[0] + "-" + w[1] + "." + "_".join(w[2:]),
+        "repeated": lambda w: w[:2] + w[2] * 5 + w[3:], "masked": lambda w: w[:2] + "*" + w[3:], "masked twice": lambda w: w[:2] + "??" + w[4:], "look-alikes": lambda w: w.replace("a", "а").replace("o", "о"), "hidden": lambda w: w[:3] + "\u200b" + w[3:],
+    }
+    for name, f in ways.items():
+        right = sum(r.text(f"see {f(w)}, there") == f"see {w}, there" for w in words)
+        assert right / len(words) >= 0.9, (name, right)
+    assert [r.token(w) for w in words] == words and r.token("hlafwit") == "halfwit" and r.token("x" * 50 + "1d1ot")
+
+
+def test_features_of_many_segments_are_those_of_each():
+    f, segs = A.Features(), [["you", "are", "an", "idiot"], ["ok"], [], ['"', "moron", '"', "is", "listed", "here", "as", "a", "word"], ["you"]]
+    at, starts = f.matrix(segs)
+    ends = [*starts[1:], len(at)]
+    for s, a, b in zip(segs, starts, ends):
+        assert list(at[a:b]) == list(f.matrix([s])[0])
+    assert len(f.matrix([])[0]) == 0 and all(b > a for a, b in zip(starts, ends))
+
+
+def test_cut_lies_in_the_widest_gap_of_least_errors():
+    t = A.cut(np.array([-5.0, -4.0, -3.0, 3.0, 4.0, -2.5]), np.array([0, 0, 0, 1, 1, 1]))
+    assert -3.0 < t < -2.5
+    assert -3 < A.cut(np.array([-4.0, -3.0, 1.0, 2.0]), np.array([0, 0, 1, 1])) < 1
+
+
 def test_harm_held_out_and_odd_inputs(spark):
     r = random.Random(7)
     calm = ["the parser returns before the queue is flushed", "please rename the cache and run the tests", "kill the child process first", "this bug is stupid, sorry", "the list must flag \"idiot\" and \"moron\""]
