@@ -266,7 +266,9 @@ class Features:
         where.append(np.repeat(np.arange(n), [len(m) for m in own_marks]))
         x = np.concatenate(found)
         x = ((x ^ (x >> np.uint64(15))) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)
-        both = np.unique(np.concatenate(where) * _SIZE + (x >> np.uint64(32 - _BITS)).astype(np.int64))
+        both = np.concatenate(where) * _SIZE + (x >> np.uint64(32 - _BITS)).astype(np.int64)
+        both.sort()
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
         return both % _SIZE, np.searchsorted(both // _SIZE, np.arange(n))
 
 
@@ -400,8 +402,9 @@ def score(docs: DataFrame, labels: DataFrame, columns: list[str], most: int = 20
                     own = segments(t, restorer)
                     segs += own
                     owner += [i] * len(own)
-            if segs:
-                np.maximum.at(out, owner, odds(w, *feats.matrix(segs)))
+                if len(segs) > 4000 or i == len(b) - 1 and segs:
+                    np.maximum.at(out, owner, odds(w, *feats.matrix(segs)))
+                    segs, owner = [], []
             yield pd.Series(out)
 
     got = spread(docs.select(*dict.fromkeys([*columns, "text"]))).select(*columns, F.explode(F.array(worst("text"))).alias("score"))
