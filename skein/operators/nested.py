@@ -5,6 +5,9 @@ level, and nested transform calls give every child its path, key, index and the
 listed ancestor; flatten joins the children of all containers into the next level. The step is folded
 over the levels inside one expression, so any depth, any key and any mixture of types works without a
 schema and without Python, and inline emits one row per listed object.
+
+Texts of over LARGE characters, which no VARIANT can be trusted to hold, are read token by token instead.
+Parsing repeated keys needs spark.sql.variant.allowDuplicateKeys, which is set on the session.
 """
 
 from __future__ import annotations
@@ -12,6 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.large import LARGE, Malformed, large, one_by_one, walk
+from skein.runtime import ship
+
 #: Keyed registries whose values are rows: dotted paths from the top.
 REGISTRIES = ("turns", "compaction_windows", "cost.per_model")
 #: Top-level keys under which a single object stands for a list of one.
@@ -29,14 +35,15 @@ def _quoted(names) -> str:
 def listed_objects(df: DataFrame, json_col: str, keys: list[str], registries=REGISTRIES, singles=SINGLES) -> DataFrame:
     """One row per object that is an array element at any depth or a registry value: keys, path, parent_path, v.
 
-    v is the object as VARIANT. parent_path is the nearest enclosing listed object, '' at the top.
+    v is the object as VARIANT; of an object of over LARGE characters it has the scalars alone. parent_path is the nearest enclosing listed object, '' at the top.
     Null, empty, malformed texts and texts of another kind than one object give no rows; of repeated
     keys in an object the last holds; nulls and scalars in arrays count for positions only. Repeated
     rows of df give repeated rows. Columns of df other than keys and json_col are dropped first, so
     their names can't clash.
     """
     made = "filter(k, c -> c.listed and c.m is not null), c -> struct(c.path as path, c.parent as parent_path, c.v as v)"
-    return _walk(df, json_col, keys, registries, singles, made, _ROW)
+    more = _large(df, json_col, keys, registries, singles, 0, "path string, parent_path string, _json string")
+    return _walk(df, json_col, keys, registries, singles, made, _ROW).unionByName(more.select(*keys, "path", "parent_path", F.expr("try_parse_json(_json)").alias("v")))
 
 
 def listed_fields(df: DataFrame, json_col: str, keys: list[str], registries=REGISTRIES, singles=SINGLES) -> DataFrame:
@@ -49,14 +56,38 @@ def listed_fields(df: DataFrame, json_col: str, keys: list[str], registries=REGI
     rest = "substring(c.path, length(c.parent) + 1)"
     made = f"""filter(k, c -> coalesce(size(c.m), 0) = 0 and coalesce(size(c.a), 0) = 0 and not (c.listed and c.m is not null)),
         c -> struct(c.parent as path, c.above as parent_path, if(c.parent != '' and startswith({rest}, '.'), substring({rest}, 2), {rest}) as field, c.v as v)"""
-    rows = _walk(df, json_col, keys, registries, singles, made, _FIELD)
-    return rows.select(*keys, "path", "parent_path", "field", F.expr("try_cast(v as string)").alias("value"), F.coalesce(F.expr("schema_of_variant(v)"), F.lit("VOID")).alias("type"))
+    more = _large(df, json_col, keys, registries, singles, 1, "path string, parent_path string, field string, _json string")
+    told = _valued(_walk(df, json_col, keys, registries, singles, made, _FIELD), keys)
+    more = _valued(more.withColumn("v", F.expr("try_parse_json(_json)")), keys, F.when(F.col("v").isNull(), F.expr("substring(_json, 2, length(_json) - 2)")))
+    return told.unionByName(more)
+
+
+def _valued(rows: DataFrame, keys: list[str], too_large=None) -> DataFrame:
+    value = F.expr("try_cast(v as string)")
+    kind = F.coalesce(F.expr("schema_of_variant(v)"), F.lit("VOID"))
+    if too_large is not None:  # a string that no VARIANT holds, as it is written
+        value, kind = F.coalesce(value, too_large), F.when(too_large.isNotNull(), "STRING").otherwise(kind)
+    return rows.select(*keys, "path", "parent_path", "field", value.alias("value"), kind.alias("type"))
+
+
+def _large(df: DataFrame, json_col: str, keys: list[str], registries, singles, which: int, schema: str) -> DataFrame:
+    """Rows of the texts that are too large for a VARIANT."""
+    ship(df.sparkSession)
+    registries, singles = tuple(registries), tuple(singles)
+
+    def rows(text: str):
+        try:
+            return walk(text, registries, singles)[which]
+        except Malformed:
+            return []
+
+    return one_by_one(df.where(large(json_col)).select(*keys, F.col(json_col).alias("_text")), "_text", rows, schema)
 
 
 def _walk(df: DataFrame, json_col: str, keys: list[str], registries, singles, made: str, row: str) -> DataFrame:
     """The fold over the levels; made says which children of a level give rows, and which."""
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    base = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(json_col).alias("_text")).where(F.col("_text").contains("[") | F.col("_text").contains("{"))
+    base = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(json_col).alias("_text")).where((F.length("_text") <= LARGE) & (F.col("_text").contains("[") | F.col("_text").contains("{")))
     # The parser stops after one value; wrapped in both kinds of brackets, whatever follows the value is an error.
     base = base.withColumn("_one", F.expr("try_cast(try_parse_json('[' || _text || ']') as array<variant>)")).where("size(_one) = 1")
     base = base.where("try_parse_json('{\"x\":' || _text || '}') is not null").withColumn("_m", F.expr("try_cast(_one[0] as map<string,variant>)")).where("_m is not null")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import sessions as S
+from skein.operators.large import large, one_by_one
 from skein.operators.search import postings
 from skein.runtime import ship
 
@@ -31,16 +32,51 @@ class StoreError(Exception):
 
 def explode_messages(sessions: DataFrame) -> DataFrame:
     """Messages of session_json, in order from 0; other shapes than a list have none."""
-    m = sessions.select(F.col("id").alias("session_id"), F.posexplode(F.expr("try_variant_get(try_parse_json(session_json), '$.messages', 'array<variant>')")).alias("pos", "v"))
+    s = sessions.select(F.col("id").alias("session_id"), F.col("session_json").alias("_text"))
+    m = s.where(~large("_text")).select("session_id", F.posexplode(F.expr("try_variant_get(try_parse_json(_text), '$.messages', 'array<variant>')")).alias("pos", "v"))
     get = lambda f: F.expr(f"try_variant_get(v, '$.{f}', 'string')").alias(f)
-    return m.select("session_id", F.col("pos").cast("long").alias("ordinal"), get("role"), get("timestamp"), get("turn_id"), F.to_json("v").alias("message_json"))
+    small = m.select("session_id", F.col("pos").cast("long").alias("ordinal"), get("role"), get("timestamp"), get("turn_id"), F.to_json("v").alias("message_json"))
+    ship(sessions.sparkSession)
+
+    def rows(text: str):
+        from skein.store import elements, said
+
+        return [(i, said(v, "role"), said(v, "timestamp"), said(v, "turn_id"), json.dumps(v, ensure_ascii=False, separators=(",", ":"), sort_keys=True)) for i, v in enumerate(elements(text, "messages"))]
+
+    return small.unionByName(one_by_one(s.where(large("_text")), "_text", rows, TABLES["messages"].split(", ", 1)[1]))
+
+
+def elements(text: str, key: str) -> list:
+    """The list under a key of a JSON object; anything else has none."""
+    try:
+        v = json.loads(text)
+    except (ValueError, RecursionError):
+        return []
+    v = v.get(key) if isinstance(v, dict) else None
+    return v if isinstance(v, list) else []
+
+
+def said(v, key: str) -> str | None:
+    """A scalar under a key as text."""
+    x = v.get(key) if isinstance(v, dict) else None
+    return x if isinstance(x, str) or x is None else json.dumps(x)
 
 
 def explode_parts(messages: DataFrame) -> DataFrame:
     """Parts of message_json, in order from 0, with the text that search sees."""
-    p = messages.select("session_id", F.col("ordinal").alias("message_ordinal"), F.posexplode(F.expr("try_variant_get(try_parse_json(message_json), '$.parts', 'array<variant>')")).alias("pos", "v"))
-    kind = F.coalesce(F.expr("try_variant_get(v, '$.kind', 'string')"), F.lit("extra"))
-    return p.select("session_id", "message_ordinal", F.col("pos").cast("long").alias("part_ordinal"), kind.alias("kind"), S.part_text(kind, F.expr("try_variant_get(v, '$.text', 'string')")).alias("text"))
+    m = messages.select("session_id", F.col("ordinal").alias("message_ordinal"), F.col("message_json").alias("_text"))
+    p = m.where(~large("_text")).select("session_id", "message_ordinal", F.posexplode(F.expr("try_variant_get(try_parse_json(_text), '$.parts', 'array<variant>')")).alias("pos", "v"))
+    small = p.select("session_id", "message_ordinal", F.col("pos").cast("long").alias("part_ordinal"), F.expr("try_variant_get(v, '$.kind', 'string')").alias("kind"), F.expr("try_variant_get(v, '$.text', 'string')").alias("text"))
+    ship(messages.sparkSession)
+
+    def rows(text: str):
+        from skein.store import elements, said
+
+        return [(i, said(v, "kind"), said(v, "text")) for i, v in enumerate(elements(text, "parts"))]
+
+    every = small.unionByName(one_by_one(m.where(large("_text")), "_text", rows, "part_ordinal bigint, kind string, text string"))
+    kind = F.coalesce("kind", F.lit("extra"))
+    return every.select("session_id", "message_ordinal", "part_ordinal", kind.alias("kind"), S.part_text(kind, F.col("text")).alias("text"))
 
 
 class Store:

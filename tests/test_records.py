@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from skein.operators import drift as D
+from skein.operators import large as L
 from skein.operators.hierarchy import descendants, hierarchy, subtree_sizes
 from skein.operators.instants import CANONICAL, normalise
+from skein.store import explode_messages, explode_parts
 from skein.operators.nested import REGISTRIES, SINGLES, TABLES, flat_table, listed_fields, listed_objects
 
 # ---- p2 -------------------------------------------------------------------------------------------
@@ -293,3 +295,40 @@ def test_profiles_are_the_same_in_one_part_and_in_many(spark):
     table = lambda d: {r.path: (list(r.n), r.slots, r.counts) for r in D.profile_files(d).collect()}
     one, many = table(df.coalesce(1)), table(df.repartition(6))
     assert one == many and one[""][0][4] == 400 and one["a"][0] == [266.0, 0, 0, 0, 266.0] and set(one) == {"", "a", "b.c", "z"}
+
+
+# ---- large texts ----------------------------------------------------------------------------------
+
+
+@settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+@given(st.recursive(st.none() | st.booleans() | st.integers(-9, 9) | st.text("ab\"\\\n{", max_size=3), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.sampled_from(["turns", "peers", "parts", "cost", "per_model", "a"]), x, max_size=3), max_leaves=14), st.sampled_from(["", " ", "x", ",", "{}"]))
+def test_walking_tokens_equals_brute_force(v, tail):
+    text = json.dumps(v, ensure_ascii=False) + tail
+    try:
+        got = sorted((p, q) for p, q, _ in L.walk(text, REGISTRIES, SINGLES)[0])
+    except L.Malformed:
+        got = None
+    strict = D.strict_object(text)
+    assert got == (None if strict is None else sorted(walk(text)))
+
+
+def test_large_texts_keep_their_rows_and_fields(spark, monkeypatch):
+    texts = ['{"parts":[{"kind":"text","x":[{"y":1},null,{"z":{"w":[{}]}}]},{"kind":"tool"}],"turns":{"t":{"id":1.50},"t":{"id":2,"e":[]}},"peers":{"p":true},"e":{}}', '{"a":1} x', '{"cost":{"per_model":{"m":{"cost_usd":3}}}}', "[]", '{"parts":[1,{"a":']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    objects = lambda: sorted(tuple(r) for r in listed_objects(df, "t", ["k"]).selectExpr("k", "path", "parent_path", "to_json(v)").collect())
+    fields = lambda: sorted(tuple(map(str, r)) for r in listed_fields(df, "t", ["k"]).collect())
+    want = objects(), fields()
+    monkeypatch.setattr("skein.operators.nested.LARGE", 5)
+    monkeypatch.setattr("skein.operators.nested.large", lambda c: F.length(c) > 5)
+    assert (objects(), fields()) == want and len(want[0]) == 8
+
+
+def test_a_string_of_33_million_characters_loses_nothing(spark):
+    rows = [(i, '{"parts":[{"kind":"text","text":"' + "y" * n + '"},{"kind":"tool","edits":[{"old":"a"}]}]}') for i, n in enumerate((33_000_000, 10))]
+    df = spark.createDataFrame(rows, "k int, t string")
+    got = listed_objects(df, "t", ["k"]).select("k", "path")
+    assert sorted(map(tuple, got.collect())) == [(k, p) for k in (0, 1) for p in ("parts[0]", "parts[1]", "parts[1].edits[0]")]
+    f = {(r.k, r.path, r.field): r.n for r in listed_fields(df, "t", ["k"]).selectExpr("k", "path", "field", "length(value) as n").collect()}
+    assert f[0, "parts[0]", "text"] == 33_000_000 and f[0, "parts[1].edits[0]", "old"] == 1
+    parts = explode_parts(explode_messages(spark.createDataFrame([("s", '{"messages":[' + rows[0][1] + "," + rows[1][1] + "]}")], "id string, session_json string")))
+    assert sorted((r.message_ordinal, r.part_ordinal, r.kind, r.n) for r in parts.selectExpr("*", "length(text) as n").collect()) == [(0, 0, "text", 33_000_000), (0, 1, "tool", None), (1, 0, "text", 10), (1, 1, "tool", None)]
