@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.runtime import ship, spread
+from skein.runtime import Workspace, ship, spread
 
 LABELS = ["O", "email", "phone", "id_number", "B-address", "I-address", "B-name", "I-name"]
 #: Last labels of domains that people have their mail under; others are one feature.
@@ -58,11 +58,13 @@ _SAID_DOT = r"(?:[ ]?[\[({<][ ]?(?:dot|DOT|punkt|point|punto)[ ]?[\])}>][ ]?|[ ]
 _X = r"(?:\s*(?:x|[Ee]xt\.?|poste|Durchwahl|extension)\s?\d{1,5}\b)?"
 _S = r"[\s.\-–‑/]"
 _AT = re.compile(rf"(?P<plain>{_PLAIN_AT}){_LABEL}(?:{_DOT}{_LABEL})+|(?P<said>{_SAID_AT})(?=[A-Za-z]){_LABEL}(?:{_SAID_DOT}{_LABEL}|\.{_LABEL})+")
+_HINT = re.compile(r"[@＠]|\b(?:at|AT|At|arroba)\b|_(?:at|AT)_|&|%40|\\u0040")
 _LOCAL = re.compile(rf"[\w.+\-{_Z}]")
 _TOKEN = re.compile(
     "|".join(
         f"(?P<{name}>{pattern})"
         for name, pattern in [
+            ("PLAIN", r"(?<![\w.$/:\\-])[a-z]{3,}+(?=\s|[,;.!?](?:\s|$)|$)"),  # most words: nothing else begins so
             ("CODE", r"(?<![A-Za-z])[A-Za-z]++://\S+|\b(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{7,}\b|`[^`\n]*+`|\b[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\b|\d{1,2}:\d\d(?::\d\d(?:\.\d+)?)?|\d{1,3}(?:\.\d{1,3}){3}\b|\d{4}-\d\d-\d\d\S*|(?<![\w.$\-])(?=[\w.$-]*+(?:::|\\))[\w.$-]+(?:::|\\)[\w.:$\\-]*[\w/.]*|(?<![\w.$\-])[\w.$-]*?[A-Za-z0-9]_[\w.:$-]*[\w/.]*|(?<![\w/.\-])\w++(?:/[\w.\-]++)+(?<=[A-Za-z])(?=\W|$)"),
             ("INT", rf"(?<![\w+])\+\d{{1,3}}(?:{_S}?\(?\d{{1,5}}\)?){{1,6}}{_X}(?!\w)|(?<![\w.])(?=(?:{_S}?\d){{10}})(?!\d{{11}}(?!\w))00[1-9]\d{{0,2}}(?:{_S}?\d{{2,4}}){{2,6}}{_X}(?!\w)"),
             ("NANP", rf"(?<![\w+.])\(\d{{3}}\){_S}?\d{{3}}{_S}\d{{4}}{_X}(?![\w-])|(?<![\w+.\-])\d{{3}}{_S}\d{{3}}{_S}\d{{4}}{_X}(?![\w-])"),
@@ -90,6 +92,8 @@ def bare(w: str) -> str:
 def mails(text: str) -> list[tuple[int, int]]:
     """Spans that read as addresses of mail: found from the sign between, whatever the length of what stands before it."""
     out, end = [], 0
+    if not _HINT.search(text):
+        return out
     for m in _AT.finditer(text):
         a = m.start()
         while a > end and _LOCAL.match(text[a - 1]) and text[a - 4 : a].lower() != "_at_":
@@ -113,7 +117,7 @@ def lex(text: str) -> list[tuple[int, int, str, str]]:
                 end = spans[k][1]
             k += 1
         if s >= end:
-            out.append((s, m.end(), m.lastgroup, m.group()))
+            out.append((s, m.end(), "WORD" if m.lastgroup == "PLAIN" else m.lastgroup, m.group()))
             end = m.end()
     return out
 
@@ -170,6 +174,17 @@ class Evidence:
 
     def __init__(self, mail: dict[str, int] | None = None, case: dict[str, int] | None = None):
         self.mail, self.case = mail or {}, case or {}
+        self.held: dict[str, tuple[int, int]] = {}
+
+    def of(self, word: str) -> tuple[int, int]:
+        """Levels of a word: by mail addresses, by case."""
+        got = self.held.get(word)
+        if got is None:
+            b = bare(word)
+            got = max(self.mail.get(x, 0) for x in b.split("-")), self.case.get(b, 0)
+            if len(self.held) < 300_000:
+                self.held[word] = got
+        return got
 
 
 def evidence(df: DataFrame, text: str) -> Evidence:
@@ -177,8 +192,11 @@ def evidence(df: DataFrame, text: str) -> Evidence:
 
     Words count from a share of all words on, so there are at most 100,000 of either kind whatever the data.
     """
+    ws, made = Workspace(df.sparkSession), []
+
     def common(words: DataFrame, share: float, *sums) -> list:
-        counts = words.groupBy("w").agg(F.count("*").alias("n"), *sums)
+        counts, _ = ws.write(words.groupBy("w").agg(F.count("*").alias("n"), *sums), f"words{len(made)}")
+        made.append(counts)
         total = counts.agg(F.sum("n").alias("t"))  # one row
         return counts.join(F.broadcast(total)).where(F.col("n") >= F.col("t") * share).collect()  # at most 1 / share
 
@@ -252,8 +270,8 @@ def analyse(text: str, seen: Evidence, number) -> tuple[list, list[int], list[li
     toks = lex(text)
     n = len(toks)
     flags = [flag(k, w) for _, _, k, w in toks]
-    level = [max(seen.mail.get(x, 0) for x in bare(w).split("-")) if k == "WORD" else 0 for _, _, k, w in toks] if seen.mail else [0] * n
-    case = [seen.case.get(bare(w), 0) if k == "WORD" else 0 for _, _, k, w in toks] if seen.case else level[:]
+    both = [seen.of(w) if k == "WORD" else _NOTHING for _, _, k, w in toks]
+    level, case = [x for x, _ in both], [x for _, x in both]
     where = candidates(toks, flags, text, level)
     feats = []
     low = [t[3].lower() if t[2] != "EMAIL" else "@" for t in toks]
@@ -303,6 +321,7 @@ _ALLOWED = {"EMAIL": (0, 1), **dict.fromkeys(_NUMBERS, (0, 2, 3)), "WORD": (0, 4
 _PENALTY = {k: np.array([0.0 if y in v else -1e4 for y in range(_Y)]) for k, v in _ALLOWED.items()}
 
 
+_NOTHING = (0, 0)
 #: What stands before the first word of a sentence.
 _ENDS_BEFORE = ("edge", "SIGN")
 
@@ -464,6 +483,7 @@ class Writer:
 
     def told(self, word: str, often: float) -> str:
         """A word of a name, which mail addresses may spell."""
+        self.seen.held.clear()  # what is told changes
         if self.r.random() < 2 * often:
             self.seen.mail[bare(word)] = 2 if self.r.random() < 0.5 else 1
         if self.r.random() < 0.3 * often:
