@@ -65,6 +65,20 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.coalesce("session_id", F.concat(F.lit("doc-"), "doc_id")).alias("session_id"), F.col("doc_id").alias("message_ordinal"), F.lit(0).alias("part_ordinal"), "text", "lang")
 
 
+_indexes: dict = {}
+
+
+def index(spark: SparkSession, d: str, of) -> R.Index:
+    """The index of parts or corpus: built at the first search over a table and kept while its files stay the same."""
+    name = "parts" if of is parts else "documents"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, d, name, status.getModificationTime(), status.getLen())
+    if key not in _indexes:
+        _indexes[key] = R.Index.written(of(spark, d).drop("kind", "lang"), Workspace(spark))
+    return _indexes[key]
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     return corpus(spark, d).join(table(spark, d, "embeddings"), F.col("message_ordinal") == F.col("vec_id")).select(*R.KEYS, "embedding")
 
@@ -114,52 +128,52 @@ _ROUND = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})  # n
 
 @query(f"WITH {_P}, {_scored('checksum mismatch')} {_HITS}")
 def text_search_hits(spark, d):
-    return _ROUND(R.text_search(parts(spark, d), "checksum mismatch"), "score")
+    return _ROUND(R.text_search(index(spark, d, parts), "checksum mismatch"), "score")
 
 
 @query(f"WITH {_P}, {_scored('stack overflow parser')} SELECT session_id, matches, round(best, 6) AS best, position FROM r")
 def text_search_sessions(spark, d):
-    return _ROUND(R.ranked_sessions(R.part_scores(parts(spark, d), "stack overflow parser")).withColumn("position", F.col("position").cast("long")), "best")
+    return _ROUND(R.ranked_sessions(R.part_scores(index(spark, d, parts), "stack overflow parser")).withColumn("position", F.col("position").cast("long")), "best")
 
 
 @query(f"WITH {_S}, {_P}, {_scored('cursor', 'session_id IN (SELECT id FROM s WHERE agent = $$codex$$)')} {_HITS}")
 def text_search_filtered(spark, d):
-    return _ROUND(R.text_search(parts(spark, d), "cursor", S.SessionFilter(agents=("codex",)).apply(sessions(spark, d))), "score")
+    return _ROUND(R.text_search(index(spark, d, parts), "cursor", S.SessionFilter(agents=("codex",)).apply(sessions(spark, d))), "score")
 
 
 @query(f"WITH {_C}, {_scored('línea')} {_HITS}")
 def text_search_accents(spark, d):
-    return _ROUND(R.text_search(corpus(spark, d), "LÍNEA"), "score")
+    return _ROUND(R.text_search(index(spark, d, corpus), "LÍNEA"), "score")
 
 
 @query(f"WITH {_C}, {_scored('ändern')} {_HITS}")
 def text_search_umlaut(spark, d):
-    return _ROUND(R.text_search(corpus(spark, d), "Ändern!"), "score")
+    return _ROUND(R.text_search(index(spark, d, corpus), "Ändern!"), "score")
 
 
 @query(f"WITH {_P}, {_scored('zzqqxyv')} {_HITS}")
 def text_search_no_match(spark, d):
-    return _ROUND(R.text_search(parts(spark, d), "zzqqxyv"), "score")
+    return _ROUND(R.text_search(index(spark, d, parts), "zzqqxyv"), "score")
 
 
 @query("SELECT session_id, message_ordinal, part_ordinal, text, CAST(0 AS DOUBLE) AS score FROM parts WHERE false")
 def text_search_punctuation(spark, d):
-    return _ROUND(R.text_search(parts(spark, d), "!?, ..."), "score")
+    return _ROUND(R.text_search(index(spark, d, parts), "!?, ..."), "score")
 
 
 @query(f"WITH {_P}, {_scored('last_seen')} {_HITS}")
 def text_search_phrase(spark, d):
-    return _ROUND(R.text_search(parts(spark, d), "last_seen"), "score")
+    return _ROUND(R.text_search(index(spark, d, parts), "last_seen"), "score")
 
 
 @query(f"WITH {_P}, {_scored('quadratic')} {_HITS} ORDER BY position, message_ordinal, part_ordinal LIMIT 25")
 def text_search_limit(spark, d):
-    return _ROUND(R.text_search(parts(spark, d), "quadratic", limit=25), "score")
+    return _ROUND(R.text_search(index(spark, d, parts), "quadratic", limit=25), "score")
 
 
 @query(f"WITH {_C}, {_scored('renderer overflow')} SELECT session_id, message_ordinal, part_ordinal, round(rank, 6) AS rank FROM h")
 def bm25_part_scores(spark, d):
-    return _ROUND(R.part_scores(corpus(spark, d), "renderer overflow").drop("text"), "rank")
+    return _ROUND(R.part_scores(index(spark, d, corpus), "renderer overflow"), "rank")
 
 
 @query(f"WITH {_P} SELECT count(*) AS n, round(avg(len({_WORDS})), 6) AS mean_length, CAST(sum(len({_WORDS})) AS BIGINT) AS total FROM p WHERE text IS NOT NULL")
@@ -171,7 +185,7 @@ def corpus_stats(spark, d):
 y AS (SELECT session_id, message_ordinal, part_ordinal, w, unnest(range(1, len(w) + 1)) AS i FROM x)
 SELECT w[i] AS term, session_id, message_ordinal, part_ordinal, count(*) AS tf, array_to_string(list_sort(list(i - 1)), ',') AS positions FROM y GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4"))
 def postings_build(spark, d):
-    return R.postings(parts(spark, d)).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+    return R.postings(parts(spark, d)).drop("length").withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
 
 
 # ---- semantic and hybrid --------------------------------------------------------------------------
@@ -193,13 +207,13 @@ def semantic_search_sessions(spark, d):
 
 @query(f"WITH {_C}, {_V}, {_SEM} SELECT session_id, message_ordinal, part_ordinal, text, round(best, 6) AS score FROM f JOIN o USING (session_id) JOIN p USING (session_id, message_ordinal, part_ordinal) WHERE position <= 10")
 def semantic_search_hits(spark, d):
-    return _ROUND(R.semantic_search(vectors(spark, d), corpus(spark, d), query_vector(spark, d)), "score")
+    return _ROUND(R.semantic_search(vectors(spark, d), index(spark, d, corpus), query_vector(spark, d)), "score")
 
 
 @query(f"WITH {_C}, {_V}, {_SEM.replace('FROM n WHERE', 'FROM n WHERE starts_with(session_id, $$doc-$$) AND')} SELECT session_id, message_ordinal, part_ordinal, text, round(best, 6) AS score FROM f JOIN o USING (session_id) JOIN p USING (session_id, message_ordinal, part_ordinal) WHERE position <= 5")
 def semantic_search_filtered(spark, d):
     alone = corpus(spark, d).where(F.col("session_id").startswith("doc-")).select(F.col("session_id").alias("id"))
-    return _ROUND(R.semantic_search(vectors(spark, d), corpus(spark, d), query_vector(spark, d), 5, alone), "score")
+    return _ROUND(R.semantic_search(vectors(spark, d), index(spark, d, corpus), query_vector(spark, d), 5, alone), "score")
 
 
 @query(f"""WITH {_C}, {_V}, {_SEM}, {_scored('renderer')},
@@ -208,7 +222,7 @@ sc AS (SELECT coalesce(a.session_id, o.session_id) AS session_id, coalesce(ts, 0
 al AS (SELECT session_id, message_ordinal, part_ordinal, text FROM tx UNION SELECT session_id, message_ordinal, part_ordinal, text FROM f JOIN p USING (session_id, message_ordinal, part_ordinal))
 SELECT al.*, round(score, 6) AS score FROM al JOIN sc USING (session_id)""")
 def hybrid_search(spark, d):
-    return _ROUND(R.hybrid_search(corpus(spark, d), vectors(spark, d), "renderer", query_vector(spark, d)), "score")
+    return _ROUND(R.hybrid_search(index(spark, d, corpus), vectors(spark, d), "renderer", query_vector(spark, d)), "score")
 
 
 # ---- listings and filters -------------------------------------------------------------------------

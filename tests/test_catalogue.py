@@ -40,23 +40,32 @@ def test_text_ranks_equal_fts5(spark):
     db.executemany("INSERT INTO f(rowid, t) VALUES (?, ?)", [(i + 1, t) for i, t in enumerate(texts) if t is not None])
     for q, match in (("login", '"login"'), ("login failed", '"login" "failed"'), ("foo_bar", '"foo bar"'), ("GROSSE", '"GROSSE"'), ("grosse", '"grosse"')):
         want = {i - 1: round(r, 9) for i, r in db.execute("SELECT rowid, rank FROM f WHERE f MATCH ?", (match,))}
-        got = {r.message_ordinal: round(r["rank"], 9) for r in R.part_scores(parts(spark, rows), q).collect()}
+        got = {r.message_ordinal: round(r["rank"], 9) for r in R.part_scores(R.Index.of(parts(spark, rows)), q).collect()}
         assert got == want, q
 
 
 def test_text_search_order_score_and_empty(spark):
     p = parts(spark, [("r2", 0, 0, "login"), ("r1", 0, 0, "login"), ("r1", 1, 0, "login"), ("r1", 1, 1, None)])
-    got = [(r.session_id, r.message_ordinal, round(r.score, 9)) for r in R.text_search(p, "Login!").collect()]
+    got = [(r.session_id, r.message_ordinal, round(r.score, 9)) for r in R.text_search(R.Index.of(p), "Login!").collect()]
     assert got == [("r1", 0, round(1 / 61, 9)), ("r1", 1, round(1 / 61, 9)), ("r2", 0, round(1 / 62, 9))]
-    assert R.text_search(p, "?!").count() == 0 and R.text_search(p.limit(0), "login").count() == 0
+    assert R.text_search(R.Index.of(p), "?!").count() == 0 and R.text_search(R.Index.of(p.limit(0)), "login").count() == 0
+    assert [r.session_id for r in R.text_search(R.Index.of(p), "login", limit=2).collect()] == ["r1", "r1"]
+
+
+def test_a_search_reads_the_postings_of_its_words_only(spark, small):
+    hits = E.queries()["text_search_phrase"](spark, small)
+    plan = hits._jdf.queryExecution().toString()
+    assert "EqualTo(term,last)" in plan and "EqualTo(term,seen)" in plan and "regexp_extract_all" not in plan
 
 
 def test_hybrid_fusion(spark):
     p = parts(spark, [("b", 0, 0, "login login"), ("b", 1, 0, "login"), ("a", 0, 0, "login"), ("c", 0, 0, "other")])
     v = spark.createDataFrame([("a", 0, 0, [0.9, 0.43588989]), ("c", 0, 0, [0.5, 0.8660254]), ("b", 0, 0, [-1.0, 0.0]), ("b", 1, 0, [0.0, 0.0])], "session_id string, message_ordinal long, part_ordinal long, embedding array<float>")
-    got = [(r.session_id, round(r.score, 5)) for r in R.hybrid_search(p, v, "login", [1.0, 0.0]).collect()]
+    got = [(r.session_id, round(r.score, 5)) for r in R.hybrid_search(R.Index.of(p), v, "login", [1.0, 0.0]).collect()]
     assert got == [("a", round(1 / 62 + 0.9, 5)), ("c", 0.5), ("b", round(1 / 61, 5)), ("b", round(1 / 61, 5))]
-    assert R.hybrid_search(p, v, "login", None).count() == 3 and R.semantic_search(v, p, None).count() == 0
+    assert R.hybrid_search(R.Index.of(p), v, "login", None).count() == 3 and R.semantic_search(v, R.Index.of(p), None).count() == 0
+    only = spark.createDataFrame([("c",)], "id string")
+    assert [r.session_id for r in R.semantic_search(v, R.Index.of(p), [1.0, 0.0], 5, only, prefilter=True).collect()] == ["c"]
 
 
 def test_classification_of_reports(spark):
