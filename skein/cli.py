@@ -19,7 +19,7 @@ from skein.runtime import local_session
 from skein.sources import base
 from skein.sources.adapters import SOURCES, create
 from skein.store import Store
-from skein.streaming.scan import Clock, reported, scan
+from skein.streaming.scan import Clock, found, reported, scan
 
 OK, NOT_FOUND, USAGE, FAILED, STOPPED = 0, 1, 2, 3, 130
 LISTED = ["id", "agent", "project_id", "started_at", "last_activity_at", "message_count"]
@@ -53,7 +53,8 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--db", required=True)
     x.add_argument("--full", action="store_true")
     x.add_argument("--dry-run", action="store_true")
-    x.add_argument("--embedder", help="also store vectors of this model")
+    x.add_argument("--embedder", help="also store vectors of this model; by default that of the store")
+    x.add_argument("--no-embed", action="store_true", help="store no vectors")
     x = v.add_parser("scan")
     x.add_argument("--store", required=True)
     x.add_argument("--since")
@@ -134,18 +135,23 @@ def run(args, spark, out=sys.stdout) -> int:
         print(json.dumps(s if args.message is None else s["messages"][args.message - 1], ensure_ascii=False, indent=2), file=out)
     elif args.verb == "snapshot":
         path = Path(args.database)
-        before = base.digest([path])
+        if not path.is_file():  # a source in place of a file
+            a = create(args.database, roots(argparse.Namespace(**{**vars(args), "source": args.source or [args.database]}))[args.database.replace("-", "_")])
+            name = getattr(a, "store", None) or getattr(a, "index", None)
+            if name is None:
+                raise Usage(f"{args.database} has no database")
+            path = a.root / name
+        files = base.beside(path)
+        before = base.digest(files)
         copy = base.snapshot_file(path, Path(args.out))
         db = base.snapshot(copy)
         table = next((t for t in ("events", "cursorDiskKV") if t in base.tables(db)), None)
         n = db.execute(f"SELECT count(*) FROM {table}").fetchone()[0] if table else None
-        show_rows([{"snapshot": str(copy), "rows": n, "unchanged": base.digest([path]) == before}], args, out)
+        show_rows([{"snapshot": str(copy), "rows": n, "unchanged": base.digest(files) == before}], args, out)
     elif args.verb == "import":
-        store, model = Store(spark, args.db), embedder(args.embedder) if args.embedder else None
-        report = store.ingest(reported(spark, roots(args)), force=args.full, dry_run=args.dry_run, model_id=args.embedder)
-        if model and not args.dry_run:
-            store.embed(model)
-        emit(report, args, out)
+        store = Store(spark, args.db)
+        name = None if args.no_embed else args.embedder or store.manifest()["embedding_model"]
+        emit(store.sync(found(spark, roots(args)), force=args.full, dry_run=args.dry_run, embedder=embedder(name) if name else None), args, out)
     elif args.verb == "scan":
         clock = Clock()
         for sig in (signal.SIGINT, signal.SIGTERM):
@@ -163,14 +169,14 @@ def run(args, spark, out=sys.stdout) -> int:
         store = Store(spark, args.db)
         flt = S.SessionFilter(agents=tuple(create(n, ".").agent for n in roots(args)) if args.source else (), project=args.project)
         chosen = flt.apply(store.read("sessions")) if args.source or args.project else None
-        parts, model = store.read("parts"), store.manifest()["embedding_model"]
+        index, model = store.index(), store.manifest()["embedding_model"]
         vector = embedder(model).embed([args.query])[0] if model and args.mode != "text" else None
         if args.mode == "text":
-            hits = R.text_search(parts, args.query, chosen)
+            hits = R.text_search(index, args.query, chosen)
         elif args.mode == "semantic":
-            hits = R.semantic_search(store.read("vectors"), parts, vector, args.limit, chosen)
+            hits = R.semantic_search(store.read("vectors"), index, vector, args.limit, chosen)
         else:
-            hits = R.hybrid_search(parts, store.read("vectors"), args.query, vector, chosen)
+            hits = R.hybrid_search(index, store.read("vectors"), args.query, vector, chosen)
         emit(hits.limit(args.limit), args, out)
     elif args.verb == "stats":
         emit(S.buckets(Store(spark, args.db).read("sessions"), args.by), args, out)

@@ -593,26 +593,68 @@ _COUNTS = ["discovered", *S.OUTCOMES, "added_messages", "net_messages", "pruned"
 
 
 def _reports(spark, d):
-    return sessions(spark, d).select("id", "agent", "project_id", "started_at", "last_activity_at", "message_count", "content_hash", "session_json", F.lit(True).alias("openable"), *[F.lit(0).alias(c) for c in S.REPORTED])
+    """Sessions as sources report them: whole, with those of their messages that are JSON objects."""
+    sound = F.expr("try_variant_get(try_parse_json('[' || message_json || ']'), '$[0]', 'map<string,variant>') is not null")
+    m = messages(spark, d).where(sound).groupBy(F.col("session_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("ordinal", "message_json"))).alias("l"))
+    whole = F.concat(F.lit('{"messages":['), F.coalesce(F.array_join(F.col("l.message_json"), ","), F.lit("")), F.lit("]}"))
+    s = sessions(spark, d).select("id", "agent", "project_id", "started_at", "last_activity_at", "message_count", "content_hash")
+    return s.join(m, "id", "left").select(*s.columns, whole.alias("session_json"), F.lit(True).alias("openable"), *[F.lit(0).alias(c) for c in S.REPORTED])
 
 
-@query(f"""WITH {_S} SELECT agent, count(*) AS discovered, count(*) AS new, 0 AS updated, 0 AS unchanged, 0 AS skipped, 0 AS error, CAST(sum(message_count) AS BIGINT) AS added_messages, 0 AS net_messages, 0 AS pruned FROM s GROUP BY 1""")
+_REPORT = "CAST(sum(message_count) AS BIGINT)"
+# messages and parts as the store makes them of whole sessions
+_STORED = f"""{_S}, {_M}, sm AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ordinal, message_json) - 1 AS ordinal, message_json AS js FROM m
+  WHERE json_valid(message_json) AND json_type(message_json) = 'OBJECT' AND session_id IN (SELECT id FROM s)),
+sq AS (SELECT session_id, ordinal AS message_ordinal, json_extract(js, '$.parts[*]') AS qs FROM sm WHERE json_type(js, '$.parts') = 'ARRAY'),
+su AS (SELECT session_id, message_ordinal, unnest(range(0, len(qs))) AS part_ordinal, unnest(qs) AS q FROM sq),
+p AS (SELECT session_id, message_ordinal, part_ordinal, coalesce(q->>'$.kind', 'extra') AS kind, CASE WHEN q->>'$.kind' IN ('text', 'thinking', 'tool_result', 'system') THEN q->>'$.text' END AS text FROM su)"""
+
+
+_stores: dict = {}
+
+
+def _store(spark, d) -> Store:
+    """A store with one pass over all sessions, kept while the session lives."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stores:
+        store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+        _stores[key] = store, store.ingest(_reports(spark, d)).select("agent", *_COUNTS)
+    return _stores[key][0]
+
+
+@query(f"""WITH {_S} SELECT agent, count(*) AS discovered, count(*) AS new, 0 AS updated, 0 AS unchanged, 0 AS skipped, 0 AS error, {_REPORT} AS added_messages, 0 AS net_messages, 0 AS pruned FROM s GROUP BY 1""")
 def store_first_pass(spark, d):
-    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}").ingest(_reports(spark, d)).select("agent", *_COUNTS)
+    return (_store(spark, d), _stores[spark.sparkContext.applicationId, d][1])[1]
 
 
 @query(f"""WITH {_S} SELECT agent, count(*) AS discovered, 0 AS new, 0 AS updated, count(*) AS unchanged, 0 AS skipped, 0 AS error, 0 AS added_messages, 0 AS net_messages, 0 AS pruned FROM s GROUP BY 1""")
 def store_refresh_idempotent(spark, d):
-    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
-    store.ingest(_reports(spark, d))
-    return store.ingest(_reports(spark, d)).select("agent", *_COUNTS)
+    return _store(spark, d).ingest(_reports(spark, d)).select("agent", *_COUNTS)
 
 
 @query(f"WITH {_S} SELECT {_LIST} FROM s")
 def store_read_back(spark, d):
-    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
-    store.ingest(_reports(spark, d))
-    return store.read("sessions").select(*_SEL)
+    return _store(spark, d).read("sessions").select(*_SEL)
+
+
+@query(f"WITH {_STORED} SELECT session_id, ordinal, js->>'$.role' AS role, js->>'$.timestamp' AS timestamp, js->>'$.turn_id' AS turn_id FROM sm")
+def store_messages(spark, d):
+    return _store(spark, d).read("messages").drop("message_json")
+
+
+@query(f"WITH {_STORED} SELECT * FROM p")
+def store_parts(spark, d):
+    return _store(spark, d).read("parts")
+
+
+@query(f"WITH {_STORED}, x AS (SELECT {_WORDS} AS w FROM p WHERE text IS NOT NULL) SELECT t AS term, count(*) AS occurrences FROM (SELECT unnest(w) AS t FROM x) GROUP BY 1")
+def store_postings(spark, d):
+    return _store(spark, d).read("postings").groupBy("term").agg(F.sum("tf").alias("occurrences"))
+
+
+@query(f"WITH {_STORED}, {_scored('checksum mismatch')} {_HITS}")
+def store_search_hits(spark, d):
+    return _ROUND(R.text_search(_store(spark, d).index(), "checksum mismatch"), "score")
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS events, round(sum(value), 6) AS value FROM events GROUP BY 1, 2")

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 from pathlib import Path
 
-from skein.sources.base import Found, Opened, Skips, UnknownSource, as_object, clean, count, decoded, lines, message, rows, session, snapshot, string, tables
+from skein.sources.base import Found, Opened, Skips, UnknownSource, as_object, clean, content_hash, count, decoded, lines, message, rows, session, snapshot, stamp, string, tables
 
 
 def _stamp(ms) -> str:
@@ -44,11 +44,25 @@ class Adapter:
         return Opened(s, skips) if s is not None else None
 
     def doctor(self) -> dict:
-        """Sessions, issues and a status that never stops anything."""
+        """Sessions, how many can be opened, records kept and left out, issues, and a status that never stops anything."""
         issues = [] if self.root.exists() else [f"missing: {self.root}"]
-        found = list(self.discover())
-        issues += [f"cannot be opened: {f.id}" for f in found if self.open(f) is None]
-        return {"sessions": len(found), "issues": issues, "status": "warn" if issues else "ok"}
+        total, seen, opened, messages = Skips(), 0, 0, 0
+        for f in self.discover():
+            seen += 1
+            got = self.open(f)
+            if got is None:
+                issues.append(f"cannot be opened: {f.id}")
+                continue
+            opened, messages = opened + 1, messages + len(got.session["messages"])
+            for k, v in vars(got.skips).items():
+                setattr(total, k, getattr(total, k) + v)
+        issues += self.issues()
+        issues += [f"{v} records {k}" for k, v in vars(total).items() if v and k in ("malformed", "partial")]
+        return {"sessions": seen, "opened": opened, "messages": messages, **vars(total), "issues": issues, "status": "warn" if issues else "ok"}
+
+    def issues(self) -> list[str]:
+        """What discovery passes over."""
+        return []
 
 
 class JsonLines(Adapter):
@@ -59,7 +73,7 @@ class JsonLines(Adapter):
 
     def discover(self):
         for p in sorted(self.root.glob("*.jsonl")):
-            yield Found(p.stem, self.agent, "", where=str(p))
+            yield Found(p.stem, self.agent, "", where=str(p), stamp=stamp(p))
 
     def records(self, found, skips):
         out = []
@@ -76,9 +90,13 @@ class ClaudeStyle(Adapter):
 
     agent = "claude_code"
 
+    def issues(self):
+        other = [p for p in self.root.glob("projects/*/**/*") if p.is_file() and (p.suffix != ".jsonl" or p.parent.parent.parent != self.root)]
+        return [f"passed over: {p.relative_to(self.root)}" for p in sorted(other)]
+
     def discover(self):
         for p in sorted(self.root.glob("projects/*/*.jsonl")):
-            yield Found(p.stem, self.agent, p.parent.name, where=str(p))
+            yield Found(p.stem, self.agent, p.parent.name, where=str(p), stamp=stamp(p))
 
     def records(self, found, skips):
         out, more, meta = [], {}, {}
@@ -158,7 +176,11 @@ class CodexStyle(Adapter):
             path = path if path.is_absolute() else self.root / path
             if path.is_file():
                 ms = lambda a, b: t[a] if t[a] is not None else (t[b] or 0) * 1000  # noqa: B023, E731
-                yield Found(t["id"], self.agent, t["cwd"] or "", _stamp(ms("created_at_ms", "created_at")), _stamp(ms("updated_at_ms", "updated_at")), where=json.dumps({"file": str(path), "thread": t}))
+                yield Found(t["id"], self.agent, t["cwd"] or "", _stamp(ms("created_at_ms", "created_at")), _stamp(ms("updated_at_ms", "updated_at")), where=json.dumps({"file": str(path), "thread": t}), stamp=f"{stamp(path)}/{content_hash(t)[:16]}")
+
+    def issues(self):
+        gone = [t for t in self._threads() if not (Path(t["rollout_path"] or "") if Path(t["rollout_path"] or "").is_absolute() else self.root / (t["rollout_path"] or "")).is_file()]
+        return [f"rollout missing: {t['id']}" for t in gone]
 
     def records(self, found, skips):
         at = json.loads(found.where)
@@ -221,15 +243,20 @@ class CursorStyle(Adapter):
         v = r[0] if r else None
         return decoded(v.decode("utf-8", "replace") if isinstance(v, bytes) else v)
 
-    def _db(self):
-        db = snapshot(self.root / self.store) if (self.root / self.store).is_file() else None
-        return db if db is not None and "cursorDiskKV" in tables(db) else None
+    _held = None
+
+    def _db(self, again: bool = False):
+        """The database as it was when first asked for: one snapshot for all sessions an adapter opens."""
+        if self._held is None or again:
+            db = snapshot(self.root / self.store) if (self.root / self.store).is_file() else None
+            self._held = (db if db is not None and "cursorDiskKV" in tables(db) else None,)
+        return self._held[0]
 
     def discover(self):
-        db = self._db()
+        db = self._db(again=True)
         headers = self._get(db, "composerHeaders") if db else None
         for h in sorted((h for h in headers or [] if isinstance(h, dict) and string(h.get("composerId"))), key=lambda h: h["composerId"]):
-            yield Found(h["composerId"], self.agent, string(h.get("name")) or "", where=str(h.get("lastUpdatedAt", "")))
+            yield Found(h["composerId"], self.agent, string(h.get("name")) or "", where=str(h.get("lastUpdatedAt", "")), stamp=str(h.get("lastUpdatedAt", "")))
 
     def records(self, found, skips):
         db = self._db()
@@ -272,7 +299,7 @@ class CursorTranscripts(Adapter):
 
     def discover(self):
         for p in sorted(self.root.glob("*/agent-transcripts/*.jsonl")):
-            yield Found(p.stem, self.agent, p.parent.parent.name, where=str(p))
+            yield Found(p.stem, self.agent, p.parent.parent.name, where=str(p), stamp=stamp(p))
 
     def records(self, found, skips):
         out = []
@@ -300,7 +327,7 @@ class EntryLogs(Adapter):
         for p in sorted((self.root / self.folder).glob("*.json")):
             if p.name not in ("roster.json", "cloud-agents.json"):
                 owner = roster.get(p.stem) if isinstance(roster, dict) else None
-                yield Found(p.stem, self.agent, string(owner) or "", where=str(p))
+                yield Found(p.stem, self.agent, string(owner) or "", where=str(p), stamp=f"{stamp(p)}/{string(owner) or ''}")
         for s in self._json("cloud-agents.json") or []:
             if isinstance(s, dict) and string(s.get("agentId")):
                 yield Found(s["agentId"], self.agent, openable=False)
@@ -336,7 +363,7 @@ class StepLogs(Adapter):
             return
         db = snapshot(self.root / self.index)
         for r in sorted(rows(db, "conversations", ["id", "name", "updated_at"]) if "conversations" in tables(db) else [], key=lambda r: str(r["id"])):
-            yield Found(r["id"], self.agent, "", "", r["updated_at"] or "", where=str(self.root / "brain" / r["id"]))
+            yield Found(r["id"], self.agent, "", "", r["updated_at"] or "", where=str(self.root / "brain" / r["id"]), stamp=stamp(self.root / "brain" / r["id"] / ".system_generated" / "logs" / "transcript.jsonl", self.root / "brain" / r["id"] / "payload.db"))
 
     def records(self, found, skips):
         base = Path(found.where)
@@ -373,6 +400,24 @@ class StepLogs(Adapter):
         return session(found, out)
 
 
+class Fixture(Adapter):
+    """Sessions held in memory, for tests: counts what is opened, and some ids cannot be."""
+
+    agent = "fixture"
+
+    def __init__(self, root: str = "", sessions: dict[str, dict] | None = None, blocked: tuple[str, ...] = ()):
+        super().__init__(root or ".")
+        self.sessions, self.blocked, self.opened = sessions or {}, set(blocked), 0
+
+    def discover(self):
+        for k, s in self.sessions.items():
+            yield Found(k, self.agent, s.get("project_id", ""), s.get("started_at", ""), s.get("last_activity_at", ""), len(s.get("messages", [])), openable=k not in self.blocked)
+
+    def records(self, found, skips):
+        self.opened += 1
+        return session(found, self.sessions[found.id].get("messages", []))
+
+
 SOURCES: dict[str, type[Adapter]] = {"claude_code": ClaudeStyle, "codex": CodexStyle, "cursor": CursorStyle, "cursor_transcripts": CursorTranscripts, "grok_bot": EntryLogs, "antigravity": StepLogs, "jsonl": JsonLines}
 
 

@@ -36,6 +36,8 @@ class Found:
     message_count: int = 0
     where: str = ""
     openable: bool = True
+    #: Changes whenever the content may have changed; '' where that cannot be told without opening.
+    stamp: str = ""
 
 
 @dataclass
@@ -110,9 +112,29 @@ def content_hash(s: dict) -> str:
     return hashlib.sha256(json.dumps(s, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def stamp(*paths: Path) -> str:
+    """Sizes and times of change of files; a missing one counts."""
+    out = []
+    for p in paths:
+        try:
+            s = p.stat()
+            out.append(f"{s.st_size}.{s.st_mtime_ns}")
+        except OSError:
+            out.append("-")
+    return "/".join(out)
+
+
 def snapshot(path: Path) -> sqlite3.Connection:
-    """A copy in memory of a database that others may be writing to; the source is only read."""
-    source = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    """A database as it is now, though others may be writing to it; it is only read.
+
+    With a write-ahead log a read transaction is held, which sees one state and keeps no one from writing;
+    any other database is copied into memory.
+    """
+    source = sqlite3.connect(f"file:{path}?mode=ro", uri=True, isolation_level=None)
+    if source.execute("PRAGMA journal_mode").fetchone()[0] == "wal":
+        source.execute("BEGIN")
+        source.execute("SELECT count(*) FROM sqlite_master").fetchone()
+        return source
     try:
         copy = sqlite3.connect(":memory:")
         source.backup(copy, pages=64, sleep=0.005)
@@ -126,14 +148,19 @@ def snapshot_file(path: Path, into: Path) -> Path:
     into.mkdir(parents=True, exist_ok=True)
     target = into / "snapshot.db"
     target.unlink(missing_ok=True)
-    copy, out = snapshot(path), sqlite3.connect(target)
+    source, out = sqlite3.connect(f"file:{path}?mode=ro", uri=True), sqlite3.connect(target)
     with out:
-        copy.backup(out)
+        source.backup(out, pages=64, sleep=0.005)
     out.close()
-    copy.close()
+    source.close()
     return target
 
 
+def beside(path: Path) -> list[Path]:
+    """A database and the files of its log that exist."""
+    return [p for p in (path, Path(f"{path}-wal"), Path(f"{path}-shm")) if p.exists()]
+
+
 def digest(paths: list[Path]) -> str:
     """One hash over names and contents; a missing file differs from an empty one."""
     h = hashlib.sha256()

@@ -1,7 +1,8 @@
 """A versioned store of sessions, messages and parts in Parquet.
 
-A pass writes version n+1 completely and then replaces CURRENT in one rename: readers keep the version
-they began with, a pass that fails leaves nothing behind that is read, a dry run writes nothing.
+Tables lie in buckets by a hash of the session. A pass writes the buckets it changes as version n+1 and then
+replaces CURRENT, which names the version of each bucket, in one rename: readers keep the version they began
+with, a pass that fails leaves nothing behind that is read, a dry run writes nothing.
 """
 
 from __future__ import annotations
@@ -13,16 +14,20 @@ from pyspark.sql import functions as F
 
 from skein.operators import sessions as S
 from skein.operators.large import large, one_by_one
-from skein.operators.search import postings
-from skein.runtime import ship
+from skein.operators.search import Index, lengths, postings
+from skein.runtime import Workspace, ship
+from skein.sources.datasource import open_found
 
-SCHEMA_VERSION = 2
+#: Version 1 had no postings and lengths, version 2 whole tables in place of buckets.
+SCHEMA_VERSION = 3
+BUCKETS = 64
 TABLES = {
-    "sessions": "id string, agent string, project_id string, started_at string, last_activity_at string, message_count bigint, content_hash string, session_json string",
+    "sessions": "id string, agent string, project_id string, started_at string, last_activity_at string, message_count bigint, content_hash string, session_json string, stamp string",
     "messages": "session_id string, ordinal bigint, role string, timestamp string, turn_id string, message_json string",
     "parts": "session_id string, message_ordinal bigint, part_ordinal bigint, kind string, text string",
     "vectors": "session_id string, message_ordinal bigint, part_ordinal bigint, embedding array<float>",
-    "postings": "term string, session_id string, message_ordinal bigint, part_ordinal bigint, tf bigint, positions array<int>",
+    "postings": "term string, session_id string, message_ordinal bigint, part_ordinal bigint, tf bigint, length int, positions array<int>",
+    "lengths": "session_id string, message_ordinal bigint, part_ordinal bigint, length int",
 }
 
 
@@ -79,13 +84,20 @@ def explode_parts(messages: DataFrame) -> DataFrame:
     return every.select("session_id", "message_ordinal", "part_ordinal", kind.alias("kind"), S.part_text(kind, F.col("text")).alias("text"))
 
 
+def bucket(key):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._jvm = spark._jvm
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        if self.manifest()["schema_version"] not in (1, SCHEMA_VERSION):
-            raise StoreError(f"schema version {self.manifest()['schema_version']} is not known")
+        version = self.manifest()["schema_version"]
+        if version not in range(1, SCHEMA_VERSION + 1):
+            raise StoreError(f"schema version {version} is not known")
+        if version < SCHEMA_VERSION:
+            self.migrate()
 
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -95,26 +107,52 @@ class Store:
             return {"version": 0, "schema_version": SCHEMA_VERSION, "embedding_model": None, "tables": {}}
         return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/CURRENT").collect()))  # one small file
 
-    def read(self, table: str) -> DataFrame:
-        """A table as it is now; what is read later from the result stays at this version. Tables never written are empty."""
-        v = self.manifest()["tables"].get(table)
-        if v is None:
+    def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table as it is now, or some buckets of it; what is read later from the result stays at this version. Tables never written are empty."""
+        at = self.manifest()["tables"].get(table) or {}
+        paths = [f"{self.path}/v={v}/{table}/bucket={b}" for b, v in sorted(at.items(), key=lambda x: int(x[0])) if buckets is None or int(b) in buckets]
+        if not paths:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/v={v}/{table}")
+        return self.spark.read.schema(TABLES[table]).parquet(*paths)
+
+    def index(self) -> Index:
+        return Index(self.read("postings"), self.read("lengths"), self.read("parts"))
+
+    def migrate(self) -> None:
+        """Brings an older store to this version: its sessions are read and all other tables made from them."""
+        now = self.manifest()
+        old = self.spark.read.schema(TABLES["sessions"]).parquet(f"{self.path}/v={now['tables']['sessions']}/sessions") if "sessions" in now["tables"] else self.spark.createDataFrame([], TABLES["sessions"])
+        held = self.spark.read.schema(TABLES["vectors"]).parquet(f"{self.path}/v={now['tables']['vectors']}/vectors") if "vectors" in now["tables"] else None
+        self.commit(self.derived(old) | ({"vectors": held} if held is not None else {}), list(range(BUCKETS)), tables={})
+
+    def derived(self, sessions: DataFrame) -> dict[str, DataFrame]:
+        """The tables made from sessions, and these."""
+        messages = explode_messages(sessions)
+        parts = explode_parts(messages)
+        return {"sessions": sessions, "messages": messages, "parts": parts, "postings": postings(parts), "lengths": lengths(parts)}
 
     def guard(self, model_id: str | None) -> None:
         held = self.manifest().get("embedding_model")
         if model_id and held and held != model_id:
             raise StoreError(f"the store has vectors of {held}, not of {model_id}")
 
-    def commit(self, tables: dict[str, DataFrame], **more) -> int:
-        """Writes the tables of a new version and makes it the current one; other tables stay as they are."""
+    def commit(self, written: dict[str, DataFrame], touched: list[int], **more) -> int:
+        """Writes what some buckets of tables hold from now on as a new version and makes it the current one; all else stays as it is.
+
+        A bucket may hold a session with a third of all rows: files of any size are balanced, not one a bucket.
+        """
         now = self.manifest()
-        v = now["version"] + 1
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/v={v}/{name}")
+        v, held = now["version"] + 1, {**now, **more}
+        at = {name: dict(x) for name, x in held["tables"].items()}
+        for name, df in written.items():
+            key = "id" if name == "sessions" else "session_id"
+            rows = df.withColumn("bucket", bucket(F.col(key))).hint("rebalance", "bucket").sortWithinPartitions("bucket", *(["term"] if name == "postings" else []))
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={v}/{name}")
+            folder = self._at(f"v={v}/{name}")
+            there = {int(f.getPath().getName().split("=")[1]) for f in self._fs.listStatus(folder) if "=" in f.getPath().getName()} if self._fs.exists(folder) else set()
+            at[name] = {b: w for b, w in at.get(name, {}).items() if int(b) not in touched} | {str(b): v for b in there}
         out = self._fs.create(self._at(f"CURRENT.{v}"), True)
-        out.write(bytearray(json.dumps({**now, **more, "version": v, "schema_version": SCHEMA_VERSION, "tables": {**now["tables"], **dict.fromkeys(tables, v)}}).encode()))
+        out.write(bytearray(json.dumps({**held, "version": v, "schema_version": SCHEMA_VERSION, "tables": at}).encode()))
         out.close()
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at("").toUri(), self.spark._jsc.hadoopConfiguration())
         options = self.spark._sc._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
@@ -122,33 +160,73 @@ class Store:
         context.rename(self._at(f"CURRENT.{v}"), self._at("CURRENT"), options)
         return v
 
-    def ingest(self, reported: DataFrame, since: str | None = None, refresh: bool = True, prune: bool | None = None, dry_run: bool = False, force: bool = False, model_id: str | None = None) -> DataFrame:
+    def sync(self, found: DataFrame, since: str | None = None, refresh: bool = True, prune: bool | None = None, dry_run: bool = False, force: bool = False, embedder=None) -> DataFrame:
+        """One pass over summaries (streaming.scan.found): only sessions that are new or may have changed are opened.
+
+        A session is opened when its stamp, activity or number of messages differs from what is stored, or
+        where its source gives no stamp. Returns the report by agent with the columns pruned and opened.
+        """
+        ws = Workspace(self.spark)
+        found, _ = ws.write(found, "found")
+        first = S.first_report(found, ["id"])
+        held = self.read("sessions").select("id", F.col("stamp").alias("_stamp"), F.lit(True).alias("_known"))
+        cut = (F.col("last_activity_at") != "") & (F.col("last_activity_at") < since) if since is not None else F.lit(False)
+        same = (F.col("stamp") != "") & F.col("stamp").eqNullSafe(F.col("_stamp"))
+        need = ~cut & (F.col("_known").isNull() | (F.lit(refresh) & (F.lit(force) | ~same)))
+        marked, _ = ws.write(first.join(held, "id", "left").withColumn("_open", need), "marked")
+        got = open_found(marked.where("_open and openable").repartition(max(2, self.spark.sparkContext.defaultParallelism), "id"))
+        content, seen = ws.write(got, "opened", n=F.count("*"))
+        columns = ["message_count", "content_hash", "session_json", "started_at", "last_activity_at", "project_id", "openable"]
+        content = content.select("id", *[F.col(c).alias(f"_{c}") for c in columns])
+        # what was not opened is as it is stored
+        stored = self.read("sessions").select("id", *[F.col(c).alias(f"s_{c}") for c in columns if c not in ("session_json", "openable")])
+        j = marked.join(content, "id", "left").join(stored, "id", "left")
+        pick = lambda c: F.when(F.col("_open") & F.col("openable"), F.coalesce(f"_{c}", c) if c in marked.columns else F.col(f"_{c}")).otherwise(F.coalesce(f"s_{c}", c) if c in marked.columns else F.col(f"s_{c}"))
+        able = F.when(F.col("_open"), F.coalesce("_openable", F.col("openable"))).otherwise(F.col("openable"))
+        skipped = F.when(cut, F.col("last_activity_at"))
+        reports = j.select(
+            "id", "agent", pick("project_id").alias("project_id"), pick("started_at").alias("started_at"), F.coalesce(skipped, pick("last_activity_at")).alias("last_activity_at"), pick("message_count").alias("message_count"),
+            pick("content_hash").alias("content_hash"), F.col("_session_json").alias("session_json"), "stamp", able.alias("openable"), "source_place", "place",
+        )
+        reports, _ = ws.write(reports, "reports")
+        # what was opened is compared by content, what was not has the stored one
+        out = self.ingest(reports, since, refresh, prune, dry_run, True, embedder.model_id if embedder else None, discovered=found)
+        if embedder and not dry_run:
+            self.embed(embedder)
+        return out.withColumn("opened", F.lit(seen["n"] or 0))
+
+    def ingest(self, reported: DataFrame, since: str | None = None, refresh: bool = True, prune: bool | None = None, dry_run: bool = False, force: bool = False, model_id: str | None = None, discovered: DataFrame | None = None) -> DataFrame:
         """One pass over the reported sessions; returns the report by agent, with a column pruned.
 
-        Whole sessions are replaced. Sessions cut off by since are still reported, so never pruned.
+        Whole sessions are replaced. Sessions cut off by since are still reported, so never pruned. A session
+        whose JSON is no object is an error and replaces nothing. discovered holds the reports to be counted,
+        where reported has each session once.
         """
         self.guard(model_id)
         spark, stored = self.spark, self.read("sessions")
         prune = refresh if prune is None else prune
-        done = S.classify(reported, stored, since, refresh, force)
-        gone = S.pruned(stored, reported) if prune else spark.createDataFrame([], "id string")
+        if "stamp" not in reported.columns:
+            reported = reported.withColumn("stamp", F.lit(None).cast("string"))
+        sound = F.col("session_json").isNull() | large("session_json") | F.expr("try_variant_get(try_parse_json(session_json), '$', 'map<string,variant>') is not null")
+        reported = reported.withColumn("openable", F.coalesce("openable", F.lit(True)) & F.coalesce(sound, F.lit(True)))
+        discovered = reported if discovered is None else discovered
+        done, _ = Workspace(spark).write(S.classify(reported, stored, since, refresh, force), "classified")
+        gone = S.pruned(stored, discovered) if prune else spark.createDataFrame([], "id string")
         lost = stored.join(gone, "id", "left_semi").groupBy("agent").agg(F.count("*").alias("pruned"))
-        agents = reported.select("agent").unionByName(stored.select("agent"))
-        report = S.report(done, reported, agents).join(lost, "agent", "left").na.fill(0)
+        agents = discovered.select("agent").unionByName(stored.select("agent"))
+        report = S.report(done, discovered, agents).join(lost, "agent", "left").na.fill(0)
         rows = [r.asDict() for r in report.collect()]  # a row an agent
         result = spark.createDataFrame(rows, report.schema)
+        fresh = S.first_report(reported, ["id"]).where("session_json is not null").join(done.where("outcome in ('new', 'updated')").select("id"), "id", "left_semi").select(*stored.columns)
         if dry_run or not any(r["new"] or r["updated"] or r["pruned"] for r in rows):
             return result
-        fresh = S.first_report(reported, ["id"], ["last_activity_at"]).join(done.where("outcome in ('new', 'updated')").select("id"), "id", "left_semi").select(*stored.columns)
-        out = fresh.select("id").unionByName(gone)
-        keep = lambda name, key: self.read(name).join(out.withColumnRenamed("id", key), key, "left_anti")
-        messages = explode_messages(fresh)
-        parts = explode_parts(messages)
-        vectors = {"vectors": keep("vectors", "session_id")} if "vectors" in self.manifest()["tables"] else {}
-        self.commit(vectors | {
-            "sessions": keep("sessions", "id").unionByName(fresh), "messages": keep("messages", "session_id").unionByName(messages),
-            "parts": keep("parts", "session_id").unionByName(parts), "postings": keep("postings", "session_id").unionByName(postings(parts)),
-        })
+        out, _ = Workspace(spark).write(fresh.select("id").unionByName(gone), "replaced")
+        touched = [r["b"] for r in out.select(bucket(F.col("id")).alias("b")).distinct().collect()]  # at most BUCKETS
+        keep = lambda name, key: self.read(name, touched).join(out.withColumnRenamed("id", key), key, "left_anti")
+        new = self.derived(fresh)
+        if "vectors" in self.manifest()["tables"]:
+            new["vectors"] = spark.createDataFrame([], TABLES["vectors"])
+        self.commit({name: keep(name, "id" if name == "sessions" else "session_id").unionByName(df) for name, df in new.items()}, touched)
         return result
 
     def embed(self, embedder) -> int:
@@ -163,4 +241,10 @@ class Store:
                 yield b[["session_id", "message_ordinal", "part_ordinal"]].assign(embedding=embedder.embed(list(b["text"])))
 
         new = todo.select("session_id", "message_ordinal", "part_ordinal", "text").mapInPandas(vectors, f"{keys}, embedding array<float>")
-        return self.commit({"vectors": self.read("vectors").unionByName(new)}, embedding_model=embedder.model_id)
+        new, _ = Workspace(self.spark).write(new, "vectors")
+        touched = [r["b"] for r in new.select(bucket(F.col("session_id")).alias("b")).distinct().collect()]  # at most BUCKETS
+        v = self.commit({"vectors": self.read("vectors", touched).unionByName(new)}, touched, embedding_model=embedder.model_id)
+        texts, held = (self.read(t) for t in ("parts", "vectors"))
+        if texts.where("text is not null").count() != held.count():
+            raise StoreError("vectors and texts differ in number")
+        return v

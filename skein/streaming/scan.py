@@ -8,6 +8,7 @@ from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.sources.datasource import register
 from skein.store import Store
@@ -39,9 +40,16 @@ class Clock:
 
 
 def reported(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
-    """All sessions of the sources (name to root), in one table."""
+    """All sessions of the sources (name to root), opened, in one table; source_place and place tell the order of the reports."""
     register(spark)
-    each = [spark.read.format("skein_sessions").option("source", n).option("root", r).load() for n, r in sources.items()]
+    each = [spark.read.format("skein_sessions").option("source", n).option("root", r).load().withColumn("source_place", F.lit(i)) for i, (n, r) in enumerate(sources.items())]
+    return reduce(DataFrame.unionByName, each)
+
+
+def found(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
+    """Summaries of all sessions of the sources, none of them opened; each knows its source and root."""
+    register(spark)
+    each = [spark.read.format("skein_sessions").option("source", n).option("root", r).option("open", "false").load().withColumns({"source_place": F.lit(i), "source": F.lit(n), "root": F.lit(r)}) for i, (n, r) in enumerate(sources.items())]
     return reduce(DataFrame.unionByName, each)
 
 
@@ -50,7 +58,7 @@ def scan(spark: SparkSession, store: Store, sources: dict[str, str], interval_s:
     ticker, n = ticker or Clock(), 0
     while True:
         try:
-            result = store.ingest(reported(spark, sources), since=since, prune=False, dry_run=dry_run)
+            result = store.sync(found(spark, sources), since=since, prune=False, dry_run=dry_run)
         except Exception as e:  # noqa: BLE001
             result = e
         n += 1

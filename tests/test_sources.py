@@ -10,10 +10,11 @@ import pytest
 from skein.cli import main, parser, run
 from skein.functions.embed import ByteEmbedder, ModelMissing, embedder
 from skein.sources import base
-from skein.sources.adapters import SOURCES, CursorStyle, create
+from skein.operators import search as R
+from skein.sources.adapters import SOURCES, CursorStyle, Fixture, create
 from skein.sources.datasource import TailReader
 from skein.store import Store, StoreError
-from skein.streaming.scan import reported, scan
+from skein.streaming.scan import follow, found, reported, scan
 
 
 def put(path: Path, records, end="\n"):
@@ -147,18 +148,100 @@ def test_scan_loop_counts_passes_and_survives_errors(spark, homes, tmp_path):
     assert scan(spark, store, {"nope": "x"}, once=True, on_pass=lambda k, r: bad.append(r)) == 1 and isinstance(bad[0], Exception)
 
 
+def tail(r, start, end):
+    return [x[1:] for p in r.partitions(start, end) for x in r.read(p)]
+
+
 def test_tail_follows_appends(tmp_path):
     p = tmp_path / "a.jsonl"
     p.write_text("one\ntw")
     r = TailReader({"root": str(tmp_path)})
-    rows, at = r.read({})
-    assert [x[2] for x in rows] == ["one"]
+    at = r.latestOffset()
+    assert tail(r, {}, at) == [(0, "one")]
     with p.open("a") as f:
         f.write("o\nthree\n")
-    rows, at2 = r.read(at)
-    assert [x[1:] for x in rows] == [(4, "two"), (8, "three")] and [x[2] for x in r.readBetweenOffsets(at, at2)] == ["two", "three"]
+    at2 = r.latestOffset()
+    assert tail(r, at, at2) == [(4, "two"), (8, "three")] and tail(r, at2, at2) == []
     p.write_text("new\n")
-    assert [x[2] for x in r.read(at2)[0]] == ["new"]
+    assert tail(r, at2, r.latestOffset()) == [(0, "new")]
+
+
+@pytest.mark.parametrize("each", [1, 2, 3, 7, 50, 1000])
+def test_ranges_of_a_file_give_each_line_once(tmp_path, each):
+    lines = ["", "a", "é" * 5, "x" * 40, "", "last"]
+    (tmp_path / "b.jsonl").write_text("\n".join(lines) + "\nrest")
+    r = TailReader({"root": str(tmp_path), "bytes_per_partition": str(each)})
+    got = tail(r, {}, r.latestOffset())
+    assert [x[1] for x in got] == lines and len({x[0] for x in got}) == len(lines)
+
+
+def test_stream_of_appended_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    put(tmp_path / "in/a.jsonl", ['{"n":1}', '{"n":2}'], end="")
+    seen = []
+    q = lambda: follow(spark, str(tmp_path / "in")).writeStream.foreachBatch(lambda b, n: seen.extend(r.line for r in b.collect())).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(60)
+    q()
+    assert seen == ['{"n":1}']
+    with (tmp_path / "in/a.jsonl").open("a") as f:
+        f.write('\n{"n":3}\n')
+    q()
+    assert sorted(seen) == ['{"n":1}', '{"n":2}', '{"n":3}']
+
+
+def test_a_pass_opens_only_what_changed(spark, homes, tmp_path):
+    sources = {n: str(homes / n) for n in SOURCES}
+    store = Store(spark, f"file://{tmp_path}/store")
+    dry = store.sync(found(spark, sources), dry_run=True)
+    assert dry.agg({"new": "sum"}).first()[0] == 7 and store.manifest()["version"] == 0
+    first = store.sync(found(spark, sources)).collect()
+    assert sum(r.new for r in first) == 7 and first[0].opened == 7 and sum(r.error for r in first) == 1
+    again = store.sync(found(spark, sources)).collect()
+    assert again[0].opened == 0 and sum(r.unchanged for r in again) == 7 and store.manifest()["version"] == 1
+    put(homes / "jsonl/j1.jsonl", [{"type": "user", "text": "b"}])  # as many messages, the same times, another text
+    (homes / "claude_code/projects/p1/s1.jsonl").unlink()
+    third = {r.agent: r for r in store.sync(found(spark, sources)).collect()}
+    assert third["jsonl"].opened == 1 and third["jsonl"].updated == 1 and third["claude_code"].pruned == 1
+    v = store.manifest()["tables"]["sessions"]
+    assert sorted(set(v.values())) == [1, 2] and len([b for b in v.values() if b == 2]) <= 2  # other buckets stay as they are
+    assert [r.text for r in store.read("parts").where("session_id = 'j1'").collect()] == ["b"] and store.read("sessions").count() == 6
+    assert store.sync(found(spark, sources), force=True).first()["opened"] == 6
+    assert {r.session_id for r in R.text_search(store.index(), "hello").collect()} == {"c1"}
+    with pytest.raises(StoreError):
+        store.commit({}, [], embedding_model="m1") and store.sync(found(spark, sources), embedder=ByteEmbedder())
+
+
+def test_unsound_sessions_replace_nothing(spark, tmp_path):
+    cols = "id string, agent string, project_id string, started_at string, last_activity_at string, message_count long, content_hash string, session_json string, openable boolean, source_place int, place int"
+    row = lambda h, j: spark.createDataFrame([("s", "a", "", "", "", 1, h, j, True, 0, 0)], cols)
+    store = Store(spark, f"file://{tmp_path}/st")
+    store.ingest(row("h1", '{"messages":[{"role":"user","parts":[{"kind":"text","text":"x"}]}]}'))
+    assert store.ingest(row("h2", '{"messages":['), force=True).first()["error"] == 1
+    assert store.read("messages").count() == 1 and store.read("sessions").first()["content_hash"] == "h1"
+
+
+def test_older_stores_are_brought_up(spark, tmp_path):
+    rows = [("s", "a", "", "", "", 1, "h", '{"messages":[{"role":"user","parts":[{"kind":"text","text":"old words"}]}]}')]
+    spark.createDataFrame(rows, "id string, agent string, project_id string, started_at string, last_activity_at string, message_count long, content_hash string, session_json string").write.parquet(f"file://{tmp_path}/o/v=4/sessions")
+    (tmp_path / "o/CURRENT").write_text(json.dumps({"version": 4, "schema_version": 1, "embedding_model": None, "tables": {"sessions": 4}}))
+    store = Store(spark, f"file://{tmp_path}/o")
+    assert store.manifest()["schema_version"] == 3 and [r.text for r in R.text_search(store.index(), "words").collect()] == ["old words"]
+    (tmp_path / "o/.CURRENT.crc").unlink(missing_ok=True)
+    (tmp_path / "o/CURRENT").write_text(json.dumps({"version": 4, "schema_version": 9, "embedding_model": None, "tables": {}}))
+    with pytest.raises(StoreError):
+        Store(spark, f"file://{tmp_path}/o")
+
+
+def test_fixture_doctor_and_undecodable_lines(homes):
+    f = Fixture(sessions={"a": {"messages": [{"role": "user", "parts": []}]}, "b": {}}, blocked=("b",))
+    got = [f.open(x) for x in f.discover()]
+    assert f.opened == 1 and got[1] is None and f.doctor()["issues"] == ["cannot be opened: b"]
+    with (homes / "jsonl/j1.jsonl").open("ab") as h:
+        h.write(b"\n\xff\xfe\n" + b'{"type":"user","text":"after"}\n')
+    s = opened(homes, "jsonl")["j1"]
+    assert [m["parts"][0]["text"] for m in s.session["messages"]] == ["a", "after"] and s.skips.malformed == 2
+    d = create("claude_code", str(homes / "claude_code")).doctor()
+    assert (d["sessions"], d["opened"], d["messages"], d["malformed"], d["partial"]) == (1, 1, 4, 1, 1) and "passed over: projects/p1/subagents/agent-1.jsonl" in d["issues"]
+    assert "rollout missing: t2" in create("codex", str(homes / "codex")).doctor()["issues"]
 
 
 def test_command_line(spark, homes, tmp_path):
@@ -180,4 +263,6 @@ def test_command_line(spark, homes, tmp_path):
     assert json.loads(call("show", "s1", "--message", "1")[1])["role"] == "user" and call("show", "nope")[0] == 1 and call("show", "s1", "--message", "99")[0] == 1
     assert any(r["status"] == "warn" for r in json.loads(call("doctor")[1]))
     assert json.loads(call("snapshot", str(homes / "cursor/state.vscdb"), "--out", str(tmp_path / "o"))[1])[0] == {"snapshot": str(tmp_path / "o/snapshot.db"), "rows": 5, "unchanged": True}
+    assert json.loads(call("snapshot", "cursor", "--out", str(tmp_path / "o2"))[1])[0]["rows"] == 5
+    assert call("import", "--db", db, "--no-embed")[0] == 0
     assert main(["--root", "x", "sources"]) == 2 and main(["-s", "nope=x", "sources"]) == 2
