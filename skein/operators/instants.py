@@ -1,9 +1,11 @@
 """Timestamps of mixed formats, precisions and zones to one UTC instant in milliseconds.
 
-Every text is matched with the families of formats below; each valid reading becomes a candidate. Where
-a text has several readings (unit of a number, order of day and month, abbreviation used by several
-zones), expectation-maximisation per source over the mixture of formats and the months the instants
-fall into gives each reading a posterior. Texts share a posterior when their candidates and months are
+Every text is matched with the families of formats below; each valid reading becomes a candidate: all units
+of a number, both orders of day and month, all zones of an abbreviation. Expectation-maximisation per source
+over the mixture of formats and the months the instants fall into gives each reading a posterior. What is
+stated of a source (its order of day and month) and what is plausible (the years, the unit by the number of
+digits) are priors in it, and where only a reading against the statement is left, that the value names no
+instant is a reading too. Texts share a posterior when their candidates and months are
 the same, so EM runs over a table of counts whose size depends on formats, sources and months only,
 never on the number of rows.
 """
@@ -43,10 +45,13 @@ _FAMILIES = [
     ("ctime", r"^[A-Za-z]{3}\s+([A-Za-z]{3})\s+(\d{1,2})\s+" + _TIME + r"(?:\s+([A-Za-z]{3,5}))?\s+(\d{4})$", "$8|$1|$2|$3|$4|$5|$6||$7|"),
 ]
 _NUMBER = r"^(\d{1,19})(?:\.(\d+))?$"
-#: Orders of day and month stated for the sources; None lets EM choose between both.
+#: Orders of day and month stated for the sources; None lets EM choose between both without a prior.
 STATED = {"slash": "mdy", "dot": "dmy"}
-#: Instants of numbers are looked for in these years first.
+#: Priors against: an order other than the stated one, no instant at all where only such an order is left, a unit
+#: that does not go with the number of digits, an instant outside the years 1990 to 2099.
+AGAINST, NO_INSTANT, ODD_UNIT, OUTSIDE = 1e-6, 1e-3, 1e-2, 1e-6
 _FROM_MS, _TO_MS = 631_152_000_000, 4_102_444_800_000
+_MONTH = 2_629_746_000
 
 
 def _int(c: Column) -> Column:
@@ -72,12 +77,11 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
-def readings(df: DataFrame, value: str, stated: dict | None = None) -> DataFrame:
+def readings(df: DataFrame, value: str) -> DataFrame:
     """df with _r, the array of candidate readings of a text: label, local (ms), offset (minutes, null without zone), region.
 
     Null, empty and meaningless texts, impossible dates, zero and negative numbers have an empty array.
     """
-    stated = STATED if stated is None else stated
     zones = sorted(zoneinfo.available_timezones())
     none = F.array().cast("array<struct<label:string,local:bigint,offset:int,region:string>>")
     df = _once(df, _t=F.regexp_replace(F.col(value), r"^\s+|\s+$", ""))
@@ -104,60 +108,69 @@ def readings(df: DataFrame, value: str, stated: dict | None = None) -> DataFrame
         .otherwise(F.try_element_at(table, zone))
     )
     at = lambda mo, d: _local_ms(F.col("_y"), mo, d, F.col("_h"), F.col("_mi"), F.col("_s"), p[7], p[8])
-    both = [k for k, main in (("slash", "mdy"), ("dot", "dmy")) if stated.get(k) != main]
-    df = _once(df, _offsets=F.coalesce(offsets, F.array().cast("array<int>")), _as_written=at(F.col("_mo"), F.col("_d")), _swapped=at(F.col("_d"), F.col("_mo")) if both else F.lit(None).cast("long"))
+    df = _once(df, _offsets=F.coalesce(offsets, F.array().cast("array<int>")), _as_written=at(F.col("_mo"), F.col("_d")), _swapped=F.when(family.isin("slash", "dot") & (F.col("_d") != F.col("_mo")), at(F.col("_d"), F.col("_mo"))))
     order = lambda k, o, c: F.struct(F.lit(f"{k}_{o}").alias("l"), F.col(c).alias("t"))
     orders = F.array(F.struct(family.alias("l"), F.col("_as_written").alias("t")))
     for kind, main, other in (("slash", "mdy", "dmy"), ("dot", "dmy", "mdy")):
-        kept = [order(kind, o, c) for o, c in ((main, "_as_written"), (other, "_swapped")) if stated.get(kind) in (None, o)]
-        orders = F.when(family == kind, F.array(*kept)).otherwise(orders)
+        orders = F.when(family == kind, F.array(order(kind, main, "_as_written"), order(kind, other, "_swapped"))).otherwise(orders)
     label = lambda o, z: F.concat(o["l"], F.when(F.size("_offsets") > 1, F.concat(F.lit(" "), zone, F.lit(" "), z.cast("string"))).otherwise(""))
     dated = F.flatten(F.transform(orders, lambda o: F.transform("_offsets", lambda z: _candidate(label(o, z), o["t"], z, F.col("_region")))))
 
     n, units = F.col("_n"), []
-    for unit, scale in (("s", 3), ("ms", 0), ("us", -3), ("ns", -6)):
+    size = F.length(n)
+    for unit, scale, least, most in (("s", 3, 0, 11), ("ms", 0, 12, 14), ("us", -3, 15, 17), ("ns", -6, 18, 99)):
         if scale > 0:
-            ms = F.when(F.length(n) <= 15, n.try_cast("long") * 1000 + F.rpad(F.substring("_f", 1, 3), 3, "0").cast("long"))
+            ms = F.when(size <= 15, n.try_cast("long") * 1000 + F.rpad(F.substring("_f", 1, 3), 3, "0").cast("long"))
         else:
             ms = n.try_cast("long") if not scale else F.floor(n.try_cast("decimal(20,0)") / 10**-scale).cast("long")
-        units.append(_candidate(f"epoch_{unit}", ms, F.lit(0), F.lit(None).cast("string")))
-    size = F.length(n)
-    df = _once(df, _units=F.when((n != "") & ~n.rlike("^0*$"), F.array(*units)))
-    near = F.filter("_units", lambda x: x["local"].between(_FROM_MS, _TO_MS))
-    by_size = F.when(size <= 11, F.col("_units")[0]).when(size <= 14, F.col("_units")[1]).when(size <= 17, F.col("_units")[2]).otherwise(F.col("_units")[3])
-    counted = F.when(F.size(near) > 0, near).otherwise(F.filter(F.array(by_size), lambda x: x["local"] > 0))
-    found = F.when(n != "", F.when(F.col("_units").isNull(), none).otherwise(counted)).when(family.isNotNull(), F.filter(dated, lambda x: x["local"].isNotNull())).otherwise(none)
+        units.append(_candidate(F.concat(F.lit(f"epoch_{unit}"), F.when(size.between(least, most), "").otherwise("?")), ms, F.lit(0), F.lit(None).cast("string")))
+    df = _once(df, _units=F.when((n != "") & ~n.rlike("^0*$"), F.filter(F.array(*units), lambda x: x["local"] > 0)))
+    found = F.when(n != "", F.coalesce("_units", none)).when(family.isNotNull(), F.filter(dated, lambda x: x["local"].isNotNull())).otherwise(none)
     return _once(df, _r=found)
 
 
-def _em(counts: list, rounds: int = 50) -> dict:
-    """Posterior of each reading by (source, signature); counts: rows of source, labels, months, n."""
+def _prior(label: str, month: int, stated: dict) -> float:
+    """How likely a reading is before the values of its source are seen."""
+    family, _, order = label.split(" ")[0].partition("_")
+    against = stated.get(family) not in (None, order) if family in ("slash", "dot") else False
+    return (AGAINST if against else 1.0) * (ODD_UNIT if label.endswith("?") else 1.0) * (OUTSIDE if month < 0 else 1.0)
+
+
+def _em(counts: list, stated: dict, rounds: int = 50) -> dict:
+    """Posterior of each reading by (source, signature), then that of no instant; counts: rows of source, labels, months, n."""
     sources: dict = {}
     for r in counts:
         sources.setdefault(r["source"], []).append((tuple(r["labels"]), tuple(r["months"]), r["n"]))
     post = {}
     for source, rows in sources.items():
-        labels, months = {x for l, _, _ in rows for x in l}, {x for _, m, _ in rows for x in m}
+        rows = [(l, m, n, [_prior(a, b, stated) for a, b in zip(l, m)]) for l, m, n in rows]
+        labels, months = {x for l, *_ in rows for x in l}, {x for _, m, *_ in rows for x in m}
         weight, when = dict.fromkeys(labels, 1 / len(labels)), dict.fromkeys(months, 1 / len(months))
+        # no instant: as likely as any reading but for its prior, and only against an order that is not the stated one
+        absent = [NO_INSTANT / (len(labels) * len(months)) if any(a.split(" ")[0].partition("_")[0] in ("slash", "dot") and stated.get(a.split("_")[0]) for a in l) else 0.0 for l, *_ in rows]
+
+        def likes(row, none):
+            l, m, _, p = row
+            got = [weight[a] * when[b] * q for a, b, q in zip(l, m, p)]
+            return got, sum(got) + none or 1.0
+
         for _ in range(rounds):
             got, at, total = dict.fromkeys(labels, 0.0), dict.fromkeys(months, 0.0), 0.0
-            for l, m, n in rows:
-                like = [weight[a] * when[b] for a, b in zip(l, m)]
-                s = sum(like) or 1.0
-                for a, b, x in zip(l, m, like):
-                    got[a] += n * x / s
-                    at[b] += n * x / s
-                total += n
+            for row, none in zip(rows, absent):
+                like, s = likes(row, none)
+                for a, b, x in zip(row[0], row[1], like):
+                    got[a] += row[2] * x / s
+                    at[b] += row[2] * x / s
+                total += row[2]
             new = {k: (v + 0.01) / (total + 0.01 * len(labels)) for k, v in got.items()}
             when = {k: (v + 0.01) / (total + 0.01 * len(months)) for k, v in at.items()}
             moved = max(abs(new[k] - weight[k]) for k in labels)
             weight = new
             if moved < 1e-9:
                 break
-        for l, m, _ in rows:
-            like = [weight[a] * when[b] for a, b in zip(l, m)]
-            s = sum(like) or 1.0
-            post[source, l, m] = [x / s for x in like]
+        for row, none in zip(rows, absent):
+            like, s = likes(row, none)
+            post[source, row[0], row[1]] = [x / s for x in like] + [none / s]
     return post
 
 
@@ -169,8 +182,8 @@ def normalise(df: DataFrame, value: str, source: str, zone: str, stated: dict |
     millisecond are dropped. Columns of df named like the results are replaced; null texts, empty and
     meaningless ones are dropped; repeated rows stay. ambiguous marks values whose best reading has a posterior below certain.
     """
-    spark = df.sparkSession
-    base = readings(df.select(F.struct("*").alias("_row"), F.col(value).cast("string").alias("_v"), F.col(source).alias("_src"), F.col(zone).alias("_zn")), "_v", stated).where("size(_r) > 0")
+    spark, stated = df.sparkSession, STATED if stated is None else stated
+    base = readings(df.select(F.struct("*").alias("_row"), F.col(value).cast("string").alias("_v"), F.col(source).alias("_src"), F.col(zone).alias("_zn")), "_v").where("size(_r) > 0")
     zoned = F.when(F.col("_zn").isin(sorted(zoneinfo.available_timezones())), F.col("_zn")).otherwise("UTC")
 
     def utc(r: Column) -> Column:
@@ -179,11 +192,11 @@ def normalise(df: DataFrame, value: str, source: str, zone: str, stated: dict |
 
     # written once, as both EM and the result read it
     base, _ = Workspace(spark).write(base.select("_row", "_src", F.transform("_r", lambda r: F.struct(r["label"].alias("label"), utc(r).alias("ms"))).alias("_c")), "candidates")
-    month = lambda x: F.floor(x["ms"] / 2_629_746_000).cast("int")
+    month = lambda x: F.when(x["ms"].between(_FROM_MS, _TO_MS - 1), F.floor(x["ms"] / _MONTH).cast("int")).otherwise(-1)
     every = base.select(F.col("_src").alias("source"), F.col("_c.label").alias("labels"), F.transform("_c", month).alias("months"))
     counts = every.groupBy("source", "labels", "months").agg(F.count("*").alias("n")).collect()  # sources x formats x months
-    # values with one reading say how common its format is; only the others need a choice
-    best = [(s, list(l), list(m), p.index(max(p)), float(max(p))) for (s, l, m), p in _em(counts).items() if len(l) > 1]
+    # values with one reading say how common its format is; only the others need a choice, or may name no instant
+    best = [(s, list(l), list(m), k if k < len(l) else -1, float(p[k])) for (s, l, m), p in _em(counts, stated).items() if (k := p.index(max(p))) == len(l) or len(l) > 1]
     if not best:
         out = base.withColumn("_pick", F.lit(0)).withColumn("posterior", F.lit(1.0))
     else:
@@ -191,6 +204,7 @@ def normalise(df: DataFrame, value: str, source: str, zone: str, stated: dict |
         on = base["_src"].eqNullSafe(chosen["_s"]) & (base["_c"]["label"] == chosen["_l"]) & (F.transform(base["_c"], month) == chosen["_m"])
         # formats x sources x months: bounded by the formats, not by rows
         out = base.join(F.broadcast(chosen) if len(best) <= 50_000 else chosen, on, "left").withColumn("_pick", F.coalesce("_p", F.lit(0))).withColumn("posterior", F.coalesce("_q", F.lit(1.0)))
+    out = out.where("_pick >= 0")
     got = F.element_at("_c", F.col("_pick") + 1)
     kept = [F.col("_row")[c].alias(c) for c in df.columns if c not in ("format", "utc_ms", "posterior", "ambiguous")]
-    return out.select(*kept, got["label"].alias("format"), got["ms"].alias("utc_ms"), "posterior", (F.col("posterior") < certain).alias("ambiguous"))
+    return out.select(*kept, F.regexp_replace(got["label"], r"\?$", "").alias("format"), got["ms"].alias("utc_ms"), "posterior", (F.col("posterior") < certain).alias("ambiguous"))
