@@ -3,20 +3,23 @@
 Documents are aggregated by membership pattern: the set of sources that hold an exact copy of the text.
 A min-cost flow over patterns, repetitions and sources routes tokens to the quotas; each further use
 of the same tokens costs more, so repetition spreads evenly. Then documents are drawn by a seeded
-hash: thresholds on the hash are found from histograms, never from rows.
+hash: thresholds on the hash are found from histograms that stay in tables; only the patterns in use come to the driver.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.tokens import source_key
-from skein.runtime import Workspace
+from skein.runtime import BROADCAST_ROWS, Workspace
 
 _BUCKETS = 4096
+_SALTS = 64
+#: Patterns and sources in use that a flow is planned over.
+_PATTERNS = 20_000
 
 
 class Flow:
@@ -100,53 +103,60 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
     want = targets.where("target_share > 0 and max_repeats > 0").groupBy(source_key(F.col("source")).alias("source")).agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("r")).collect()  # one row a source
     scale = sum(r["w"] for r in want) or 1.0
     shares, repeats = {r["source"]: r["w"] / scale for r in want}, {r["source"]: r["r"] for r in want}
-    # a group of copies may hold a third of all rows: copies are combined before the shuffle
+    # a group of copies may hold a third of all rows: which sources hold a text is combined before the shuffle
     rows = docs.where("tokens > 0").select("doc_id", source_key(F.col("source")).alias("source"), "tokens", F.sha2("text", 256).alias("copy"))
     rows = rows.where(F.col("source").isin(list(shares)))
     rows, _ = ws.write(rows.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(_BUCKETS * _BUCKETS))), "rows")
     shared = rows.groupBy("copy").agg(F.sort_array(F.collect_set("source")).alias("pattern")).where("size(pattern) > 1")
-    item = rows.join(shared, "copy", "left").select("doc_id", "source", "tokens", "h", F.coalesce("pattern", F.array("source")).alias("pattern"))
-    item, _ = ws.write(item, "items")
-    # patterns x sources x buckets: bounded by the sources, not by the documents
-    fine = item.groupBy("pattern", "source", F.floor(F.col("h") / _BUCKETS).alias("b")).agg(F.sum("tokens").alias("n")).collect()
-    held, have, at = {}, {}, {}
-    for r in fine:
-        p = tuple(r["pattern"])
-        have[p, r["source"]] = have.get((p, r["source"]), 0) + r["n"]
-        at.setdefault((p, r["source"]), {})[r["b"]] = r["n"]
+    shared, seen = ws.write(shared, "shared", n=F.count("*"))
+    few = (seen["n"] or 0) <= BROADCAST_ROWS
+    # beyond what may be sent to all tasks, rows of a copy are spread over salts and the patterns repeated for each
+    if few:
+        item = rows.join(F.broadcast(shared), "copy", "left")
+    else:
+        salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        item = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int")).join(salted, ["copy", "salt"], "left").drop("salt")
+    item, _ = ws.write(item.select("doc_id", "source", "tokens", "h", F.coalesce("pattern", F.array("source")).alias("pattern")), "items")
+    held = item.groupBy("pattern", "source").agg(F.sum("tokens").alias("n"))
+    # the patterns in use: the flow is planned over them, so there may be at most as many as it can take
+    rows_ = held.limit(_PATTERNS + 1).collect()
+    if len(rows_) > _PATTERNS:
+        raise ValueError(f"texts are shared by more than {_PATTERNS} sets of sources")
+    have = {(tuple(r["pattern"]), r["source"]): r["n"] for r in rows_}
+    most: dict = {}
     for (p, s), n in have.items():
-        held[p] = max(held.get(p, 0), n)
-    best = largest_total(held, shares, repeats) if total is None else total
-    sent, _ = route(held, shares, repeats, best)
-    picks, edges = [], []
+        most[p] = max(most.get(p, 0), n)
+    best = largest_total(most, shares, repeats) if total is None else total
+    sent, _ = route(most, shares, repeats, best)
+    picks = []
     for (p, s), n in have.items():
         q = min(sent.get((p, s), 0.0), n * repeats[s])
         whole = min(int(q / n + 1e-9), repeats[s])
-        rest, bucket = q - whole * n, 0
-        if rest > 1e-6 * n and whole < repeats[s]:
-            while bucket < _BUCKETS and at[p, s].get(bucket, 0) <= rest:
-                rest -= at[p, s].get(bucket, 0)
-                bucket += 1
-        picks.append([list(p), s, whole, bucket, rest])
-        edges.append((list(p), s, bucket))
+        rest = q - whole * n
+        picks.append((list(p), s, whole, rest if rest > 1e-6 * n and whole < repeats[s] else 0.0))
     if not picks:
         return spark.createDataFrame([], "doc_id bigint, source string, tokens bigint, uses int")
-    cut = F.broadcast(spark.createDataFrame(edges, "pattern array<string>, source string, b bigint"))  # patterns x sources
-    inner: dict = {}
-    for r in item.withColumn("b", F.floor(F.col("h") / _BUCKETS)).join(cut, ["pattern", "source", "b"]).groupBy("pattern", "source", F.pmod("h", F.lit(_BUCKETS)).alias("c")).agg(F.sum("tokens").alias("n")).collect():  # a bucket of each
-        inner.setdefault((tuple(r["pattern"]), r["source"]), {})[r["c"]] = r["n"]
-    for x in picks:
-        p, s, _, bucket, rest = x
-        below, c = inner.get((tuple(p), s), {}), 0
-        while c < _BUCKETS and below.get(c, 0) <= rest + 1e-9:
-            rest -= below.get(c, 0)
-            c += 1
-        x[3:] = [bucket * _BUCKETS + (c if bucket < _BUCKETS else 0)]
-    chosen = F.broadcast(spark.createDataFrame(picks, "pattern array<string>, source string, whole int, under bigint"))
-    used = item.join(chosen, ["pattern", "source"]).withColumn("uses", F.col("whole") + F.when(F.col("h") < F.col("under"), 1).otherwise(0))
+    chosen = F.broadcast(spark.createDataFrame(picks, "pattern array<string>, source string, whole int, rest double"))  # a row a pattern and source in use
+    coarse = _below(item.join(chosen, ["pattern", "source"]).withColumn("b", F.floor(F.col("h") / _BUCKETS)), "b")
+    coarse = coarse.select("pattern", "source", F.col("b").alias("cut"), F.col("left").alias("rest"))  # the bucket that is taken in part
+    inside = item.join(F.broadcast(coarse), ["pattern", "source"]).where(F.floor(F.col("h") / _BUCKETS) == F.col("cut"))
+    fine = _below(inside.withColumn("b", F.pmod("h", F.lit(_BUCKETS))), "b", "cut")
+    cuts = coarse.drop("rest").join(fine.select("pattern", "source", F.col("b").alias("c")), ["pattern", "source"], "left")
+    # without a bucket taken in part all or nothing is: rest was 0, or all of the source
+    under = F.when(F.col("cut").isNotNull(), F.col("cut") * _BUCKETS + F.coalesce("c", F.lit(_BUCKETS))).otherwise(F.when(F.col("rest") > 0, _BUCKETS * _BUCKETS).otherwise(0))
+    used = item.join(chosen, ["pattern", "source"]).join(F.broadcast(cuts), ["pattern", "source"], "left")
+    used = used.withColumn("uses", F.col("whole") + F.when(F.col("h") < under, 1).otherwise(0))
     return used.where("uses > 0").select("doc_id", "source", "tokens", "uses")
 
 
+def _below(rows: DataFrame, bucket: str, *keep: str) -> DataFrame:
+    """The first bucket of each pattern and source that rest does not fill, and what is left of rest there; none where all is filled or rest is 0."""
+    n = rows.where("rest > 0").groupBy("pattern", "source", *keep, bucket).agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
+    upto = Window.partitionBy("pattern", "source").orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)  # at most _BUCKETS rows
+    over = n.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") > F.col("rest") + 1e-9)
+    return over.groupBy("pattern", "source").agg(F.min(F.struct(F.col(bucket).alias("b"), (F.col("rest") - (F.col("upto") - F.col("n"))).alias("left"))).alias("m")).select("pattern", "source", "m.b", "m.left")
+
+
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source: its target and reached share, documents, tokens and the most uses of a document."""
     per = mixed.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.max("uses").alias("most_uses"))

@@ -61,7 +61,11 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
     return runs, containers
 
 
-def pack(docs: DataFrame, sizes: DataFrame, key: str = "doc_id", tokens: str = "tokens", salts: int = 64) -> DataFrame:
+#: Pieces of one length that are ranked in one task.
+RANKED = 1_000_000
+
+
+def pack(docs: DataFrame, sizes: DataFrame, key: str = "doc_id", tokens: str = "tokens", ranked_at_once: int = RANKED) -> DataFrame:
     """One row per piece and container kind: container, container_id, key, piece, pieces, tokens.
 
     A document longer than the capacity is cut into pieces of the capacity and one rest; no other is
@@ -82,11 +86,13 @@ def pack(docs: DataFrame, sizes: DataFrame, key: str = "doc_id", tokens: str = "
         .withColumn("pieces", F.greatest(F.ceil(F.col("n") / F.col("c")), F.lit(1)).cast("long"))
         .select("container", "c", "k", "n", "pieces", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
         .withColumn("length", F.least(F.col("c"), F.col("n") - F.col("piece") * F.col("c")))
-        .withColumn("salt", F.pmod(F.xxhash64("k", "piece"), F.lit(salts)).cast("int"))
-        .select("container", "c", "k", "piece", "pieces", "length", "salt")
+        .select("container", "c", "k", "piece", "pieces", "length")
     )
     cut, _ = ws.write(cut, "pieces")
-    # a length may hold a third of all rows: it is counted and ranked in salted parts
+    # a length may hold a third of all rows: it is counted and ranked in as many salted parts as its rows need
+    counted = cut.groupBy("container", "length").agg(F.count("*").alias("n"))  # at most capacity rows a kind
+    counted, _ = ws.write(counted.select("container", "length", F.ceil(F.col("n") / ranked_at_once).cast("int").alias("salts")), "lengths")
+    cut = cut.join(F.broadcast(counted), ["container", "length"]).withColumn("salt", F.pmod(F.xxhash64("k", "piece"), F.col("salts")).cast("int"))
     parts = cut.groupBy("container", "length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("container", "length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     parts, _ = ws.write(parts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))), "parts")
@@ -98,11 +104,14 @@ def pack(docs: DataFrame, sizes: DataFrame, key: str = "doc_id", tokens: str = "
     ranked = cut.join(parts.select("container", "length", "salt", "start"), ["container", "length", "salt"]).withColumn(
         "rank", F.col("start") + F.row_number().over(Window.partitionBy("container", "length", "salt").orderBy("k", "piece")) - 1
     )
-    spans = runs.groupBy("container", "length").agg(F.sort_array(F.collect_list(F.struct("r0", "r1", "first", "slots"))).alias("spans"))  # runs of one length, bounded by the capacity
-    at = F.filter("spans", lambda s: (s["r0"] <= F.col("rank")) & (F.col("rank") < s["r1"]))[0]
+    # the runs of a length are one after the other in rank: a piece finds its own by halving their starts
+    spans = runs.groupBy("container", "length").agg(F.sort_array(F.collect_list(F.struct("r0", "r1", "first", "slots"))).alias("spans"))  # bounded by the capacity
+    steps = "sequence(1, cast(ceil(log2(size(spans) + 1)) as int))"
+    halve = "if(spans[(a.lo + a.hi + 1) div 2].r0 <= rank, named_struct('lo', cast((a.lo + a.hi + 1) div 2 as int), 'hi', a.hi), named_struct('lo', a.lo, 'hi', cast((a.lo + a.hi + 1) div 2 - 1 as int)))"
+    at = F.expr(f"spans[aggregate({steps}, named_struct('lo', 0, 'hi', size(spans) - 1), (a, i) -> if(a.lo < a.hi, {halve}, a), a -> a.lo)]")
     return (
         ranked.join(F.broadcast(spans) if (seen["n"] or 0) <= 200_000 else spans, ["container", "length"], "left")
-        .withColumn("s", at)
+        .withColumn("s", F.when(F.col("spans").isNotNull(), at))
         .select("container", F.coalesce(F.col("s.first") + F.floor((F.col("rank") - F.col("s.r0")) / F.col("s.slots")), F.lit(0)).cast("long").alias("container_id"), F.col("k").alias(key), "piece", "pieces", F.col("length").alias("tokens"))
     )
 
