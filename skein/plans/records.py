@@ -23,7 +23,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _part_of(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return N.flat_table(_objects(spark, d), ["session_id", "ordinal"], N.TABLES[name]).distinct()
+    """A flat table; numbers that may be null are doubles and yes or no is text, so that either side of a check shows them alike."""
+    t = N.flat_table(_objects(spark, d), ["session_id", "ordinal"], N.TABLES[name]).distinct()
+    shown = {f"f_{f}": F.col(f"f_{f}").cast("double" if k == "bigint" else "string") for f, k in N.TABLES[name][1].items() if k in ("bigint", "boolean")}
+    return t.withColumns({"position": F.coalesce("position", F.lit(-1)), "key": F.coalesce("key", F.lit("")), **shown})
 
 
 def p2_turns(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +135,36 @@ walk AS (
   SELECT l.k, l.id, w.root_id, w.depth + 1, w.path || '/' || l.id, list_append(w.trail, l.id) FROM links l JOIN walk w ON l.p = w.k)
 """
 
+# Objects of all texts by recursion over the values of JSON.
+_NESTED = """
+WITH RECURSIVE src AS (SELECT id AS session_id, CAST(-1 AS BIGINT) AS ordinal, session_json AS js FROM sessions UNION SELECT session_id, ordinal, message_json FROM messages),
+ok AS (SELECT row_number() OVER () AS k, session_id, ordinal, CAST(js AS JSON) AS js FROM src WHERE json_valid(js) AND json_type(js) = 'OBJECT'),
+n AS (
+  SELECT k, '' AS path, '' AS anchor, '' AS above, js, 'OBJECT' AS kind, false AS listed FROM ok
+  UNION ALL
+  SELECT k, path, CASE WHEN listed AND kind = 'OBJECT' THEN path ELSE above END, above, js, kind, listed AND kind = 'OBJECT' FROM (
+    SELECT n.k, n.anchor AS above, e.value AS js, e.type AS kind,
+      CASE WHEN n.kind = 'ARRAY' THEN n.path || '[' || e.key || ']' WHEN n.path IN ('turns', 'compaction_windows', 'cost.per_model') THEN n.path || '{' || e.key || '}'
+           WHEN n.path = '' AND e.key IN ('peers', 'compactions', 'parts') AND e.type = 'OBJECT' THEN e.key || '[0]' WHEN n.path = '' THEN e.key ELSE n.path || '.' || e.key END AS path,
+      n.kind = 'ARRAY' OR n.path IN ('turns', 'compaction_windows', 'cost.per_model') OR (n.path = '' AND e.key IN ('peers', 'compactions', 'parts')) AS listed
+    FROM n, LATERAL json_each(n.js) e WHERE e.type IN ('OBJECT', 'ARRAY'))),
+o AS (SELECT session_id, ordinal, path, above AS parent_path, n.js FROM n JOIN ok USING (k) WHERE listed)
+"""
+
+
+def _table_sql(name: str) -> str:
+    pattern, fields = N.TABLES[name]
+    types = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    shown = {"bigint": "DOUBLE", "boolean": "VARCHAR"}
+    cols = ", ".join(f"CAST(TRY_CAST(js->>'$.{f}' AS {types[t]}) AS {shown.get(t, types[t])}) AS f_{f}" for f, t in fields.items())
+    position = r"regexp_extract(path, '\[(\d+)\]$', 1)"
+    key = r"regexp_extract(path, '\{(.*)\}$', 1)"
+    return f"{_NESTED} SELECT DISTINCT session_id, ordinal, path, parent_path, coalesce(TRY_CAST(nullif({position}, '') AS BIGINT), -1) AS position, {key} AS key, {cols} FROM o WHERE regexp_matches(path, '{pattern}')"
+
+
 ORACLE = {
+    "p2_found": _NESTED + "SELECT DISTINCT session_id, ordinal, path, parent_path FROM o",
+    **{f"p2_{n}": _table_sql(n) for n in N.TABLES},
     "p3_found": _TREE.rstrip() + """,
 looped AS (SELECT k AS start, p AS cur, 1 AS n FROM links WHERE k NOT IN (SELECT k FROM walk)
   UNION SELECT s.start, l.p, s.n + 1 FROM looped s JOIN links l ON s.cur = l.k WHERE s.cur <> s.start AND s.n <= (SELECT count(*) FROM links)),
