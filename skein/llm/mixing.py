@@ -133,7 +133,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
         q = min(sent.get((p, s), 0.0), n * repeats[s])
         whole = min(int(q / n + 1e-9), repeats[s])
         rest = q - whole * n
-        picks.append((list(p), s, whole, rest if rest > 1e-6 * n and whole < repeats[s] else 0.0))
+        picks.append((list(p), s, whole, float(rest) if rest > 1e-6 * n and whole < repeats[s] else 0.0))
     if not picks:
         return spark.createDataFrame([], "doc_id bigint, source string, tokens bigint, uses int")
     chosen = F.broadcast(spark.createDataFrame(picks, "pattern array<string>, source string, whole int, rest double"))  # a row a pattern and source in use
