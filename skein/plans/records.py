@@ -152,6 +152,50 @@ o AS (SELECT session_id, ordinal, path, above AS parent_path, n.js FROM n JOIN o
 """
 
 
+# Times by a pattern of each format, written for this check; zones by the database's own rules.
+_TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
+_ZONE = r"\s*([Zz]|[+-]\d{2}:?\d{2}|[+-]\d{2}|[A-Za-z]{2,5})?(?:\[([A-Za-z0-9_+/-]+)\])?"
+_WRITTEN = [
+    (r"^(\d{4})[-/](\d{2})[-/](\d{2})[Tt ]\s*" + _TIME + _ZONE + "$", "y mo d h mi s f z r"), (r"^(\d{4})(\d{2})(\d{2})[Tt](\d{2})(\d{2})(\d{2})(?:[.,](\d{1,9}))?" + _ZONE + "$", "y mo d h mi s f z r"),
+    (r"^(\d{1,2})\.(\d{1,2})\.(\d{4}),?\s+" + _TIME + _ZONE + "$", "d mo y h mi s f z r"), (r"^(\d{1,2})/(\d{1,2})/(\d{4}),?\s+" + _TIME + r"(?:\s*([AaPp])\.?[Mm]\.?)?" + _ZONE + "$", "mo d y h mi s f half z r"),
+    (r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4})\s+" + _TIME + _ZONE + "$", "d mo y h mi s f z r"), (r"^[A-Za-z]{3}\s+([A-Za-z]{3})\s+(\d{1,2})\s+" + _TIME + r"(?:\s+([A-Za-z]{3,5}))?\s+(\d{4})$", "mo d h mi s f z y"),
+]
+
+
+def _instants_sql() -> str:
+    def cut(pattern: str, names: str) -> str:
+        ns, quoted = names.split(), "'" + pattern.replace("'", "''") + "'"
+        fields = ", ".join(f"{'x.' + n if n in ns else chr(39) * 2} AS {n}" for n in "y mo d h mi s f half z r".split())
+        return f"SELECT tab, sid, ordinal, field, zone, {fields} FROM (SELECT *, regexp_extract(v, {quoted}, {ns}) AS x FROM vals WHERE regexp_matches(v, {quoted}))"
+
+    offsets = "MAP {" + ", ".join(f"'{k}': {v[0]}" for k, v in I.ABBREVIATIONS.items()) + "}"
+    zone = "coalesce(nullif(r, ''), zone, 'UTC')"
+    digits = "regexp_replace(zz, '[^0-9]', '', 'g')"
+    return rf"""
+WITH homes AS (SELECT id, min(project_id) AS p FROM sessions GROUP BY 1), pz AS (SELECT project_id, min(zone_name) AS zone FROM project_zones GROUP BY 1),
+raw AS (SELECT 'sessions' AS tab, id AS sid, CAST(-1 AS BIGINT) AS ordinal, 'started_at' AS field, started_at AS t FROM sessions UNION SELECT 'sessions', id, -1, 'last_activity_at', last_activity_at FROM sessions
+  UNION SELECT 'messages', session_id, ordinal, 'timestamp', timestamp FROM messages),
+vals AS (SELECT raw.*, regexp_replace(t, '^\s+|\s+$', '', 'g') AS v, zone FROM raw LEFT JOIN homes ON sid = homes.id LEFT JOIN pz ON homes.p = pz.project_id
+  WHERE t IS NOT NULL AND NOT regexp_full_match(t, '\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}:\d{{2}}:\d{{2}}(\.\d+)?Z')),
+cut AS ({" UNION ALL ".join(cut(*w) for w in _WRITTEN)}),
+num AS (SELECT *, TRY_CAST(y AS INT) AS yy, CASE WHEN regexp_matches(mo, '^[A-Za-z]') THEN list_position({I.MONTHS}, lower(mo)) ELSE TRY_CAST(mo AS INT) END AS mm, TRY_CAST(d AS INT) AS dd, TRY_CAST(h AS INT) AS h0,
+  TRY_CAST(mi AS INT) AS ii, coalesce(TRY_CAST(nullif(s, '') AS INT), 0) AS ss, CAST(rpad(substr(f, 1, 3), 3, '0') AS INT) AS ms, upper(z) AS zz FROM cut),
+tim AS (SELECT *, CASE WHEN half = '' THEN h0 WHEN h0 BETWEEN 1 AND 12 THEN h0 % 12 + CASE WHEN lower(half) = 'p' THEN 12 ELSE 0 END END AS hh FROM num),
+loc AS (SELECT *, TRY_CAST(printf('%04d-%02d-%02d %02d:%02d:%02d', yy, mm, dd, hh, ii, ss) AS TIMESTAMP) AS lt FROM tim WHERE hh BETWEEN 0 AND 23 AND ii < 60 AND ss < 60 AND mm BETWEEN 1 AND 12),
+off AS (SELECT *, CASE WHEN regexp_matches(zz, '^[+-]') THEN (CASE WHEN zz[1] = '-' THEN -1 ELSE 1 END) * (CAST(substr({digits}, 1, 2) AS INT) * 60 + coalesce(TRY_CAST(nullif(substr({digits}, 3, 2), '') AS INT), 0))
+  WHEN zz <> '' THEN ({offsets})[zz] END AS o FROM loc WHERE lt IS NOT NULL),
+dated AS (SELECT tab, sid, ordinal, field, CASE WHEN o IS NOT NULL THEN epoch_ms(lt) - o * 60000
+  WHEN zz = '' THEN least(epoch_ms(timezone({zone}, lt)), epoch_ms(timezone({zone}, lt - INTERVAL 1 HOUR)) + 3600000) END + ms AS utc_ms FROM off),
+digits AS (SELECT tab, sid, ordinal, field, regexp_extract(v, '^(\d{{1,19}})(?:\.(\d+))?$', 1) AS n, regexp_extract(v, '^(\d{{1,19}})(?:\.(\d+))?$', 2) AS f FROM vals WHERE regexp_matches(v, '^\d{{1,19}}(\.\d+)?$')),
+tn AS (SELECT DISTINCT id, CASE WHEN created_at_ms > 0 THEN created_at_ms WHEN created_at > 0 THEN created_at END AS n, created_at_ms > 0 AS own FROM threads),
+every AS (SELECT 'threads' AS tab, id AS sid, CAST(-1 AS BIGINT) AS ordinal, 'created_at_ms' AS field, CAST(n AS VARCHAR) AS n, '' AS f, own FROM tn WHERE n IS NOT NULL
+  UNION ALL SELECT tab, sid, ordinal, field, n, f, NULL FROM digits WHERE NOT regexp_matches(n, '^0*$')),
+counted AS (SELECT *, CASE WHEN length(n) <= 11 THEN CAST(n AS BIGINT) * 1000 + CAST(rpad(substr(f, 1, 3), 3, '0') AS INT) WHEN length(n) <= 14 THEN CAST(n AS BIGINT)
+  WHEN length(n) <= 17 THEN CAST(n AS BIGINT) // 1000 ELSE CAST(n AS BIGINT) // 1000000 END AS utc_ms FROM every)
+SELECT DISTINCT tab AS table_name, sid AS session_id, ordinal, field, utc_ms FROM (SELECT tab, sid, ordinal, field, utc_ms FROM dated WHERE utc_ms IS NOT NULL
+  UNION ALL SELECT tab, sid, ordinal, field, utc_ms FROM counted WHERE own IS NULL OR NOT own OR length(n) NOT BETWEEN 12 AND 14)"""
+
+
 def _table_sql(name: str) -> str:
     pattern, fields = N.TABLES[name]
     types = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
@@ -163,6 +207,7 @@ def _table_sql(name: str) -> str:
 
 
 ORACLE = {
+    "p5_found": _instants_sql(),
     "p2_found": _NESTED + "SELECT DISTINCT session_id, ordinal, path, parent_path FROM o",
     **{f"p2_{n}": _table_sql(n) for n in N.TABLES},
     "p3_found": _TREE.rstrip() + """,
