@@ -355,17 +355,6 @@ def project_rollup(spark, d):
     return j.groupBy(F.col("o_custkey").alias("project")).agg(F.countDistinct("o_orderkey").alias("sessions"), F.sum("n").alias("messages"), F.round(F.sum("q"), 6).alias("quantity"), F.sum("r").alias("returned"))
 
 
-@query("SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS last_type, arg_max(value, struct_pack(a := ts, b := event_id)) AS last_value, count(*) AS events FROM events GROUP BY 1")
-def last_write_wins(spark, d):
-    at = F.struct("ts", "event_id")
-    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", at).alias("last_type"), F.max_by("value", at).alias("last_value"), F.count("*").alias("events"))
-
-
-@query("SELECT user_id, event_type, arg_max(value, struct_pack(a := ts, b := event_id)) AS value FROM events GROUP BY 1, 2")
-def keyed_registry(spark, d):
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
-
-
 # ---- deduplication and change capture -------------------------------------------------------------
 
 
@@ -452,32 +441,6 @@ def open_session_nested(spark, d):
 # ---- joins of the sources -------------------------------------------------------------------------
 
 
-@query("""SELECT c_custkey AS header, i AS position, o_orderkey AS item, o_orderstatus AS status FROM (SELECT c_custkey, unnest(range(0, 4)) AS i FROM customer) LEFT JOIN orders ON o_orderkey = c_custkey * 4 + i""")
-def ordered_by_header_array(spark, d):
-    h = table(spark, d, "customer").select(F.col("c_custkey").alias("header"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col("c_custkey") * 4 + i)).alias("position", "key"))
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("item"), F.col("o_orderstatus").alias("status"))
-    return h.join(o, F.col("key") == F.col("item"), "left").select("header", F.col("position").cast("long").alias("position"), "item", "status")
-
-
-@query("""SELECT o_orderkey AS step, 'call' AS message, o_orderpriority AS text FROM orders UNION ALL
-SELECT o_orderkey, 'result', l_returnflag FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1""")
-def tool_link_join(spark, d):
-    links = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("step"), F.lit("result").alias("message"), F.col("l_returnflag").alias("text"))
-    calls = table(spark, d, "orders").select(F.col("o_orderkey").alias("step"), F.lit("call").alias("message"), F.col("o_orderpriority").alias("text"))
-    return calls.unionByName(links.join(calls.select("step"), "step", "left_semi"))
-
-
-@query("SELECT t.id, t.title, s.parent_id FROM (SELECT DISTINCT id, title FROM threads) t LEFT JOIN (SELECT DISTINCT id, parent_id FROM sessions) s USING (id)")
-def edge_parent_join(spark, d):
-    edges = table(spark, d, "sessions").select("id", "parent_id").distinct()
-    return table(spark, d, "threads").select("id", "title").distinct().join(edges, "id", "left")
-
-
-@query("SELECT n_nationkey AS entry, n_name AS name, r_name AS owner FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
-def roster_join(spark, d):
-    return table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select(F.col("n_nationkey").alias("entry"), F.col("n_name").alias("name"), F.col("r_name").alias("owner"))
-
-
 @query(f"""WITH {_M}, x AS (SELECT session_id, ordinal, CASE WHEN json_valid(message_json) AND json_type(message_json) = 'OBJECT' AND json_type(message_json, '$.parts') = 'ARRAY' THEN json_extract(message_json, '$.parts[*]') END AS a FROM m),
 e AS (SELECT session_id, ordinal, unnest(a) AS q FROM x), c AS (SELECT session_id, ordinal, q->>'$.id' AS id, q->>'$.name' AS name FROM e WHERE q->>'$.kind' = 'tool_call'),
 r AS (SELECT session_id, ordinal, q->>'$.call_id' AS call_id FROM e WHERE q->>'$.kind' = 'tool_result')
@@ -494,13 +457,6 @@ def call_result_pairs(spark, d):
 # ---- records and scalars --------------------------------------------------------------------------
 
 
-@query("SELECT stream, count(*) AS lines, count(*) FILTER (trim(coalesce(payload, '')) = '') AS blank, count(*) FILTER (trim(coalesce(payload, '')) <> '' AND NOT json_valid(payload)) AS malformed FROM raw_records GROUP BY 1")
-def skip_counters(spark, d):
-    p = F.trim(F.coalesce("payload", F.lit("")))
-    ok = F.expr("try_parse_json('[' || payload || ']') is not null")
-    return table(spark, d, "raw_records").groupBy("stream").agg(F.count("*").alias("lines"), F.count(F.when(p == "", 1)).alias("blank"), F.count(F.when((p != "") & ~ok, 1)).alias("malformed"))
-
-
 @query(f"""WITH {_M} SELECT session_id, ordinal, CASE WHEN NOT json_valid(message_json) THEN 'none' ELSE coalesce(lower(json_type(message_json, '$.parts')), 'none') END AS shape FROM m WHERE message_json IS NOT NULL""")
 def polymorphic_content(spark, d):
     v = F.expr("schema_of_variant(try_variant_get(try_parse_json('[' || message_json || ']'), '$[0].parts', 'variant'))")
