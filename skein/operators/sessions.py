@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -211,3 +212,50 @@ def meter(parts: DataFrame) -> DataFrame:
     return parts.where("kind = 'text'").groupBy("session_id").agg(
         F.count(F.when(has(["thanks", "thank you"]), 1)).alias("thanks"), F.count(F.when(has(["fuck", "f***", "f**k"]), 1)).alias("curses")
     ).withColumn("favors_thanks", F.col("thanks") > F.col("curses"))
+
+
+class SessionMetric(Protocol):
+    """What a consumer measures of sessions: a name and, of parts, one row a session with a column session_id."""
+
+    name: str
+
+    def score(self, parts: DataFrame) -> DataFrame: ...
+
+
+class Meter:
+    name = "meter"
+
+    def score(self, parts: DataFrame) -> DataFrame:
+        return meter(parts)
+
+
+class Moods:
+    """Spoken parts of each session by sentiment."""
+
+    name = "sentiment"
+
+    def score(self, parts: DataFrame) -> DataFrame:
+        from skein.functions.sentiment import sentiment
+
+        p = parts.where("kind = 'text' and text is not null").select("session_id", F.explode(F.array(sentiment(F.col("text")))).alias("l"))
+        return p.groupBy("session_id").agg(*[F.count(F.when(F.col("l") == x, 1)).alias(x) for x in ("positive", "negative", "neutral")])
+
+
+METRICS: dict[str, SessionMetric] = {}
+
+
+def register(metric: SessionMetric) -> None:
+    METRICS[metric.name] = metric
+
+
+for _metric in (Meter(), Moods()):
+    register(_metric)
+
+
+def measured(parts: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """All sessions with the columns of the metrics asked for, each column after its metric's name."""
+    out = parts.select("session_id").distinct()
+    for n in names if names is not None else sorted(METRICS):
+        m = METRICS[n].score(parts)
+        out = out.join(m.select("session_id", *[F.col(c).alias(f"{n}_{c}") for c in m.columns if c != "session_id"]), "session_id", "left")
+    return out

@@ -524,11 +524,7 @@ SELECT session_id, count(*) FILTER (c >= {N.EDGE}) AS positive, count(*) FILTER
 
 @query(_sentiment_sql())
 def sentiment_counts(spark, d):
-    from skein.functions.sentiment import sentiment
-
-    label = sentiment(F.col("text"))
-    p = parts(spark, d).where("kind = 'text' and text is not null").select("session_id", F.explode(F.array(label)).alias("l"))
-    return p.groupBy("session_id").agg(*[F.count(F.when(F.col("l") == x, 1)).alias(x) for x in ("positive", "negative", "neutral")])
+    return S.METRICS["sentiment"].score(parts(spark, d))
 
 
 @query(f"""WITH {_P}, h AS (SELECT session_id, message_ordinal, part_ordinal, hex(encode(text)) AS x FROM p WHERE text IS NOT NULL),

@@ -133,3 +133,19 @@ def test_small_functions(spark):
     assert got == pytest.approx([f(1.8 + 0.293), f(1.8 * -0.74), f(1.8), 0.0, 0.0, f((-1.5 - 0.293) * -0.74), f((-1.5 - 0.293) * -0.74), 0.0])
     v = ByteEmbedder().embed(["abc", "abc", ""])
     assert v[0] == v[1] and v[2] == [0.0] * 4
+
+
+def test_metrics_can_be_registered(spark):
+    class Longest:
+        name = "longest"
+
+        def score(self, parts):
+            return parts.groupBy("session_id").agg(F.max(F.length("text")).alias("chars"))
+
+    S.register(Longest())
+    try:
+        p = spark.createDataFrame([("a", "text", "thanks, great"), ("a", "text", None), ("b", "thinking", "bad")], "session_id string, kind string, text string")
+        got = {r.session_id: r for r in S.measured(p).collect()}
+        assert got["a"].longest_chars == 13 and got["a"].meter_thanks == 1 and got["a"].sentiment_positive == 1 and got["b"].sentiment_positive is None
+    finally:
+        del S.METRICS["longest"]
