@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts of more characters are read here; below, every string and every text fits into a VARIANT.
+#: Texts of more bytes are read here; below, every string and every text fits into a VARIANT.
 LARGE = 16_000_000
 _TOKEN = re.compile(
     r'[ \t\n\r]*+(?:(?P<mark>[{}\[\],:])|(?P<text>"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(?P<word>-?(?:0|[1-9]\d*+)(?:\.\d++)?(?:[eE][+-]?\d++)?|true|false|null))'
@@ -167,4 +167,4 @@ def one_by_one(df: DataFrame, column: str, make: Callable[[str], Iterable[tuple]
 
 
 def large(column: str):
-    return F.length(column) > LARGE
+    return F.octet_length(column) > LARGE  # known without reading the text

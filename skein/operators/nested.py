@@ -6,7 +6,7 @@ listed ancestor; flatten joins the children of all containers into the next leve
 over the levels inside one expression, so any depth, any key and any mixture of types works without a
 schema and without Python, and inline emits one row per listed object.
 
-Texts of over LARGE characters, which no VARIANT can be trusted to hold, are read token by token instead.
+Texts of over LARGE bytes, which no VARIANT can be trusted to hold, are read token by token instead.
 Parsing repeated keys needs spark.sql.variant.allowDuplicateKeys, which is set on the session.
 """
 
@@ -87,7 +87,7 @@ def _large(df: DataFrame, json_col: str, keys: list[str], registries, singles, w
 def _walk(df: DataFrame, json_col: str, keys: list[str], registries, singles, made: str, row: str) -> DataFrame:
     """The fold over the levels; made says which children of a level give rows, and which."""
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    base = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(json_col).alias("_text")).where((F.length("_text") <= LARGE) & (F.col("_text").contains("[") | F.col("_text").contains("{")))
+    base = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(json_col).alias("_text")).where((F.octet_length("_text") <= LARGE) & (F.col("_text").contains("[") | F.col("_text").contains("{")))
     # The parser stops after one value; wrapped in both kinds of brackets, whatever follows the value is an error.
     base = base.withColumn("_one", F.expr("try_cast(try_parse_json('[' || _text || ']') as array<variant>)")).where("size(_one) = 1")
     base = base.where("try_parse_json('{\"x\":' || _text || '}') is not null").withColumn("_m", F.expr("try_cast(_one[0] as map<string,variant>)")).where("_m is not null")

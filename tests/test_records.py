@@ -319,7 +319,7 @@ def test_large_texts_keep_their_rows_and_fields(spark, monkeypatch):
     fields = lambda: sorted(tuple(map(str, r)) for r in listed_fields(df, "t", ["k"]).collect())
     want = objects(), fields()
     monkeypatch.setattr("skein.operators.nested.LARGE", 5)
-    monkeypatch.setattr("skein.operators.nested.large", lambda c: F.length(c) > 5)
+    monkeypatch.setattr("skein.operators.nested.large", lambda c: F.octet_length(c) > 5)
     assert (objects(), fields()) == want and len(want[0]) == 8
 
 
