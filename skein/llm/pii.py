@@ -16,6 +16,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -780,10 +781,12 @@ class Field:
         return s, e, kind
 
 
+@cache
 def fit(texts: int = 20000, epochs: int = 5, seed: int = 11, least: int = 4) -> Field:
     """Pseudo-likelihood: each label given its neighbours' and its repetitions' gold labels, by Adagrad.
 
-    Features of fewer than `least` tokens have no weight, so no name is learned by heart.
+    Features of fewer than `least` tokens have no weight, so no name is learned by heart. The field depends on the
+    parameters alone and is fitted once a process.
     """
     writer, numbers = Writer(seed), Numbers()
     ids, sizes, ys, left, right, skip_of, base = [], [], [], [], [], [], 0
